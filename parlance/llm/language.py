@@ -215,3 +215,15 @@ def identify(docs: DataFrame, model: Identifier, keep: tuple = ("doc_id",)) -> D
 
     kept = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     return docs.select(*keep, "text").mapInArrow(run, f"{kept}, lang_pred string, score double, cross_entropy double, rejected boolean")
+
+
+def accepted(docs: DataFrame, model: Identifier) -> DataFrame:
+    """The rows, in all their columns, whose text the model does not reject."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([not held.value.predict(t.as_py())[3] for t in batch.column(at)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm import decontamination, jaccard, language, licenses, mixing, sharding, suffix_array, token_files
+from parlance.llm import decontamination, embeddings, jaccard, language, licenses, mixing, recurrent, sharding, suffix_array, token_files
 
 SHARD_BYTES = 16 << 20
 
@@ -35,6 +35,10 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(documents(spark, sf_dir), 80, 100).select("doc_id", "n_shingles", "component_id", "class_id")
 
 
+def op3_recurrent_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recurrent.score(documents(spark, sf_dir).withColumn("held_out", id_remainder(7) == 2))
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(documents(spark, sf_dir), str(tokenizer_path()), levels=16, end_id=0)
 
@@ -52,6 +56,10 @@ def op7_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(documents(spark, sf_dir), SHARD_BYTES)
 
 
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), threshold=0.9)
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).withColumn("held_out", id_remainder(4) == 2)
     model = language.fit(docs.where("not held_out"))
@@ -63,7 +71,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_suffix_dedup, op2_jaccard_join, op4_token_files, op5_mix_sources, op6_license_scan, op7_shard, op9_language_id, op10_decontaminate)
+    named = (op1_suffix_dedup, op2_jaccard_join, op3_recurrent_score, op4_token_files, op5_mix_sources, op6_license_scan, op7_shard, op8_embedding_dedup, op9_language_id, op10_decontaminate)
     return {f.__name__: f for f in named}
 
 
