@@ -61,25 +61,43 @@ class Index:
         self.weights = [Counter(hashed[owner == i].tolist()) for i in live]
         self.prints = fingerprint(np.array([signs(hashed[owner == i]).sum(0, dtype=np.int32) for i in live]).reshape(-1, 64))
         self.shingles = np.unique(hashed)
+        # which shingles the items of one size have
+        self.of_size = {n: np.zeros(len(self.shingles), bool) for n in np.unique(self.words).tolist()}
+        for n, own in zip(self.words.tolist(), self.weights, strict=True):
+            self.of_size[n][np.searchsorted(self.shingles, np.array(list(own), np.uint64))] = True
         self.bloom = np.zeros(1 << 20, bool)
         self.bloom[(self.shingles & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
         near = ONES[np.arange(256)[:, None] ^ np.arange(256)[None, :]] <= radius // BLOCKS
         self.tables = [[np.flatnonzero(near[v][self.prints[:, b]]) for v in range(256)] for b in range(BLOCKS)] if len(live) else []
 
     def shared(self, hashed: np.ndarray) -> np.ndarray:
-        """Which shingles any item has."""
-        hit = self.bloom[(hashed & np.uint64((1 << 20) - 1)).astype(np.int64)]
-        at = np.flatnonzero(hit)
+        """The place of each shingle among the items', or -1."""
+        at = np.flatnonzero(self.bloom[(hashed & np.uint64((1 << 20) - 1)).astype(np.int64)])
         i = np.minimum(np.searchsorted(self.shingles, hashed[at]), len(self.shingles) - 1)
-        hit[at] = self.shingles[i] == hashed[at]
-        return hit
-
-    def matches(self, hashed: np.ndarray, hit: np.ndarray, n_words: int) -> list[tuple[int, float, int, int, int]]:
-        """(item, similarity, first word, words, windows) of each item that a window of one document matches best; hit: shared."""
-        sums = np.zeros((len(hashed) + 1, 64), np.int32)
-        np.cumsum(signs(hashed), axis=0, out=sums[1:])
-        hits, found = np.concatenate([[0], np.cumsum(hit)]), {}
-        for size in np.unique(self.words).tolist():
+        out = np.full(len(hashed), -1)
+        out[at] = np.where(self.shingles[i] == hashed[at], i, -1)
+        return out
+
+    def matches(self, hashed: np.ndarray, place: np.ndarray, n_words: int) -> list[tuple[int, float, int, int, int]]:
+        """(item, similarity, first word, words, windows) of each item that a window of one document matches best; place: from ``shared``.
+
+        A window that matches an item of its size holds a shingle of one of that size.
+        """
+        common = np.flatnonzero(place >= 0)
+        sizes = [n for n, own in self.of_size.items() if own[place[common]].any()]
+        # sums are needed around shared shingles only, as far as the largest of those items reaches
+        reach = max(sizes, default=0)
+        near = np.zeros(len(hashed) + 1, np.int64)
+        np.add.at(near, np.maximum(common - reach, 0), 1)
+        np.add.at(near, np.minimum(common + reach, len(hashed)), -1)
+        near = np.flatnonzero(np.cumsum(near[:-1]) > 0)
+        sums = np.zeros((len(near) + 1, 64), np.int32)
+        np.cumsum(signs(hashed[near]), axis=0, out=sums[1:])
+        found = {}
+        for size in sizes:
+            hits = np.zeros(len(hashed) + 1, np.int64)
+            hits[common + 1] = self.of_size[size][place[common]]
+            hits = np.cumsum(hits)
             span = max(size - self.k + 1, 1)
             if size > n_words or (size < self.k and size != n_words):
                 continue
@@ -87,7 +105,8 @@ class Index:
             start = start[hits[start + span] > hits[start]]
             if not len(start):
                 continue
-            prints = fingerprint(sums[start + span] - sums[start])
+            at = np.searchsorted(near, start)  # a window around a shared shingle lies in one stretch of ``near``
+            prints = fingerprint(sums[at + span] - sums[at])
             pairs = []
             for b, table in enumerate(self.tables):
                 got = [table[v] for v in prints[:, b]]
@@ -132,14 +151,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8,
                 for ids, data, offsets in text_slices(batch.column(0), batch.column(1)) if len(index.ids) else ():
                     start, end, doc = words(data, offsets)
                     hashed, owner, _ = shingles(word_hashes(data, start, end), doc, len(ids), index.k)
-                    hit = index.shared(hashed)
-                    if not hit.any():
+                    place = index.shared(hashed)
+                    if not (place >= 0).any():
                         continue
                     edge = np.searchsorted(owner, np.arange(len(ids) + 1))
                     size = np.bincount(doc, minlength=len(ids))
-                    for d in np.unique(owner[hit]).tolist():
+                    for d in np.unique(owner[place >= 0]).tolist():
                         a, e = edge[d], edge[d + 1]
-                        rows += [(ids[d], int(index.ids[i]), s, w, n, c) for i, s, w, n, c in index.matches(hashed[a:e], hit[a:e], int(size[d]))]
+                        rows += [(ids[d], int(index.ids[i]), s, w, n, c) for i, s, w, n, c in index.matches(hashed[a:e], place[a:e], int(size[d]))]
                 yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*rows, strict=True) if rows else [[]] * 6, ARROW, strict=True)], schema=ARROW)
 
         got = docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, SCHEMA)
