@@ -61,10 +61,10 @@ def rechunk_stream(events: DataFrame, size: int = 1600, timeout: str = "10 minut
 
     def run(key, frames: Iterator[pd.DataFrame], state):
         number, held = state.get if state.exists else (0, [])
-        held, rows, over = list(held), [], state.hasTimedOut
+        number, held, rows, over = int(number), [float(x) for x in held], [], state.hasTimedOut
         for frame in frames:
             for row in frame.sort_values("seq").itertuples():
-                held += [] if row.samples is None else list(row.samples)
+                held += [] if row.samples is None else [float(x) for x in row.samples]
                 over = over or row.kind == "final"
         while len(held) >= size or (over and held):
             rows.append((key[0], number, held[:size]))
