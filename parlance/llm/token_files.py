@@ -29,8 +29,12 @@ from parlance.llm._spark import Workspace
 
 MAGIC = b"PWM1"
 BLOCK = 512
-ODD_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -‏ -  ⁠　﻿]")
-CHUNK = re.compile(r"[ \n\r\t]*[^ \n\r\t]+|[ \n\r\t]+")
+ODD_SPACE = re.compile(r"[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f\u2060\u3000\ufeff]")
+LETTER, MARK = r"A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff", r".,;:!?#&$%*|()+=/\x22\-"
+# Runs that are pre-tokens by themselves, unless a character of another kind follows; else the rest up to white space.
+ALONE = rf"(?: ?(?:[{LETTER}]++|[0-9]++|[{MARK}]++)(?![^{LETTER}0-9{MARK} \n\r\t]))"
+SINGLE = re.compile(f" ?(?:[{LETTER}]+|[0-9]+|[{MARK}]+)").fullmatch
+PIECE = re.compile(ALONE + r"|\n(?= ?[^ \n\r\t])|[ \n\r\t]*[^ \n\r\t]+|[ \n\r\t]+")
 ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
 
@@ -46,14 +50,16 @@ class WaveletMatrix:
         now = ids.astype(np.uint16 if levels <= 16 else np.uint32)
         zeros, planes, ranks = [], [], []
         for level in range(levels - 1, -1, -1):
-            bit = (now >> level) & 1
-            packed = np.packbits(bit.astype(bool), bitorder="little")
-            ones = np.add.reduceat(ONES[packed].astype(np.uint32), np.arange(0, len(packed), BLOCK // 8)) if len(packed) else np.zeros(0, np.uint32)
+            one = (now & now.dtype.type(1 << level)) != 0
+            packed = np.packbits(one, bitorder="little")
+            padded = np.zeros(-(-len(packed) // (BLOCK // 8)) * (BLOCK // 8), np.uint8)
+            padded[: len(packed)] = packed
+            ones = np.bitwise_count(padded.view(np.uint64)).reshape(-1, BLOCK // 64).sum(1, dtype=np.uint32)
             ranks.append(np.concatenate([[0], np.cumsum(ones)]).astype(np.uint32))
             planes.append(packed)
-            one = bit.astype(bool)
             high = now[one]
-            now = np.concatenate([now[~one], high])
+            np.logical_not(one, out=one)
+            now = np.concatenate([now[one], high])
             zeros.append(len(now) - len(high))
         return cls(len(ids), zeros, planes, ranks)
 
@@ -64,8 +70,9 @@ class WaveletMatrix:
         for k in range(self.levels - 1, -1, -1):
             one = np.unpackbits(self.planes[k], count=self.n, bitorder="little").view(bool)
             back = np.empty(self.n, kind)
-            back[~one] = now[: self.zeros[k]]
             back[one] = now[self.zeros[k] :] | kind(1 << (self.levels - 1 - k))
+            np.logical_not(one, out=one)
+            back[one] = now[: self.zeros[k]]
             now = back
         return now
 
@@ -153,60 +160,145 @@ def from_payload(payload: bytes) -> tuple[np.ndarray, np.ndarray, WaveletMatrix]
     return doc_ids, lengths, WaveletMatrix(n, zeros, [p for _, p in pairs], [r for r, _ in pairs])
 
 
+def byte_alphabet() -> dict[int, str]:
+    """The characters that stand for bytes in byte-level vocabularies: printable ones for themselves, others from U+0100 on; a line end set apart by blanks."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in shown]
+    out = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(others)}
+    return out | {10: f" {out[10]} "}
+
+
+ALPHABET = byte_alphabet()
+_encoders: dict[tuple[str, int], ChunkEncoder] = {}
+
+
+def encoder_of(path: str, end_id: int) -> ChunkEncoder:
+    """A worker's encoder, kept from task to task."""
+    if (path, end_id) not in _encoders:
+        _encoders[path, end_id] = ChunkEncoder(path, end_id)
+    return _encoders[path, end_id]
+
+
+class Places(dict):
+    """Pieces by number; a new one gets the next and waits to be encoded."""
+
+    def __init__(self) -> None:
+        self.waiting: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        self[piece] = place = len(self)
+        self.waiting.append(piece)
+        return place
+
+
 class ChunkEncoder:
-    """Encodes texts by the tokenizers library, each distinct chunk once.
+    """Encodes texts by the tokenizers library, each distinct piece once.
 
-    A chunk is white space and the word after it.  Byte-level pre-tokens never hold
-    white space after another character, so a text's ids are its chunks' ids one
-    after another.  Texts with other white space than space, tab and line ends are
-    encoded as they are.
+    Pieces end where the vocabulary's pre-tokens end: a text's ids are its pieces'
+    ids one after another.  Texts with other white space than space, tab and line
+    ends are encoded as they are.
     """
 
-    def __init__(self, path: str, end_id: int, keep: int = 400_000):
-        from tokenizers import Tokenizer
+    def __init__(self, path: str, end_id: int, keep: int = 900_000):
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.by_word = Tokenizer(self.tokenizer.model)
+        self.by_word.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.end_id, self.keep = end_id, keep
+        self.line = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
         self._forget()
 
     def _forget(self) -> None:
-        self.index: dict[str, int] = {}
-        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.start, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
-
-    def _learn(self, chunks: list[str]) -> None:
-        for at in range(0, len(chunks), 4096):
-            for chunk, got in zip(chunks[at : at + 4096], self.tokenizer.encode_batch_fast(chunks[at : at + 4096], add_special_tokens=False), strict=True):
-                ids, i = got.ids, len(self.index)
-                if i >= len(self.start):
-                    self.start, self.size = np.resize(self.start, 2 * i), np.resize(self.size, 2 * i)
-                while self.used + len(ids) > len(self.flat):
-                    self.flat = np.resize(self.flat, 2 * len(self.flat))
-                self.flat[self.used : self.used + len(ids)] = ids
-                self.start[i], self.size[i], self.index[chunk] = self.used, len(ids), i
-                self.used += len(ids)
+        """Starts anew with the end mark and the line end."""
+        self.places = Places()
+        self.flat, self.used = np.zeros(1 << 16, np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32), 0
+        self.start, self.size, self.seen = (np.zeros(1 << 14, np.int32) for _ in range(3))
+        self.places[""], self.places["\n"] = 0, 1
+        self._add(np.array([0, 1]), np.array([self.end_id, self.line]), np.array([1, 1]))
+
+    def _retain(self) -> None:
+        """Keeps the pieces seen more than once, or none if those are too many as well."""
+        n = len(self.places)
+        often = self.seen[:n] > 1
+        often[:2] = False
+        names = [p for p, k in zip(self.places, often.tolist(), strict=True) if k]
+        size, start = self.size[:n][often].astype(np.int64), self.start[:n][often]
+        ids = self.flat[np.arange(size.sum()) + np.repeat(start - np.cumsum(size) + size, size)]
+        self._forget()
+        if len(names) <= self.keep // 2:
+            self.places.update(zip(names, range(2, len(names) + 2), strict=True))
+            self._add(np.arange(2, len(names) + 2), ids, size)
+
+    def _add(self, at: np.ndarray, ids: np.ndarray, size: np.ndarray) -> None:
+        """The ids, one after another, of the pieces at these places."""
+        while len(at) and at[-1] >= len(self.start):
+            self.start, self.size, self.seen = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size, self.seen))
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.resize(self.flat, 2 * len(self.flat))
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.start[at], self.size[at] = self.used + np.cumsum(size) - size, size
+        self.used += len(ids)
+
+    def _learn(self) -> None:
+        """Single pre-tokens go to the same model together, as bytes in its alphabet, each before a line end, which is a token that no other holds.  Others are encoded as they are."""
+        pieces, self.places.waiting = self.places.waiting, []
+        first = len(self.places) - len(pieces)
+        plain = np.fromiter((SINGLE(p) is not None for p in pieces), bool, len(pieces))
+        single = [p for p, k in zip(pieces, plain.tolist(), strict=True) if k]
+        mapped = ("\n".join(single) + "\n" * bool(single)).encode().decode("latin-1").translate(ALPHABET)
+        ids = np.array(self.by_word.encode_batch_fast([mapped], add_special_tokens=False)[0].ids, np.uint32)
+        end = np.flatnonzero(ids == self.line)
+        if len(end) == len(single):
+            self._add(first + np.flatnonzero(plain), ids[ids != self.line], np.diff(end, prepend=-1) - 1)
+        else:
+            plain[:] = False
+        others = np.flatnonzero(~plain)
+        if len(others):
+            found = [x.ids for x in self.tokenizer.encode_batch_fast([pieces[i] for i in others.tolist()], add_special_tokens=False)]
+            self._add(first + others, np.concatenate([np.array(f, np.uint32) for f in found]), np.array([len(f) for f in found]))
 
     def encode(self, text: str | None) -> np.ndarray:
         """The ids of a text and the end id."""
-        if not text:
-            return np.array([self.end_id], np.uint32)
-        if ODD_SPACE.search(text):
-            return np.array([*self.tokenizer.encode(text, add_special_tokens=False).ids, self.end_id], np.uint32)
-        if len(self.index) > self.keep:
-            self._forget()
-        chunks = CHUNK.findall(text)
-        known = list(map(self.index.get, chunks))
-        if None in known:
-            self._learn([c for c in dict.fromkeys(chunks) if c not in self.index])
-            known = list(map(self.index.get, chunks))
-        known = np.array(known, np.int64)
-        size = self.size[known]
+        return self.encode_many([text])[0]
+
+    def encode_many(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The ids of each text, with the end id after each."""
+        if len(self.places) > self.keep:
+            self._retain()
+        parts, whole = [], {}
+        for i, text in enumerate(texts):
+            pieces = PIECE.findall(text) if text else []
+            if text and ODD_SPACE.search(text):
+                whole[i] = np.array([*self.tokenizer.encode(text, add_special_tokens=False).ids, self.end_id], np.uint32)
+                pieces = []
+            pieces.append("")
+            parts.append(np.fromiter(map(self.places.__getitem__, pieces), np.int32, len(pieces)))
+        if self.places.waiting:
+            self._learn()
+        at = np.concatenate(parts)
+        self.seen[: len(self.places)] += np.bincount(at, minlength=len(self.places)).astype(np.int32)
+        size = self.size[at].astype(np.int64)
         end = np.cumsum(size)
-        out = np.empty(int(end[-1]) + 1, np.uint32)
-        out[:-1] = self.flat[np.arange(end[-1]) + np.repeat(self.start[known] - end + size, size)]
-        out[-1] = self.end_id
-        return out
+        out = self.flat[np.arange(end[-1]) + np.repeat(self.start[at] - end + size, size)]
+        cut = end[np.cumsum([len(p) for p in parts]) - 1]
+        found = np.split(out, cut[:-1])
+        return [whole.get(i, f) for i, f in enumerate(found)]
+
+
+def text_parts(column: pa.Array, chars: int = 1 << 20) -> Iterator[list[str | None]]:
+    """Runs of texts of about so many characters."""
+    part, size = [], 0
+    for x in column:
+        text = x.as_py()
+        part.append(text)
+        size += len(text or "")
+        if size >= chars:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
 
 
 SHARDS = pa.schema([("part", pa.int64()), ("shard", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("payload", pa.binary())])
@@ -234,9 +326,9 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, levels: int = 16, e
             return out
 
         for batch in batches:
-            encoder = encoder or ChunkEncoder(tokenizer, end_id)
-            for i, doc_id in enumerate(batch.column(0).to_pylist()):
-                got = encoder.encode(batch.column(1)[i].as_py()).astype(np.uint16 if levels <= 16 else np.uint32)
+            encoder = encoder or encoder_of(tokenizer, end_id)
+            for doc_id, got in zip(batch.column(0).to_pylist(), (x for part in text_parts(batch.column(1)) for x in encoder.encode_many(part)), strict=True):
+                got = got.astype(np.uint16 if levels <= 16 else np.uint32, copy=False)
                 if held and size + len(got) > shard_tokens:
                     yield close()
                 ids.append(doc_id)
