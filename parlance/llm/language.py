@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from parlance.llm import _bytes  # noqa: F401
+
 LETTERS = re.compile(r"[^\W\d_]+")
 START, END = 1, 2
 ALPHABET = 4096.0
@@ -49,74 +51,104 @@ def _flatten(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 def _grams(flat: np.ndarray, first: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """For n = 1..order: (hash, hash of its context, usable) of the n-gram that ends at each character.
 
-    A word's START is a context only; an n-gram reaches back to START at most.
+    The context is the (n - 1)-gram that ends one character before.  A word's START
+    is a context only; an n-gram reaches back to START at most.
     """
     n = len(flat)
     begin = np.zeros(n, np.int64)
     begin[first] = first
     depth = np.arange(n) - np.maximum.accumulate(begin)
-    out, h = [], flat * STEP
-    shifted = np.concatenate([np.zeros(1, np.uint64), flat[:-1]])
-    context = np.zeros(n, np.uint64)
+    out, context = [], np.zeros(n, np.uint64)
     for k in range(1, order + 1):
-        if k > 1:
-            context = (context + shifted + np.uint64(k)) * STEP
-            context ^= context >> np.uint64(29)
-            shifted = np.concatenate([np.zeros(1, np.uint64), shifted[:-1]])
-        whole = (context + h) * np.uint64(0xBF58476D1CE4E5B9)
-        whole ^= whole >> np.uint64(31)
+        whole = (context ^ (flat + np.uint64(k))) * STEP
+        whole = (whole ^ (whole >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+        whole ^= whole >> np.uint64(29)
         out.append((whole, context, (depth >= 1) & (depth >= k - 1)))
+        context = np.concatenate([np.zeros(1, np.uint64), whole[:-1]])
     return out
 
 
 class KneserNey:
-    """An interpolated Kneser-Ney model of characters in sorted hash arrays."""
+    """Interpolated Kneser-Ney models of characters, one for each language, over shared sorted hash arrays.
+
+    For each order: the n-grams' hashes, and for each language the discounted
+    probability of the n-gram and the weight that it leaves as a context.
+    """
 
-    def __init__(self, words: Counter, order: int = 5):
-        self.order, self.tables = order, []
+    def __init__(self, counts: list[Counter], order: int = 5):
+        self.order, self.languages = order, len(counts)
+        single = [self._estimate(c, order) for c in counts]
+        self.root = np.array([s[0] for s in single])
+        self.keys, self.value, self.left = [], [], []
+        for k in range(order):
+            keys = np.unique(np.concatenate([x for s in single for x in (s[1][k][0], s[1][k][2])] or [np.zeros(0, np.uint64)]))
+            value, left = np.zeros((len(keys), len(counts))), np.ones((len(keys), len(counts)))
+            for i, (_, tables) in enumerate(single):
+                key, v, context, weight = tables[k]
+                value[np.searchsorted(keys, key), i] = v
+                at = np.searchsorted(keys, context)
+                here = at < len(keys)
+                here[here] = keys[at[here]] == context[here]
+                left[at[here], i] = weight[here]
+            self.keys.append(keys)
+            self.value.append(value)
+            self.left.append(left)
+
+    @staticmethod
+    def _estimate(words: Counter, order: int):
+        """The weight of the uniform share, and for each order (hash, probability, hash as context of the next order, weight)."""
         names = sorted(words)
-        flat, first = _flatten(names) if names else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        weight = np.repeat(np.array([words[w] for w in names], float), np.diff(np.append(first, len(flat)))) if names else np.zeros(0)
+        flat, first = _flatten(names)
+        weight = np.repeat(np.array([words[w] for w in names], float), np.diff(np.append(first, len(flat))))
         grams = _grams(flat, first, order)
+        found = []
         for k in range(order):
-            whole, context, use = grams[k]
+            whole, before, use = grams[k]
             key, at, inverse = np.unique(whole[use], return_index=True, return_inverse=True)
             if k == order - 1:
                 count = np.bincount(inverse, weight[use], len(key))
             else:  # how many different characters stand before it; at a word's start there is none, so its frequency
                 longer, _, longer_use = grams[k + 1]
                 _, one = np.unique(longer[longer_use], return_index=True)
-                before = whole[longer_use][one]
-                count = np.bincount(np.searchsorted(key, before), minlength=len(key)).astype(float)
+                count = np.bincount(np.searchsorted(key, whole[longer_use][one]), minlength=len(key)).astype(float)
                 bare = np.bincount(inverse, weight[use] * ~longer_use[use], len(key))
                 count = np.where(bare > 0, bare, count)
-            owner = context[use][at]
-            ctx, which = np.unique(owner, return_inverse=True)
-            total, kinds = np.bincount(which, count, len(ctx)), np.bincount(which, minlength=len(ctx))
+            context, which = np.unique(before[use][at], return_inverse=True)
+            total, kinds = np.bincount(which, count, len(context)), np.bincount(which, minlength=len(context))
             ones, twos = (count == 1).sum(), (count == 2).sum()
             discount = ones / (ones + 2 * twos) if ones and twos else 0.5
-            value = np.maximum(count - discount, 0) / total[which] if len(key) else np.zeros(0)
-            self.tables.append((key, value, ctx, np.minimum(discount * kinds / total, 1.0) if len(ctx) else np.zeros(0)))
+            found.append((key, np.maximum(count - discount, 0) / total[which], context, np.minimum(discount * kinds / total, 1.0)))
+        none = np.zeros(0, np.uint64)
+        after = [*((c, w) for _, _, c, w in found[1:]), (none, np.zeros(0))]
+        return found[0][3][0], [(key, v, c, w) for (key, v, _, _), (c, w) in zip(found, after, strict=True)]
 
     def log_probability(self, flat: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """Natural log-probability of each word, its end mark included."""
-        p = np.full(len(flat), 1 / ALPHABET)
-        for (whole, context, use), (key, value, ctx, left) in zip(_grams(flat, first, self.order), self.tables, strict=True):
-            if not len(key):
-                continue
-            i = np.minimum(np.searchsorted(ctx, context), len(ctx) - 1)
-            seen = use & (ctx[i] == context)
-            j = np.minimum(np.searchsorted(key, whole), len(key) - 1)
-            hit = seen & (key[j] == whole)
-            p = np.where(seen, left[i] * p, p) + np.where(hit, value[j], 0.0)
+        """Natural log-probability of each word (its end mark included) in each language."""
+        n = len(flat)
+        p = np.full((n, self.languages), 1 / ALPHABET) * self.root
+        place = np.full(n, -1)
+        for k, (whole, _, use) in enumerate(_grams(flat, first, self.order)):
+            at = np.flatnonzero(use) if k == 0 else np.flatnonzero(use & np.concatenate([[False], place[:-1] >= 0]))
+            if k:
+                p[at] *= self.left[k - 1][place[at - 1]]
+            keys, now = self.keys[k], np.full(n, -1)
+            # a word's start mark is a context though no n-gram ends in it
+            ask = np.arange(n) if k == 0 else at
+            if len(keys):
+                i = np.minimum(np.searchsorted(keys, whole[ask]), len(keys) - 1)
+                hit = keys[i] == whole[ask]
+                now[ask[hit]] = i[hit]
+                gain = ask[hit] if k else ask[hit & use[ask]]
+                p[gain] += self.value[k][now[gain]]
+            place = now
         p[first] = 1.0
-        return np.add.reduceat(np.log(p), first)
+        return np.add.reduceat(np.log(p), first, axis=0)
 
 
 class Identifier:
     """The models of all languages with a cache of words' log-probabilities."""
 
-    def __init__(self, sample: list[tuple[str, str]], order: int = 5, keep: int = 300_000):
+    def __init__(self, sample: list[tuple[str, str]], order: int = 5, keep: int = 150_000):
         """sample: (language, text) in a fixed order; each fifth of a language's calibrates."""
         counts, held, seen = {}, [], Counter()
         for lang, text in sample:
@@ -126,7 +158,7 @@ class Identifier:
             else:
                 counts.setdefault(lang, Counter()).update(LETTERS.findall(text.lower()))
         self.languages = sorted(lang for lang, words in counts.items() if words)
-        self.models = [KneserNey(counts[lang], order) for lang in self.languages]
+        self.model = KneserNey([counts[lang] for lang in self.languages], order)
         self.keep, self.temperature, self.limits = keep, 10.0, np.full(len(self.languages), np.inf)
         self._forget()
         self._calibrate(held)
@@ -147,16 +179,18 @@ class Identifier:
         i, n = len(self.index), len(words)
         while i + n > len(self.length):
             self.known, self.length = np.concatenate([self.known, np.zeros_like(self.known)]), np.concatenate([self.length, np.zeros_like(self.length)])
-        for k, model in enumerate(self.models):
-            self.known[i : i + n, k] = model.log_probability(flat, first)
+        self.known[i : i + n] = self.model.log_probability(flat, first)
         self.length[i : i + n] = np.diff(np.append(first, len(flat))) - 1
         self.index.update(zip(words, range(i, i + n), strict=True))
 
-    def entropies(self, text: str | None) -> np.ndarray | None:
-        """Cross-entropy a character in each language; None without letters."""
-        words = LETTERS.findall(text.lower()) if text else []
-        if not words or not self.languages:
-            return None
+    def entropies(self, texts: list[str | None]) -> np.ndarray:
+        """Cross-entropy a character of each text in each language; NaN without letters."""
+        found = [LETTERS.findall(t.lower()) if t else [] for t in texts]
+        size = np.array([len(w) for w in found], np.int64)
+        out = np.full((len(texts), len(self.languages)), np.nan)
+        if not size.any() or not self.languages:
+            return out
+        words = [w for ws in found for w in ws]
         if len(self.index) > self.keep:
             self._forget()
         at = list(map(self.index.get, words))
@@ -164,13 +198,18 @@ class Identifier:
             self._learn([w for w in dict.fromkeys(words) if w not in self.index])
             at = list(map(self.index.get, words))
         at = np.array(at)
-        return -self.known[at].sum(0) / self.length[at].sum()
+        live = np.flatnonzero(size)
+        edge = (np.cumsum(size) - size)[live]
+        out[live] = -np.add.reduceat(self.known[at], edge, axis=0) / np.add.reduceat(self.length[at], edge)[:, None]
+        return out
 
     def _calibrate(self, held: list[tuple[str, str]]) -> None:
-        rows = [(self.languages.index(lang), e) for lang, text in held if lang in self.languages and (e := self.entropies(text)) is not None]
-        if not rows:
+        held = [(lang, text) for lang, text in held if lang in self.languages]
+        e = self.entropies([text for _, text in held])
+        use = ~np.isnan(e).any(1) if len(held) else np.zeros(0, bool)
+        truth, e = np.array([self.languages.index(lang) for lang, _ in held], int)[use], e[use]
+        if not len(truth):
             return
-        truth, e = np.array([t for t, _ in rows]), np.array([x for _, x in rows])
         best = (np.inf, self.temperature)
         for t in (2.0, 4.0, 8.0, 16.0, 32.0, 64.0):
             z = -t * (e - e.min(1, keepdims=True))
@@ -183,13 +222,29 @@ class Identifier:
                 middle, high = np.quantile(own, [0.5, 0.99])
                 self.limits[k] = max(own.max(), high) + max(1.0, 2 * (high - middle))
 
-    def predict(self, text: str | None) -> tuple[str, float, float | None, bool]:
-        """Language, score, cross-entropy and whether it is rejected."""
-        e = self.entropies(text)
-        if e is None:
-            return "und", 0.0, None, True
-        k = int(e.argmin())
-        return self.languages[k], float(1 / np.exp(-self.temperature * (e - e[k])).sum()), float(e[k]), bool(e[k] > self.limits[k])
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float, float | None, bool]]:
+        """Language, score, cross-entropy and whether it is rejected, of each text."""
+        out = []
+        for e in (row for part in _parts(texts) for row in self.entropies(part)):
+            if not len(e) or np.isnan(e[0]):
+                out.append(("und", 0.0, None, True))
+            else:
+                k = int(e.argmin())
+                out.append((self.languages[k], float(1 / np.exp(-self.temperature * (e - e[k])).sum()), float(e[k]), bool(e[k] > self.limits[k])))
+        return out
+
+
+def _parts(texts: list[str | None], chars: int = 1 << 19) -> Iterator[list[str | None]]:
+    """Runs of texts of about so many characters."""
+    part, size = [], 0
+    for t in texts:
+        part.append(t)
+        size += len(t or "")
+        if size >= chars:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
 
 
 def fit(docs: DataFrame, per_language: int = 400, max_chars: int = 20_000, order: int = 5) -> Identifier:
@@ -209,7 +264,7 @@ def identify(docs: DataFrame, model: Identifier, keep: tuple = ("doc_id",)) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [held.value.predict(t.as_py()) for t in batch.column(len(keep))]
+            got = held.value.predict(batch.column(len(keep)).to_pylist())
             cols = [pa.array(x, t) for x, t in zip(zip(*got, strict=True) if got else [[]] * 4, (pa.string(), pa.float64(), pa.float64(), pa.bool_()), strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), *cols], [*keep, "lang_pred", "score", "cross_entropy", "rejected"])
 
@@ -224,6 +279,6 @@ def accepted(docs: DataFrame, model: Identifier) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array([not held.value.predict(t.as_py())[3] for t in batch.column(at)], pa.bool_()))
+            yield batch.filter(pa.array([not p[3] for p in held.value.predict(batch.column(at).to_pylist())], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
