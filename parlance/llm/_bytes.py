@@ -10,6 +10,9 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
+# Arrow's own pool keeps what it has freed; workers share an executor's memory with its JVM.
+pa.set_memory_pool(pa.system_memory_pool())
+
 U64 = np.uint64
 SPACES = bytes([0x20, 9, 10, 11, 12, 13])
 SLICE_BYTES = 1 << 21

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -21,6 +22,8 @@ class Workspace:
             root = tempfile.mkdtemp(prefix="parlance-")
             spark.conf.set("spark.checkpoint.dir", root)
         self.spark, self.root = spark, f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+        # texts vary by orders of magnitude: fewer rows a batch keep Python workers small
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2048")
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         """Writes df and returns what was written."""
@@ -28,6 +31,11 @@ class Workspace:
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def release(self) -> None:
+        """Lets Spark delete the shuffle files of finished stages; it learns of them when their plans are collected as garbage."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, *names: str) -> None:
         """Deletes tables that nothing reads any more."""
         for name in names:

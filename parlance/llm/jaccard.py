@@ -19,9 +19,11 @@ meet one another in a second index over the whole universe, where empty segments
 count as well if need be.  So no pair is lost, whatever the data.
 
 What meets is verified by its exact sets.  Work for copies is spared, not results:
-equal sets are one class from the start, and a first round over few segments links
-each set to one leader, so that later only pairs of different components are tried.
-The components come from verified links alone.
+equal sets are one class from the start; a first round over few segments links each
+set to one leader; two more, over a quarter of the signatures each, try neighbours
+in a random order of each group.  The last round has all signatures and tries every
+pair that is not yet in one component, so groups of many near copies, joined by
+then, cost no pairs of their own.  The components come from verified links alone.
 
 Sets are of 48-bit shingle hashes, compared only within a pair.  Documents without
 words (null or blank texts) have an empty set and link with nothing; fewer words
@@ -138,7 +140,7 @@ def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.repeat(np.arange(len(parts)), size), np.concatenate(parts) if parts else np.zeros(0, U64), size
 
 
-def _slices(batch: pa.RecordBatch, rows: int = 1000):
+def _slices(batch: pa.RecordBatch, rows: int = 400):
     for at in range(0, batch.num_rows, rows):
         yield batch.slice(at, rows)
 
@@ -187,9 +189,9 @@ def heavy_rows(batches: Iterator[pa.RecordBatch], share: float) -> Iterator[pa.R
             docs += len(n)
             waiting.append(tokens)
             size += len(tokens)
-            if size > 1 << 21:
+            if size > 1 << 19:
                 merge()
-                if len(key) > 1 << 22:  # only shingles seen once go; they come back below their count by one a sweep
+                if len(key) > 1 << 20:  # shingles seen once go, so that the table stays small; what stands out stays
                     keep = count > 1
                     key, count = key[keep], count[keep]
     merge()
@@ -197,6 +199,21 @@ def heavy_rows(batches: Iterator[pa.RecordBatch], share: float) -> Iterator[pa.R
     yield pa.RecordBatch.from_arrays([pa.array(key[keep].astype(np.int64)), pa.array(count[keep])], ["token", "n"])
 
 
+def ring_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From (signature, root, doc_id) sorted by signature: neighbours of one signature and different roots."""
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = [c.to_numpy() for c in batch.columns]
+        sig, root, doc = cols if last is None else (np.concatenate([a, b]) for a, b in zip(last, cols, strict=True))
+        last = [c[-1:] for c in (sig, root, doc)]
+        at = np.flatnonzero((sig[1:] == sig[:-1]) & (root[1:] != root[:-1]))
+        if len(at):
+            both = np.unique(np.stack([np.minimum(doc[at], doc[at + 1]), np.maximum(doc[at], doc[at + 1])], 1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], ["a", "b"])
+
+
 def meet_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From (signature, root, doc_id) sorted by signature and root: pairs of different roots with a signature in common."""
     held = [np.zeros(0, np.int64)] * 3
@@ -284,8 +301,12 @@ class Join:
         votes = rows.join(lead, "sig").where("a < doc_id").groupBy("doc_id", "a").agg(F.count("*").alias("n"))
         return votes.groupBy("doc_id").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a")).select("a", F.col("doc_id").alias("b"))
 
-    def candidates(self, roots: DataFrame) -> DataFrame:
-        """(a, b) of different components that the signatures bring together; roots: (node, root) of linked sets."""
+    def candidates(self, roots: DataFrame, ring: int | None = None) -> DataFrame:
+        """(a, b) of different components that the signatures bring together; roots: (node, root) of linked sets.
+
+        ring: only neighbours in a random order of each group, over a quarter of the
+        signatures (0 to 3).
+        """
         bands, held = self.bands, self.held
 
         def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,11 +317,15 @@ class Join:
                     own = bands.of(size)
                     for band in (own, np.where((own > 0) & (size * bands.num <= np.array(bands.high)[own - 1] * bands.den), own - 1, -1)):
                         doc, sig = signatures(owner, tokens, size, bands, band, held.value)
+                        if ring is not None:
+                            mine = (sig >> U64(61)) & U64(3) == ring
+                            doc, sig = doc[mine], sig[mine]
                         yield pa.RecordBatch.from_arrays([pa.array(as_long(sig)), pa.array(root[doc]), pa.array(ids[doc])], ["sig", "root", "doc_id"])
 
         known = self.sets.select("doc_id", "tokens").join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left")
         rows = known.select("doc_id", "tokens", F.coalesce("root", "doc_id").alias("root")).mapInArrow(emit, "sig bigint, root bigint, doc_id bigint")
-        met = rows.repartition("sig").sortWithinPartitions("sig", "root").mapInArrow(meet_rows, "a bigint, b bigint")
+        order = F.col("root") if ring is None else F.xxhash64("sig", "doc_id")
+        met = rows.repartition("sig").sortWithinPartitions("sig", order).mapInArrow(meet_rows if ring is None else ring_rows, "a bigint, b bigint")
         return met.distinct()
 
     def verify(self, pairs: DataFrame, name: str) -> DataFrame:
@@ -349,10 +374,14 @@ def near_duplicates(docs: DataFrame, num: int = 80, den: int = 100, k: int = 5,
     total = classes.agg(F.sum("n")).first()[0] or 0
     join = Join(work, num, den, k, hot_share, seeds)
     join.load(texts, classes.select(F.col("class_id").alias("doc_id")), total * 6)
-    first = work.table(join.verify(join.leaders(), "1"), "links_1")
-    roots = work.table(components(work, first, "cc_1"), "roots_1")
-    second = work.table(join.verify(join.candidates(roots), "2"), "links_2")
-    roots = components(work, first.unionByName(second), "cc_2")
+    links = work.table(join.verify(join.leaders(), "0"), "links_0")
+    for step in (1, 2, 3):
+        work.release()
+        roots = work.table(components(work, links, f"cc_{step}"), f"roots_{step}")
+        more = work.table(join.verify(join.candidates(roots, step - 1 if step < 3 else None), str(step)), f"links_{step}")
+        links = links.unionByName(more)
+    work.release()
+    roots = components(work, links, "cc_4")
     named = classes.join(roots.withColumnRenamed("node", "class_id"), "class_id", "left").select("d1", "d2", F.col("n").alias("_n"), "class_id", F.coalesce("root", "class_id").alias("component_id"))
     out = digests.join(named, ["d1", "d2"], "left")
     own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
