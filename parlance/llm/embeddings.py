@@ -10,11 +10,14 @@ and bound together stay below the threshold a pair is left; all others are compu
 anew in double precision, and that alone makes a link.
 
 Candidates come from cells around centroids fitted on a bounded sample of
-``sample`` rows; every vector is indexed in its nearest cell and compared with all
-vectors of its ``probes`` nearest cells.  A pair is found if either has the other's
-cell among its own; each pair counts once for both.  Large cells are divided into
-blocks, so a task holds ``block`` vectors a side, and what leaves a task are counts
-and a spanning forest of its links, not pairs.
+``sample`` rows; centroids that lie together (cosine of ``threshold`` less
+``slack``, taken transitively) share one cell, so that a dense group is compared
+with itself in full, however many centroids it draws.  Every vector is indexed in
+its nearest cell and compared with all vectors of its ``probes`` nearest cells.  A
+pair is found if either has the other's cell among its own; each pair counts once
+for both.  Large cells are divided into blocks, so a task holds a bounded number of
+vectors a side, and what leaves a task are counts and a spanning forest of its
+links, not pairs.
 
 Equal vectors are one from the start and counted with their number.  Vectors that
 are null, zero or hold null or non-finite components link with nothing; vectors of
@@ -88,6 +91,20 @@ def centroids(sample: np.ndarray, k: int, steps: int = 8, seed: int = 3) -> np.n
     return centre
 
 
+def merged(centre: np.ndarray, cosine: float) -> np.ndarray:
+    """For each centroid the smallest of those it reaches in steps of at least ``cosine``."""
+    unit_centre = centre / np.maximum(np.linalg.norm(centre, axis=1, keepdims=True), 1e-12)
+    label = np.arange(len(centre))
+    x, y = (np.concatenate(z) for z in zip(*((a + i, b) for i in range(0, len(centre), 512) for a, b in [np.nonzero(unit_centre[i : i + 512] @ unit_centre.T >= cosine)]), strict=True))
+    while True:
+        new = label.copy()
+        np.minimum.at(new, x, label[y])
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
 def unit(raw: np.ndarray) -> np.ndarray:
     v = raw.astype(np.float64)
     v = v / np.abs(v).max(1, keepdims=True)
@@ -119,28 +136,40 @@ def compare(codes: Codes, threshold: float, homes: dict, members: dict) -> pa.Re
     hv, mv = unit(homes["vector"]), unit(members["vector"])
     code, factor = codes.encode(hv)
     rnd = np.random.Generator(np.random.PCG64(int(members["vec_id"][0]) & 0xFFFFFFFF))
-    add_id, add_n, ea, eb = [], [], [], []
-    for at in range(0, len(mv), 256):
-        part = slice(at, at + 256)
+    member_n, home_n, ea, eb = np.zeros(len(mv), np.int64), np.zeros(len(hv), np.int64), [], []
+    step = max(16, (1 << 19) // len(hv))
+    for at in range(0, len(mv), step):
+        part = slice(at, at + step)
         value, bound = codes.estimates(codes.query(mv[part], rnd), code, factor)
         m, h = np.nonzero(value + bound >= threshold)
         m = m + at
         keep = members["vec_id"][m] != homes["vec_id"][h]
         m, h = m[keep], h[keep]
-        exact = np.concatenate([np.einsum("ij,ij->i", mv[m[i : i + 65536]], hv[h[i : i + 65536]]) for i in range(0, len(m), 65536)]) if len(m) else np.zeros(0)
+        if len(m) * 16 > value.size:  # a dense block: all products at once, those on the edge again one by one
+            exact = (mv[part] @ hv.T)[m - at, h]
+            edge = np.flatnonzero(np.abs(exact - threshold) < 1e-12)
+        else:
+            exact, edge = np.zeros(len(m)), np.arange(len(m))
+        for i in range(0, len(edge), 65536):
+            e = edge[i : i + 65536]
+            exact[e] = np.einsum("ij,ij->i", mv[m[e]], hv[h[e]])
         m, h = m[exact >= threshold], h[exact >= threshold]
         if not len(m):
             continue
-        add_id.append(members["vec_id"][m])
-        add_n.append(homes["copies"][h])
+        member_n += np.bincount(m, homes["copies"][h], len(mv)).astype(np.int64)
         # the other finds this one by itself unless it doesn't probe this one's cell
-        back = ~(homes["near"][h] == members["own"][m][:, None]).any(1)
-        add_id.append(homes["vec_id"][h[back]])
-        add_n.append(members["copies"][m[back]])
-        ea.append(members["vec_id"][m])
-        eb.append(homes["vec_id"][h])
-    if not add_id:
+        same = homes["own"][h] == members["own"][m]
+        back = np.flatnonzero(~same)
+        for i in range(0, len(back), 65536):
+            o = back[i : i + 65536]
+            o = o[~(homes["near"][h[o]] == members["own"][m[o]][:, None]).any(1)]
+            home_n += np.bincount(h[o], members["copies"][m[o]], len(hv)).astype(np.int64)
+        node, root = forest(members["vec_id"][m], homes["vec_id"][h])
+        ea.append(node)
+        eb.append(root)
+    if not ea:
         return None
+    add_id, add_n = [members["vec_id"][member_n > 0], homes["vec_id"][home_n > 0]], [member_n[member_n > 0], home_n[home_n > 0]]
     ids, inverse = np.unique(np.concatenate(add_id), return_inverse=True)
     n = np.bincount(inverse, np.concatenate(add_n)).astype(np.int64)
     node, root = forest(np.concatenate(ea), np.concatenate(eb))
@@ -181,7 +210,7 @@ def blocks(batches: Iterator[pa.RecordBatch], dim: int, codes: Codes, threshold:
         yield got
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.9, probes: int = 16, cell_rows: int = 256, sample: int = 16384, most_cells: int = 4096, block: int = 2048) -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = 0.9, probes: int = 16, cell_rows: int = 256, sample: int = 16384, most_cells: int = 4096, block: int = 2048, slack: float = 0.1) -> DataFrame:
     """vec_id, n_links, component_id, kept for each row of (vec_id, embedding)."""
     spark = vectors.sparkSession
     work = Workspace(spark, "embeddings")
@@ -200,7 +229,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, probes: int = 16
         chosen = own.where(F.pmod(F.xxhash64("vec_id", F.lit(9)), F.lit(1 << 20)) < int(min(1.0, sample / n) * (1 << 20)) + 1).select("embedding").limit(2 * sample).toArrow()["embedding"]
         fitted = np.array(chosen.to_pylist() or own.select("embedding").first()[:1], np.float64).reshape(-1, dim)
         centre = centroids(unit(fitted), int(min(most_cells, max(1, -(-n // cell_rows)))))
-        cells = work.table(_assign(work, own, dim, centre, min(probes, len(centre)), block), f"cells_{dim}")
+        cells = work.table(_assign(work, own, dim, centre, merged(centre, threshold - slack), probes, block), f"cells_{dim}")
         codes = Codes(dim)
         work_rows = cells.repartition("cell", "h", "b").sortWithinPartitions("cell", "h", "b")
         got = work_rows.mapInArrow(lambda it, dim=dim, codes=codes: blocks(it, dim, codes, threshold), FOUND)
@@ -220,9 +249,12 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, probes: int = 16
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
 
-def _assign(work: Workspace, own: DataFrame, dim: int, centre: np.ndarray, probes: int, block: int) -> DataFrame:
+def _assign(work: Workspace, own: DataFrame, dim: int, centre: np.ndarray, label: np.ndarray, probes: int, block: int) -> DataFrame:
     """Rows for the cells: each vector at home in one and as a member of ``probes``, large cells cut into blocks."""
-    held = work.spark.sparkContext.broadcast(centre)  # most_cells vectors at most
+    order = np.argsort(label, kind="stable")  # the centroids of a cell stand together
+    cell_of, first = np.unique(label[order], return_index=True)
+    probes = min(probes, len(cell_of))
+    held = work.spark.sparkContext.broadcast((centre[order], cell_of, first))  # most_cells vectors at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -230,7 +262,9 @@ def _assign(work: Workspace, own: DataFrame, dim: int, centre: np.ndarray, probe
                 part = batch.slice(at, 1024)
                 n = part.num_rows
                 v = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(n, dim)
-                near = np.argsort(-(unit(v) @ held.value.T.astype(np.float64)), axis=1, kind="stable")[:, :probes].astype(np.int64)
+                centre, cell_of, first = held.value
+                best = np.maximum.reduceat(unit(v) @ centre.T.astype(np.float64), first, axis=1)
+                near = cell_of[np.argsort(-best, axis=1, kind="stable")[:, :probes]].astype(np.int64)
                 ids, copies = part.column(0).to_numpy(), part.column(2).to_numpy()
                 who = np.repeat(np.arange(n), probes + 1)
                 cell = np.concatenate([near[:, :1], near], 1).ravel()
@@ -240,7 +274,13 @@ def _assign(work: Workspace, own: DataFrame, dim: int, centre: np.ndarray, probe
 
     rows = own.select("vec_id", "embedding", "copies").mapInArrow(run, "cell bigint, home boolean, vec_id bigint, copies bigint, own bigint, near binary, vector binary")
     rows = work.table(rows, f"assigned_{dim}")
-    counts = rows.groupBy("cell").agg(F.ceil(F.count_if("home") / block).cast("int").alias("_h"), F.ceil(F.count_if(~F.col("home")) / block).cast("int").alias("_b"))
+    # larger blocks for large cells: each of a cell's vectors goes to as many tasks as the other side has blocks
+    most = min(8 * block, max(block, (1 << 21) // dim))
+
+    def pieces(n):
+        return F.ceil(n / F.least(F.greatest(n / 8, F.lit(block)), F.lit(most))).cast("int")
+
+    counts = rows.groupBy("cell").agg(pieces(F.count_if("home")).alias("_h"), pieces(F.count_if(~F.col("home"))).alias("_b"))
     rows = rows.join(counts, "cell").where("_h > 0 and _b > 0")
     spread = F.pmod(F.xxhash64("vec_id", F.lit(5)), F.lit(1 << 30))
     h = F.when(F.col("home"), F.array(F.pmod(spread, F.col("_h")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("_h") - 1))

@@ -60,6 +60,28 @@ def test_estimates_are_unbiased_and_bounded():
     assert (np.abs(error) <= bound).mean() > 0.995
 
 
+@pytest.mark.parametrize("cosine", [0.92, 0.6])
+def test_recall_with_a_dense_group(spark, cosine):
+    """A third of the rows lies together, over many more cells than are probed; a tenth of all are near copies of others."""
+    rnd = np.random.default_rng(4)
+    n, dim = 6000, 64
+    x = rnd.normal(0, 1, (n, dim)) / np.sqrt(dim)
+    x[: n // 3] = np.sqrt(cosine) * embeddings.unit(rnd.normal(size=(1, dim))) + np.sqrt(1 - cosine) * x[: n // 3]
+    x = embeddings.unit(x)
+    of = rnd.permutation(n)
+    x[of[: n // 10]] = embeddings.unit(x[of[n // 10 : n // 5]] + rnd.normal(0, 0.4 / np.sqrt(dim), (n // 10, dim)))
+    x = x.astype(np.float32).astype(float)
+    link = embeddings.unit(x) @ embeddings.unit(x).T >= 0.9
+    want = link.sum(1) - 1
+    df = spark.createDataFrame(list(zip(range(n), x.tolist(), strict=True)), "vec_id bigint, embedding array<float>").repartition(3)
+    got = np.zeros(n, np.int64)
+    for r in embeddings.near_duplicates(df, cell_rows=8, block=512).select("vec_id", "n_links").collect():
+        got[r["vec_id"]] = r["n_links"]
+    assert (got <= want).all()
+    assert got[: n // 3].sum() >= 0.99 * want[: n // 3].sum()
+    assert got[n // 3 :].sum() >= 0.9 * want[n // 3 :].sum()
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "vec_id bigint, embedding array<float>, label int, k1 int")
     assert embeddings.near_duplicates(df).count() == 0
