@@ -7,12 +7,13 @@ all other words belong to one of ``buckets`` classes by their last two bytes, an
 within such a class a word has the share (c + 1) / (n + v + 1) of its count among
 the class's n training tokens of v kinds, so unseen words are scored as well.
 
-Counts cover all training tokens.  Training is truncated backpropagation: each
-training document gives one stretch of ``stretch`` tokens in every round (at a
-place chosen by its id), read in windows with the state carried from one to the
-next; shards train at the same time from the same parameters, which are averaged by
-tokens after each round, in two levels, so that the driver gets a bounded number of
-them.  Output biases start at the classes' and words' frequencies.
+Counts cover all training tokens, and so does training, in one pass by truncated
+backpropagation: each training document is read once from its first token to its
+end, in windows with the state carried from one to the next.  The pass has
+``rounds`` parts, each with other documents; shards train at the same time from the
+same parameters, which are averaged by tokens after each part, in two levels, so
+that the driver gets a bounded number of them.  Output biases start at the classes'
+and words' frequencies.
 
 Scoring carries the state across windows through the whole document; documents of
 similar length run side by side.  A null or empty text is its end token alone.
@@ -26,6 +27,7 @@ vocabulary, whose size is a parameter.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import struct
 from collections.abc import Iterator
 
@@ -194,13 +196,15 @@ class Network:
                 out[at] += (inner[np.arange(len(at)), symbols[at] - a] - top) - np.log(np.exp(inner - top[:, None]).sum(1))
         return out
 
-    def train_window(self, inputs: np.ndarray, targets: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-        """Gradient (flat), last state and loss of a window (steps, lanes); targets below 0 don't count."""
+    def train_window(self, inputs: np.ndarray, targets: np.ndarray, h: np.ndarray, fresh: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, float]:
+        """Gradient (flat), last state and loss of a window (steps, lanes); targets below 0 don't count, the state is 0 before ``fresh`` ones."""
         s, k, (table, u, bias, cw, cb, ww, wb) = self.shape, self.hidden, self.views
         steps, lanes = inputs.shape
-        kept, states = [], [h]
+        on = np.ones((steps, lanes, 1), F32) if fresh is None else (~fresh[:, :, None]).astype(F32)
+        kept, starts, states = [], [], []
         for t in range(steps):
-            *gates, h = self.step(inputs[t], h)
+            starts.append(h * on[t])
+            *gates, h = self.step(inputs[t], starts[t])
             kept.append(gates)
             states.append(h)
         live = np.flatnonzero(targets.ravel() >= 0)
@@ -210,7 +214,7 @@ class Network:
             n = int(np.prod(size))
             g.append(grad[at : at + n].reshape(size))
             at += n
-        out = np.concatenate(states[1:])[live]
+        out = np.concatenate(states)[live]
         symbols = targets.ravel()[live]
         cls = self.classes_of(symbols)
         p = out @ cw.T + cb
@@ -242,7 +246,7 @@ class Network:
         da = np.empty((steps, lanes, 3 * k), F32)
         for t in range(steps - 1, -1, -1):
             z, r, n, hu = kept[t]
-            before = states[t]
+            before = starts[t]
             d = dstates[t] + dh
             dn = d * (1 - z) * (1 - n * n)
             dz = d * (before - n) * z * (1 - z)
@@ -250,10 +254,12 @@ class Network:
             da[t] = np.concatenate([dz, dr, dn], 1)
             db = np.concatenate([dz, dr, dn * r], 1)
             g[1][:] += before.T @ db
-            dh = d * z + db @ u.T
+            dh = (d * z + db @ u.T) * on[t]
         flat = da.reshape(-1, 3 * k)
         g[2][:] = flat.sum(0)
-        np.add.at(g[0], inputs.ravel(), flat)
+        order = np.argsort(inputs.ravel(), kind="stable")
+        kinds, edge = np.unique(inputs.ravel()[order], return_index=True)
+        g[0][kinds] = np.add.reduceat(flat[order], edge, axis=0)
         grad /= max(len(live), 1)
         return grad, h, float(loss)
 
@@ -270,32 +276,55 @@ class Adam:
         flat -= F32(rate) * self.m / (np.sqrt(self.v) + F32(1e-6))
 
 
-def train_page(net: Network, page: dict, turn: int, stretch: int, window: int, lanes: int, adam: Adam) -> int:
-    """Trains on a stretch of each training document of a page; returns the tokens seen."""
+def fill_lanes(length: np.ndarray, docs: np.ndarray, lanes: int) -> list[list[int]]:
+    """Deals documents to at most so many lanes of about equal length, in their order within each; longest lane first."""
+    heap, own = [(0, k) for k in range(min(lanes, len(docs)))], {}
+    for d in docs[np.argsort(-length[docs], kind="stable")].tolist():
+        n, k = heapq.heappop(heap)
+        own[d] = k
+        heapq.heappush(heap, (n + int(length[d]), k))
+    out = [[] for _ in heap]
+    for d in docs.tolist():
+        out[own[d]].append(d)
+    return sorted(out, key=lambda lane: -int(length[lane].sum()))
+
+
+def train_page(net: Network, page: dict, turn: int, rounds: int, window: int, lanes: int, adam: Adam) -> int:
+    """Trains on a page's training documents of this round, each from its first token to its end; returns the tokens seen."""
     symbols = net.shape.words_of(page["kinds"], page["endings"])[page["codes"]]
     length = page["lengths"]
     first = np.cumsum(length) - length
-    docs = np.flatnonzero(~page["held"])
-    spread = mix(page["ids"].astype(np.int64).view(U64) + U64(turn * 7919 + 1))
-    docs = docs[np.argsort(spread[docs], kind="stable")]
-    room = np.maximum(length - stretch + 1, 1)
-    start = (spread % room.astype(U64)).astype(np.int64)
-    seen = 0
-    for at in range(0, len(docs), lanes):
-        own = docs[at : at + lanes]
-        place = start[own][None, :] + np.arange(stretch)[:, None]
-        inside = place < length[own]
-        target = np.where(inside, symbols[np.minimum(first[own] + place, len(symbols) - 1)], -1)
-        before = np.where(place > 0, symbols[np.clip(first[own] + place - 1, 0, len(symbols) - 1)], net.shape.end)
-        h = np.zeros((len(own), net.hidden), F32)
-        for t in range(0, stretch, window):
-            if not (target[t : t + window] >= 0).any():
-                break
-            grad, h, _ = net.train_window(before[t : t + window], target[t : t + window], h)
-            norm = float(np.sqrt((grad * grad).sum()))
-            adam.update(net.flat, grad * F32(min(1.0, 1.0 / max(norm, 1e-6))))
-        seen += int(inside.sum())
-    return seen
+    spread = mix(page["ids"].astype(np.int64).view(U64) + U64(1))
+    docs = np.flatnonzero(~page["held"] & (length > 0) & (spread % U64(rounds) == U64(turn)))
+    if not len(docs):
+        return 0
+    queues = fill_lanes(length, docs[np.argsort(spread[docs], kind="stable")], lanes)
+    line = np.concatenate(queues)
+    edge = np.cumsum(length[line]) - length[line]
+    target = symbols[np.repeat(first[line] - edge, length[line]) + np.arange(int(length[line].sum()))]
+    fresh = np.zeros(len(target), bool)
+    fresh[edge] = True
+    before = np.where(fresh, net.shape.end, np.roll(target, 1))
+    total = np.array([int(length[q].sum()) for q in queues])
+    base = np.cumsum(total) - total
+    h = np.zeros((len(queues), net.hidden), F32)
+    enough = min(lanes, len(queues)) * window // 2  # few lanes left: several windows make an update
+    held, tokens = np.zeros_like(net.flat), 0
+    for t in range(0, int(total[0]), window):
+        n = int(np.searchsorted(-total, -t, "left"))  # lanes longer than t stand first
+        step = t + np.arange(window)[:, None]
+        at = base[:n] + np.minimum(step, total[:n] - 1)
+        inside = step < total[:n]
+        grad, h, _ = net.train_window(before[at], np.where(inside, target[at], -1), h[:n], fresh[at] & inside)
+        seen = int(inside.sum())
+        held += grad * F32(seen)
+        tokens += seen
+        if tokens >= enough or t + window >= total[0]:
+            held /= F32(tokens)
+            norm = float(np.sqrt((held * held).sum()))
+            adam.update(net.flat, held * F32(min(1.0, 1.0 / max(norm, 1e-6))))
+            held[:], tokens = 0, 0
+    return len(target)
 
 
 def score_page(net: Network, symbols: np.ndarray, length: np.ndarray, lanes: int, window: int) -> np.ndarray:
@@ -338,7 +367,7 @@ def average(spark, params: DataFrame, size: int, groups: int = 8) -> np.ndarray:
     return (sum(np.frombuffer(p["params"]) for p in parts) / max(weight, 1e-9)).astype(F32) if weight else np.zeros(0, F32)
 
 
-def score(docs: DataFrame, held_out: str = "held_out", vocabulary: int = 4096, classes: int = 64, buckets: int = 64, hidden: int = 16, rounds: int = 2, stretch: int = 48, window: int = 16, lanes: int = 96, rate: float = 0.01, page_bytes: int = 12 << 20) -> DataFrame:
+def score(docs: DataFrame, held_out: str = "held_out", vocabulary: int = 4096, classes: int = 64, buckets: int = 64, hidden: int = 16, rounds: int = 2, window: int = 16, lanes: int = 96, rate: float = 0.01, page_bytes: int = 12 << 20) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document of (doc_id, held_out, text)."""
     spark = docs.sparkSession
     work = Workspace(spark, "recurrent")
@@ -367,7 +396,7 @@ def score(docs: DataFrame, held_out: str = "held_out", vocabulary: int = 4096, c
         def learn(batches: Iterator[pa.RecordBatch], held=held, turn=turn) -> Iterator[pa.RecordBatch]:
             for row in rows_of(batches):
                 net = Network(held.value[0], hidden, held.value[1])
-                seen = train_page(net, open_page(row), turn, stretch, window, lanes, Adam(len(net.flat), rate / (1 + turn)))
+                seen = train_page(net, open_page(row), turn, rounds, window, lanes, Adam(len(net.flat), rate / (1 + turn)))
                 if seen:
                     yield pa.RecordBatch.from_arrays([pa.array([float(seen)]), pa.array([net.flat.tobytes()], pa.binary())], ["weight", "params"])
 

@@ -35,6 +35,55 @@ def test_gradient():
         assert abs((losses[0] - losses[1]) / 2e-2 / n - grad[i]) < 2e-3
 
 
+def test_training_reads_whole_documents(monkeypatch):
+    """Over all rounds every training document passes once, from its first token to its end, the state set to zero before it only."""
+    net = small_network()
+    lengths = np.array([1, 700, 3, 64, 65, 5000, 17, 2, 90])
+    rnd = np.random.default_rng(5)
+    kinds = np.sort(net.shape.hashes)
+    page = {"kinds": kinds, "endings": np.zeros(len(kinds), int), "ids": np.arange(len(lengths)), "held": np.arange(len(lengths)) == 4, "lengths": lengths, "codes": rnd.integers(0, len(kinds), lengths.sum())}
+    symbols = net.shape.words_of(page["kinds"], page["endings"])[page["codes"]]
+    parts = np.split(symbols, np.cumsum(lengths)[:-1])
+    want = Counter(tuple(p.tolist()) for k, p in enumerate(parts) if k != 4)
+    seen, lanes, plain = Counter(), {}, recurrent.Network.train_window
+
+    def watched(self, inputs, targets, h, fresh):
+        for k in range(inputs.shape[1]):
+            for i, t, f in zip(inputs[:, k].tolist(), targets[:, k].tolist(), fresh[:, k].tolist(), strict=True):
+                if t < 0:
+                    continue
+                if f:
+                    seen[tuple(lanes.get(k, []))] += k in lanes
+                    lanes[k] = []
+                assert i == (lanes[k][-1] if lanes[k] else net.shape.end)
+                lanes[k].append(t)
+        return plain(self, inputs, targets, h, fresh)
+
+    monkeypatch.setattr(recurrent.Network, "train_window", watched)
+    tokens = 0
+    for turn in range(2):
+        tokens += recurrent.train_page(net, page, turn, 2, 16, 3, recurrent.Adam(len(net.flat), 0.01))
+        for lane in lanes.values():
+            seen[tuple(lane)] += 1
+        lanes.clear()
+    assert tokens == lengths.sum() - lengths[4]
+    assert +seen == want
+    assert np.isfinite(net.flat).all()
+
+
+def test_fresh_documents_within_a_window():
+    """A window of two documents in one lane has the gradient of the two apart."""
+    net = small_network()
+    rnd = np.random.default_rng(6)
+    inputs, targets = rnd.integers(0, 7, (7, 1)), rnd.integers(0, 7, (7, 1))
+    h, fresh = rnd.normal(0, 0.5, (1, 4)).astype(np.float32), np.arange(7)[:, None] == 3
+    both, last, loss = net.train_window(inputs, targets, h, fresh)
+    one, _, loss_1 = net.train_window(inputs[:3], targets[:3], h)
+    two, last_2, loss_2 = net.train_window(inputs[3:], targets[3:], np.zeros_like(h))
+    assert np.allclose(both * 7, one * 3 + two * 4, atol=1e-5)
+    assert np.allclose(last, last_2) and abs(loss - loss_1 - loss_2) < 1e-4
+
+
 def test_next_symbols_sum_to_one_and_state_is_carried():
     net = small_network()
     h = np.random.default_rng(3).normal(0, 1, (1, 4)).astype(np.float32)
