@@ -10,8 +10,12 @@ uniform share.  A text gets the language with the lowest cross-entropy a charact
 The models are fitted on a bounded sample of labelled rows: about ``per_language``
 documents of each language, chosen by hash, of which a fifth calibrates.  From
 these come a temperature for the score and, for each language, the cross-entropy
-beyond which a text is rejected as none of the learned languages.  Everything else
-reads every document whole.
+beyond which a text is rejected as none of the learned languages: above the 90 %
+quantile of the calibration documents that the model assigns to it, so that single
+rows and wrong labels don't move it.  A language with few of them gets its limit by
+cross-validation on its own documents, or, where these go to other languages, the
+highest limit of the others; none is without.  Everything else reads every document
+whole.
 
 A null text or one without letters is ``und`` with score 0, and rejected.
 """
@@ -162,6 +166,7 @@ class Identifier:
         self.keep, self.temperature, self.limits = keep, 10.0, np.full(len(self.languages), np.inf)
         self._forget()
         self._calibrate(held)
+        self._limit_rare(sample)
 
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k not in ("index", "known", "length")}
@@ -217,10 +222,38 @@ class Identifier:
             best = min(best, (loss, t))
         self.temperature = best[1]
         for k in range(len(self.languages)):
-            own = e[truth == k, k]
+            own = e[(truth == k) & (e.argmin(1) == k), k]
             if len(own) >= 5:
-                middle, high = np.quantile(own, [0.5, 0.99])
-                self.limits[k] = max(own.max(), high) + max(1.0, 2 * (high - middle))
+                self.limits[k] = self._limit(own)
+
+    @staticmethod
+    def _limit(own: np.ndarray) -> float:
+        middle, high = np.quantile(own, [0.5, 0.9])
+        return float(high + min(max(1.0, 3 * (high - middle)), 2.0))
+
+    def _limit_rare(self, sample: list[tuple[str, str]]) -> None:
+        """Limits of the languages without enough calibration documents."""
+        pooled = max(self.limits[np.isfinite(self.limits)], default=None)
+        for k in np.flatnonzero(np.isinf(self.limits)):
+            texts = [text for lang, text in sample if lang == self.languages[k]]
+            docs = [words for text in texts if (words := LETTERS.findall(text.lower()))]
+            if len(docs) == 1:
+                docs = [half for half in (docs[0][::2], docs[0][1::2]) if half]
+            other = self.entropies([" ".join(words) for words in docs])
+            other[:, k] = np.inf
+            folds, own = min(5, len(docs)), np.full(len(docs), np.nan)
+            for f in range(folds if folds > 1 else 0):
+                model = KneserNey([Counter(w for i, words in enumerate(docs) if i % folds != f for w in words)], self.model.order)
+                for i in range(f, len(docs), folds):
+                    flat, first = _flatten(docs[i])
+                    own[i] = -model.log_probability(flat, first).sum() / (len(flat) - len(first))
+            mine = own[own <= other.min(1)]
+            if len(mine) >= 2:
+                self.limits[k] = self._limit(mine)
+            elif pooled is not None:
+                self.limits[k] = pooled
+            else:
+                self.limits[k] = self._limit(own) if folds > 1 else np.log(ALPHABET) / 2
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float, float | None, bool]]:
         """Language, score, cross-entropy and whether it is rejected, of each text."""

@@ -73,6 +73,29 @@ def test_held_out_accuracy_and_rejection(spark, sf):
     assert all(p[3] for p in model.predict(junk))
 
 
+def _sentences(seed, n, syllables):
+    rnd = random.Random(seed)
+    return [" ".join("".join(rnd.choice(syllables) for _ in range(rnd.randint(1, 3))) for _ in range(60)) for _ in range(n)]
+
+
+def test_rare_and_wrong_labels_do_not_open_the_limits():
+    one = _sentences(1, 150, ["ka", "to", "mi", "re", "sun"])
+    two = _sentences(2, 150, ["ble", "gor", "chi", "wen", "ast"])
+    rare, copied = _sentences(3, 4, ["pul", "vex", "jo", "dri"]), _sentences(4, 3, ["ka", "to", "mi", "re", "sun"])
+    sample = [("one", t) for t in one] + [("two", t) for t in two] + [("rare", t) for t in rare] + [("copied", t) for t in copied] + [("single", "xalu xulo luxa loxu ulxo")]
+    # a tenth of "two" is text of "one", and some is noise
+    rnd = random.Random(5)
+    noise = ["".join(rnd.choice("βγδζθλμξπσφχψω ") for _ in range(300)) for _ in range(8)]
+    sample[150:150] = [("two", t) for t in _sentences(6, 15, ["ka", "to", "mi", "re", "sun"])] + [("two", t) for t in noise[:3]]
+    model = language.Identifier(sample)
+    assert np.isfinite(model.limits).all()
+    junk = ["".join(rnd.choice("бвгджзклмнпрст ") for _ in range(300)) for _ in range(5)] + ["漢字仮名交じり文 東京都庁前 " * 9, "qzxjkvw " * 40]
+    junk += _sentences(7, 3, ["hyf", "nqa", "zzu", "ewp"])  # a language that was not learned
+    assert all(p[3] for p in model.predict(junk))
+    clean = _sentences(8, 20, ["ka", "to", "mi", "re", "sun"]) + _sentences(9, 20, ["ble", "gor", "chi", "wen", "ast"]) + _sentences(10, 5, ["pul", "vex", "jo", "dri"])
+    assert not any(p[3] for p in model.predict(clean))
+
+
 def test_texts_without_letters(spark):
     docs = spark.createDataFrame([(1, None, "en", "a"), (2, "123 --", None, None), (3, "hello there", "en", "b"), (None, "", "fr", "c")], "doc_id bigint, text string, lang string, score string")
     model = language.fit(docs)
