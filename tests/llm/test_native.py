@@ -122,3 +122,33 @@ def test_license_scan_equals_brute_force(spark):
     want = {i: {n: round(d, 9) for n, d in brute_licenses(t).items()} for i, t in enumerate(texts)}
     assert got == {i: w for i, w in want.items() if w}
     assert licenses.scan(docs.limit(0)).count() == 0
+
+
+def best_windows(text):
+    """The best coefficient of any run of words for each licence, by trying them all."""
+    found = licenses.WORDS.findall(licenses.lower(text))
+    pairs, best = list(zip(found, found[1:], strict=False)), {}
+    for name, texts in licenses.TEMPLATES.items():
+        for b in map(licenses.bigrams, texts):
+            for i in range(len(pairs)):
+                for j in range(i, len(pairs)):
+                    own = set(pairs[i : j + 1])
+                    best[name] = max(best.get(name, 0.0), 2 * len(own & b) / (len(own) + len(b)))
+    return best
+
+
+def test_notices_inside_passages():
+    held = licenses.Templates(licenses.TEMPLATES, 0.8)
+    mit = licenses.TEMPLATES["MIT"][2]
+    third = len(mit) // 3
+    comment = "# copyright 2020 some one and all the others of them\n#\n# " + mit[:third] + "\n# " + mit[third : 2 * third] + "\n# " + mit[2 * third :] + "\n#\n# the above copyright notice and this permission notice shall be included in all copies or substantial portions and more words follow here until the end of it\nimport os"
+    line = "The tools in this chapter are released under the MIT License. They may be copied by anyone who has read it, and the GNU Affero General Public License, version 3 is not one of them."
+    for text in (comment, line):
+        got = {name: dice for name, dice, _ in held.scan(text)}
+        assert set(got) == {"MIT"}
+        assert got["MIT"] == pytest.approx(best_windows(text)["MIT"])
+    assert [p for _, _, p in held.scan(line)] == ["released under the mit license"]
+    two = "Part one is licensed under CC BY 4.0 and part two is licensed under CC BY-NC 4.0 as the table of all parts below says in detail"
+    assert {name for name, _, _ in held.scan(two)} == {"CC-BY-4.0", "CC-BY-NC-4.0"}
+    exact = "we say: this work is licensed under the GNU General Public License, version 3. And so on, for as long as a line of some more words goes"
+    assert {name: dice for name, dice, _ in held.scan(exact)} == {"GPL-3.0": 1.0}
