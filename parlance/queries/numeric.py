@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from parlance.functions import decoding, signal, vectors
@@ -84,8 +85,8 @@ def lexicon_max_sim(spark, sf):
 def topk_similar(spark, sf):
     """The three vectors of each label that lie furthest along the first axis."""
     e = table(spark, sf, "embeddings")
-    best = e.groupBy("label").agg(F.collect_list(F.struct((-F.col("embedding")[0].cast("double")).alias("s"), "vec_id")).alias("c"))
-    return best.select("label", F.posexplode(F.slice(F.array_sort("c"), 1, 3)).alias("p", "r")).select("r.vec_id", "label", (F.col("p") + 1).cast("int").alias("rank"))
+    first = Window.partitionBy("label").orderBy(F.desc(F.col("embedding")[0].cast("double")), "vec_id")
+    return e.select("vec_id", "label", F.row_number().over(first).cast("int").alias("rank")).where("rank <= 3")
 
 
 @query(f"""WITH p AS (SELECT a.vec_id, list_transform(list_zip(a.embedding, b.embedding), lambda z: abs(z[1]::double - z[2]::double)) AS g FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1)

@@ -47,3 +47,9 @@ def test_entry(spark):
 
     assert {"lang", "mean_wer", "n"} == set(__spark_entry__.entry(spark).columns)
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_topk_holds_no_label_whole(spark, sf):
+    plan = QUERIES["topk_similar"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan
+    assert "WindowGroupLimit" in plan
