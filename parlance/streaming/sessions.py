@@ -44,46 +44,78 @@ def transitions(states: DataFrame) -> DataFrame:
 
 
 def rechunk(events: DataFrame, size: int = 1600) -> DataFrame:
-    """session_id, chunk, samples: a session's samples in chunks of one size, the last one shorter."""
-    joined = events.where("samples is not null").groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("seq", "samples"))).alias("c"))
-    flat = joined.select("session_id", F.flatten(F.transform("c", lambda c: c["samples"])).alias("s")).where(F.size("s") > 0)
-    starts = F.sequence(F.lit(0), F.size("s") - 1, F.lit(size))
-    return flat.select("session_id", F.posexplode(F.transform(starts, lambda i: F.slice("s", i + 1, F.lit(size)))).alias("chunk", "samples"))
+    """session_id, chunk, samples: a session's samples in chunks of one size, the last one shorter.
+
+    Each event's samples are cut where a chunk begins, by the session's running length; only
+    the pieces of one chunk are ever gathered, so a session may have any length.
+    """
+    spoken = events.where(F.size("samples") > 0)
+    past = F.sum(F.size("samples").cast("bigint")).over(Window.partitionBy("session_id").orderBy("seq", F.hash("samples")).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    placed = spoken.withColumn("_at", past - F.size("samples"))
+    first, last = F.floor(F.col("_at") / size), F.floor((F.col("_at") + F.size("samples") - 1) / size)
+    cut = placed.withColumn("chunk", F.explode(F.sequence(first, last)))
+    start = F.greatest(F.col("chunk") * size - F.col("_at"), F.lit(0))
+    end = F.least((F.col("chunk") + 1) * size - F.col("_at"), F.size("samples").cast("bigint"))
+    piece = F.slice("samples", (start + 1).cast("int"), (end - start).cast("int"))
+    chunks = cut.select("session_id", F.col("chunk").cast("int").alias("chunk"), F.struct("_at", piece.alias("s")).alias("piece")).groupBy("session_id", "chunk")
+    return chunks.agg(F.flatten(F.transform(F.array_sort(F.collect_list("piece")), lambda c: c["s"])).alias("samples"))
 
 
 def rechunk_stream(events: DataFrame, size: int = 1600, timeout: str = "10 minutes") -> DataFrame:
-    """The same on a stream: samples wait in the session's state until a chunk is full; the rest goes out when the session ends by time or by a 'final' event.
+    """The same on a stream: samples wait in the session's state until a chunk is full; the rest goes out at a 'final' event.
 
+    Events with a ``ts`` column and a watermark on it also end a session that has been silent
+    for ``timeout`` of event time.  Without, it ends by 'final' alone: time that passes on the
+    clock would ask for batch after batch, so that a run over what there is would never end.
     Chunks follow the order of arrival; within a batch that of ``seq``.
     """
     out = "session_id bigint, chunk int, samples array<double>"
+    timed = "EventTimeTimeout" if _has_watermark(events) else "NoTimeout"
     wait_ms = int(pd.Timedelta(timeout).total_seconds() * 1000)
 
     def run(key, frames: Iterator[pd.DataFrame], state):
         number, held = state.get if state.exists else (0, [])
-        number, held, rows, over = int(number), [float(x) for x in held], [], state.hasTimedOut
+        number, held, rows, over, last = int(number), [float(x) for x in held], [], state.hasTimedOut, 0
         for frame in frames:
             for row in frame.sort_values("seq").itertuples():
                 held += [] if row.samples is None else [float(x) for x in row.samples]
                 over = over or row.kind == "final"
+            if timed == "EventTimeTimeout" and len(frame):
+                last = max(last, int(frame["_ms"].max()))
         while len(held) >= size or (over and held):
             rows.append((key[0], number, held[:size]))
             held, number = held[size:], number + 1
         if over:
-            state.remove()
+            if state.exists:
+                state.remove()
         else:
             state.update((number, held))
-            state.setTimeoutDuration(wait_ms)
+            if timed == "EventTimeTimeout":
+                state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + wait_ms)
         yield pd.DataFrame(rows, columns=["session_id", "chunk", "samples"])
 
-    return events.groupBy("session_id").applyInPandasWithState(run, out, "chunk int, held array<double>", "append", "ProcessingTimeTimeout")
+    if timed == "EventTimeTimeout":
+        events = events.withColumn("_ms", F.coalesce(F.unix_millis("ts"), F.lit(0)))
+    return events.groupBy("session_id").applyInPandasWithState(run, out, "chunk int, held array<double>", "append", timed)
+
 
+def _has_watermark(events: DataFrame) -> bool:
+    return "ts" in events.columns and "EventTimeWatermark" in events._jdf.queryExecution().logical().toString()
 
-def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over what there is, writes it and returns what was written.  In complete mode the last state replaces what was there."""
+
+def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "append", seconds: int = 600) -> DataFrame:
+    """Runs a stream over what there is, writes it and returns what was written.  In complete mode the last state replaces what was there.
+
+    A run that has not ended after ``seconds`` is stopped and raises TimeoutError.
+    """
 
     def write(batch: DataFrame, _: int) -> None:
         batch.write.mode("overwrite" if mode == "complete" else "append").parquet(path)
 
-    stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
+    query = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
+    try:
+        if not query.awaitTermination(seconds):
+            raise TimeoutError(f"the stream has not ended after {seconds} seconds")
+    finally:
+        query.stop()
     return stream.sparkSession.read.schema(stream.schema).parquet(path)

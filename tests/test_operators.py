@@ -1,6 +1,7 @@
 """Cases by hand: orders, ties, quirks, nulls, readers, streams and the builder."""
 
 import json
+from datetime import datetime, timedelta
 
 import numpy as np
 import pytest
@@ -139,10 +140,20 @@ def test_chunks_of_a_stream(spark, tmp_path):
     rows = [(1, 1, "audio", [1.0, 2.0, 3.0]), (1, 2, "audio", [4.0, 5.0]), (1, 3, "final", None), (2, 1, "audio", [9.0])]
     spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
-    out = sessions.run_available(sessions.rechunk_stream(stream, 2), str(tmp_path / "out"), str(tmp_path / "state"))
+    out = sessions.run_available(sessions.rechunk_stream(stream, 2), str(tmp_path / "out"), str(tmp_path / "state"), seconds=120)
     assert sorted((r["session_id"], r["chunk"], r["samples"]) for r in out.collect()) == [(1, 0, [1.0, 2.0]), (1, 1, [3.0, 4.0]), (1, 2, [5.0])]
 
 
+def test_silent_sessions_of_a_stream_end_by_event_time(spark, tmp_path):
+    schema = "session_id long, seq long, ts timestamp, kind string, samples array<double>"
+    day = datetime(2024, 1, 1)
+    for rows in ([(1, 1, day, "audio", [1.0, 2.0, 3.0])], [(2, 1, day + timedelta(hours=1), "audio", [4.0])], [(2, 2, day + timedelta(hours=1), "final", None)]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in")).withWatermark("ts", "1 minute")
+        out = sessions.run_available(sessions.rechunk_stream(stream, 2), str(tmp_path / "out"), str(tmp_path / "state"), seconds=120)
+    assert sorted((r["session_id"], r["chunk"], r["samples"]) for r in out.collect()) == [(1, 0, [1.0, 2.0]), (1, 1, [3.0]), (2, 0, [4.0])]
+
+
 def test_tokens(spark):
     assert each(spark, ["a　b  c", ""], text.words) == [["a", "b", "c"], []]
     assert each(spark, ["Hi.  How?! 好。x"], text.sentences) == [["Hi.", "How?", "!", "好。", "x"]]
