@@ -64,7 +64,10 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def text_slices(ids: pa.Array, text: pa.Array, limit: int = SLICE_BYTES):
-    """Yields (ids, bytes, offsets) of consecutive rows of about ``limit`` bytes; a null is empty."""
+    """Yields (ids, bytes, offsets) of consecutive rows of about ``limit`` bytes; a null text is empty.
+
+    ids are an int64 array, or an object array of int and None where the batch has a null id.
+    """
     text = text.cast(pa.large_string())
     offsets = np.frombuffer(text.buffers()[1], np.int64, len(text) + 1, text.offset * 8)
     data = np.frombuffer(text.buffers()[2], np.uint8) if text.buffers()[2] is not None else np.zeros(0, np.uint8)
@@ -73,7 +76,7 @@ def text_slices(ids: pa.Array, text: pa.Array, limit: int = SLICE_BYTES):
         keep = np.repeat(size > 0, np.diff(offsets))
         data = data[offsets[0] : offsets[-1]][keep]
         offsets = np.concatenate([[0], np.cumsum(size)])
-    names = ids.to_numpy(zero_copy_only=False)
+    names = np.array(ids.to_pylist(), object) if ids.null_count else ids.to_numpy()
     at = 0
     while at < len(names):
         end = int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1

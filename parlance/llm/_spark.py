@@ -5,30 +5,53 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: While a table is written: texts vary by orders of magnitude, so fewer rows a batch keep Python
+#: workers small; and what a finished job has shuffled is of no more use, so Spark deletes it.
+WRITING = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2048", "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+
+
 class Workspace:
     """Intermediate tables, written below spark.checkpoint.dir so that lost executors cost no more than their tasks.
 
-    Where the setting is missing (tests), a temporary folder of this machine is set.
+    Where that is not set, a local session (tests) gets a temporary folder; a cluster is refused.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         root = spark.conf.get("spark.checkpoint.dir", None)
         if not root:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             root = tempfile.mkdtemp(prefix="parlance-")
             spark.conf.set("spark.checkpoint.dir", root)
         self.spark, self.root = spark, f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
-        # texts vary by orders of magnitude: fewer rows a batch keep Python workers small
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2048")
+
+    @contextmanager
+    def writing(self) -> Iterator[None]:
+        """Settings for the jobs that write a table; the session has its own again afterwards."""
+        before = {key: self.spark.conf.get(key, None) for key in WRITING}
+        for key, value in WRITING.items():
+            self.spark.conf.set(key, value)
+        try:
+            yield
+        finally:
+            for key, value in before.items():
+                if value is None:
+                    self.spark.conf.unset(key)
+                else:
+                    self.spark.conf.set(key, value)
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         """Writes df and returns what was written."""
         path = f"{self.root}/{name}"
-        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        with self.writing():
+            df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def release(self) -> None:

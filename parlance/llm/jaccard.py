@@ -8,7 +8,9 @@ meets in the band of its smaller set, so a set is indexed in its own band and in
 the one below.
 
 A set is covered in a band if the errors that its segments withstand add up to more
-than H.  An exact signature is worth one.  Where a set has too few filled segments,
+than H.  An exact signature is worth one, and a set that has more filled segments than
+that leaves out the last ones: of a pair, all that the side which stops first has up to
+there is also among the other's.  Where a set has too few filled segments,
 the allocation also pays for the one-deletion neighbourhoods of its segments of two
 or more shingles, which are then worth two: if a pair differs there by one shingle,
 one side's subset is a neighbour of the other's.  Of a pair, one covered side is
@@ -20,15 +22,20 @@ count as well if need be.  So no pair is lost, whatever the data.
 
 What meets is verified by its exact sets.  Work for copies is spared, not results:
 equal sets are one class from the start; a first round over few segments links each
-set to one leader; two more, over a quarter of the signatures each, try neighbours
-in a random order of each group.  The last round has all signatures and tries every
-pair that is not yet in one component, so groups of many near copies, joined by
-then, cost no pairs of their own.  The components come from verified links alone.
-
-Sets are of 48-bit shingle hashes, compared only within a pair.  Documents without
+set to one leader; a second, over an eighth of the signatures, tries neighbours in a
+random order of each group.  The last round has all signatures and tries every pair
+that is not yet in one component.  Small groups give their pairs at once.  Members
+of a large group have many signatures in common and differ only in what each has of
+its own, so that nearly all of its pairs would fail: they are compared by 1024-bit
+parity bitmaps, which bound the difference from below, in blocks of bounded size,
+and only what the bound lets through is a pair.  Components come from verified links
+alone; links inside one component are not counted.
+
+Sets are of 64-bit shingle hashes, compared only within a pair.  Documents without
 words (null or blank texts) have an empty set and link with nothing; fewer words
-than a shingle are one shingle.  doc_id is taken as unique; a null doc_id keeps its
-row and has a null component unless an equal text has an id.
+than a shingle are one shingle.  Rows with equal doc_id count as one document in
+components and keep their rows; a null doc_id keeps its row and has a null component
+unless an equal text has an id.
 """
 
 from __future__ import annotations
@@ -45,16 +52,13 @@ from parlance.llm._bytes import as_long, mix, shingles, text_slices, word_hashes
 from parlance.llm._spark import Workspace, components
 
 U64 = np.uint64
-MASK = U64((1 << 48) - 1)
 BITMAP = 1024
-ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
 
 def doc_sets(ids: np.ndarray, data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(document, 48-bit shingle), sorted and distinct."""
+    """(document, 64-bit shingle), sorted and distinct."""
     start, end, doc = words(data, offsets)
     hashed, owner, _ = shingles(word_hashes(data, start, end), doc, len(ids), k)
-    hashed = hashed & MASK
     order = np.lexsort((hashed, owner))
     hashed, owner = hashed[order], owner[order]
     new = np.ones(len(hashed), bool)
@@ -62,14 +66,8 @@ def doc_sets(ids: np.ndarray, data: np.ndarray, offsets: np.ndarray, k: int) ->
     return owner[new], hashed[new]
 
 
-def pack(tokens: np.ndarray) -> bytes:
-    return np.ascontiguousarray(tokens.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
-
-
 def unpack(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
-    return out.view("<u8").ravel()
+    return np.frombuffer(raw, "<u8")
 
 
 class Bands:
@@ -83,14 +81,17 @@ class Bands:
             self.low.append(low)
             self.high.append(high)
             low = high + 1
-        high = np.array(self.high, np.int64)
-        self.most = (den - num) * (high + high * den // num) // (den + num)
-        self.segments = np.ceil((self.most + 1) * 1.15).astype(np.int64) + 1
-        self.low = np.array(self.low, np.int64)
+        self.low, self.high = np.array(self.low, np.int64), np.array(self.high, np.int64)
+        self.segments = np.ceil(self.need(self.high, np.arange(len(self.high))) * 1.15).astype(np.int64) + 1
 
     def of(self, size: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.low, size, "right") - 1
 
+    def need(self, size: np.ndarray, band: np.ndarray) -> np.ndarray:
+        """One more than the most shingles in which a set and a partner that meets it in ``band`` differ."""
+        partner = np.where(self.of(size) == band, size * self.den // self.num, self.high[band])
+        return (self.den - self.num) * (size + partner) // (self.den + self.num) + 1
+
 
 def signatures(owner: np.ndarray, tokens: np.ndarray, size: np.ndarray, bands: Bands, band: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(document, signature) of documents in the given band each (-1: none); hot: a sorted array of left-out shingles."""
@@ -106,7 +107,7 @@ def signatures(owner: np.ndarray, tokens: np.ndarray, size: np.ndarray, bands: B
         if not len(docs):
             break
         m = np.where(live, bands.segments[band], 0)
-        need = bands.most[band] + 1
+        need = bands.need(size, band)
         base = np.cumsum(m) - m
         own, tok = owner[use], tokens[use]
         salt = mix(band.astype(U64) * U64(2) + U64(full))
@@ -125,7 +126,9 @@ def signatures(owner: np.ndarray, tokens: np.ndarray, size: np.ndarray, bands: B
         emit = count > 0
         if full:
             emit |= bare[holder]
-        at = np.flatnonzero(emit)
+        rank = np.cumsum(count > 0)
+        rank -= np.concatenate([[0], rank])[base][holder]
+        at = np.flatnonzero(emit & (short[holder] | (rank <= need[holder])))
         outs.append((holder[at], mix(total[at] ^ place[at])))
         cut = np.flatnonzero(short[own] & (count[cell] > 1))
         outs.append((own[cut], mix((total[cell[cut]] - content[cut]) ^ place[cell[cut]])))
@@ -147,13 +150,13 @@ def _slices(batch: pa.RecordBatch, rows: int = 400):
 
 def digest_rows(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for ids, data, offsets in text_slices(batch.column(0).fill_null(-1), batch.column(1)):
+        for ids, data, offsets in text_slices(batch.column(0), batch.column(1)):
             owner, tokens = doc_sets(ids, data, offsets, k)
             n = np.bincount(owner, minlength=len(ids))
             d = [np.zeros(len(ids), U64), np.zeros(len(ids), U64)]
             for seed, out in enumerate(d):
                 np.add.at(out, owner, mix(tokens + U64((seed + 1) * 0x9E3779B97F4A7C15 % 2**64)))
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n), pa.array(as_long(d[0])), pa.array(as_long(d[1]))], ["doc_id", "n", "d1", "d2"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n), pa.array(as_long(d[0])), pa.array(as_long(d[1]))], ["doc_id", "n", "d1", "d2"])
 
 
 def set_rows(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
@@ -166,7 +169,7 @@ def set_rows(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBat
             spot = (mix(tokens) % U64(BITMAP)).astype(np.int64)
             np.logical_xor.at(bits, (owner, spot), True)
             maps = np.packbits(bits, axis=1)
-            sets = [pack(tokens[a:b]) for a, b in zip(edge, edge[1:], strict=False)]
+            sets = [tokens[a:b].astype("<u8").tobytes() for a, b in zip(edge, edge[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n), pa.array(sets, pa.binary()), pa.array([m.tobytes() for m in maps], pa.binary())], ["doc_id", "n", "tokens", "bitmap"])
 
 
@@ -196,7 +199,7 @@ def heavy_rows(batches: Iterator[pa.RecordBatch], share: float) -> Iterator[pa.R
                     key, count = key[keep], count[keep]
     merge()
     keep = count >= max(4, share / 2 * docs)
-    yield pa.RecordBatch.from_arrays([pa.array(key[keep].astype(np.int64)), pa.array(count[keep])], ["token", "n"])
+    yield pa.RecordBatch.from_arrays([pa.array(as_long(key[keep])), pa.array(count[keep])], ["token", "n"])
 
 
 def ring_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,47 +217,124 @@ def ring_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], ["a", "b"])
 
 
-def meet_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (signature, root, doc_id) sorted by signature and root: pairs of different roots with a signature in common."""
-    held = [np.zeros(0, np.int64)] * 3
+MET = pa.schema([("sig", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
+
+
+def meet_rows(batches: Iterator[pa.RecordBatch], pairs_a_row: int = 8, most_rows: int = 8192) -> Iterator[pa.RecordBatch]:
+    """From (signature, root, doc_id) sorted by signature and root: what meets in each signature.
+
+    Small groups give (null, a, b), pairs of different roots.  Of a group with more than
+    ``pairs_a_row`` pairs for each of its rows, or more than ``most_rows`` rows, nothing is
+    paired here: its rows go on as (signature, root, doc_id).
+    """
+    held: list[np.ndarray] = [np.zeros(0, np.int64)] * 3
+    passing = None  # the signature of a group whose rows already go on
+
+    def group_rows(sig, root, doc) -> Iterator[pa.RecordBatch]:
+        if not len(sig):
+            return
+        edge = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1], [True]]))
+        change = np.flatnonzero((sig[1:] == sig[:-1]) & (root[1:] != root[:-1])) + 1
+        spot = np.searchsorted(edge, change, "right") - 1
+        x, y, onward = [], [], []
+        for g in np.unique(spot).tolist():
+            s, e = edge[g], edge[g + 1]
+            cut = change[np.searchsorted(spot, g, "left") : np.searchsorted(spot, g, "right")]
+            after = e - cut
+            before = np.diff(np.concatenate([[s], cut]))
+            if int((before * after).sum()) > pairs_a_row * (e - s):
+                onward.append(np.arange(s, e))
+                continue
+            for lo, hi in zip(cut.tolist(), [*cut[1:].tolist(), e], strict=True):
+                x.append(np.repeat(doc[s:lo], hi - lo))
+                y.append(np.tile(doc[lo:hi], lo - s))
+        if x:
+            u, v = np.concatenate(x), np.concatenate(y)
+            both = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)], 1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(both), pa.int64()), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], schema=MET)
+        if onward:
+            at = np.concatenate(onward)
+            yield rows_on(sig[at], root[at], doc[at])
+
+    def rows_on(sig, root, doc) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(sig), pa.array(root), pa.array(doc)], schema=MET)
+
+    for batch in batches:
+        sig, root, doc = (np.concatenate([h, c.to_numpy()]) for h, c in zip(held, batch.columns, strict=True))
+        if passing is not None and len(sig):
+            end = int(np.searchsorted(sig != passing, True))
+            if end:
+                yield rows_on(sig[:end], root[:end], doc[:end])
+            sig, root, doc = sig[end:], root[end:], doc[end:]
+        if not len(sig):
+            held = [sig, root, doc]
+            continue
+        passing = None
+        last = int(np.searchsorted(sig, sig[-1], "left"))
+        yield from group_rows(sig[:last], root[:last], doc[:last])
+        held = [sig[last:], root[last:], doc[last:]]
+        if len(held[0]) > most_rows:
+            passing = held[0][0]
+            yield rows_on(*held)
+            held = [h[:0] for h in held]
+    yield from group_rows(*held)
+
+
+def block_rows(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
+    """From (key, side, doc_id, root, n, bitmap) sorted by key: pairs of different roots that sizes and bitmaps allow.
+
+    Sides 0 and 1 are compared with one another, side 2 with itself.
+    """
+    held = None
 
-    def pairs_of(sig, root, doc) -> tuple[list, list]:
+    def pairs_of(side, doc, root, n, bits) -> tuple[list, list]:
         a, b = [], []
-        if len(sig):
-            edge = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1], [True]]))
-            change = np.concatenate([[False], (sig[1:] == sig[:-1]) & (root[1:] != root[:-1])])
-            for x in np.unique(np.searchsorted(edge, np.flatnonzero(change), "right") - 1).tolist():
-                s, e = edge[x], edge[x + 1]
-                cut = np.flatnonzero(root[s + 1 : e] != root[s : e - 1]) + s + 1
-                for lo, hi in zip(cut.tolist(), [*cut[1:].tolist(), e], strict=True):
-                    a.append(np.repeat(doc[s:lo], hi - lo))
-                    b.append(np.tile(doc[lo:hi], lo - s))
+        for one, other in ((0, 1), (2, 2)):
+            left, right = np.flatnonzero(side == one), np.flatnonzero(side == other)
+            step = max(1, (1 << 16) // max(1, len(right)))
+            for at in range(0, len(left), step):
+                i = left[at : at + step]
+                near = (root[i][:, None] != root[right][None, :]) & (np.minimum(n[i][:, None], n[right][None, :]) * den >= np.maximum(n[i][:, None], n[right][None, :]) * num)
+                x, y = np.nonzero(near)
+                x, y = i[x], right[y]
+                apart = np.bitwise_count(bits[x] ^ bits[y]).sum(1, dtype=np.int64)
+                keep = apart * (den + num) <= (den - num) * (n[x] + n[y])
+                a.append(doc[x[keep]])
+                b.append(doc[y[keep]])
         return a, b
 
-    def out(a, b):
-        x, y = np.concatenate(a), np.concatenate(b)
-        both = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], ["a", "b"])
+    def out(cols) -> Iterator[pa.RecordBatch]:
+        key, *rest = cols
+        if not len(key):
+            return
+        edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]])).tolist()
+        a, b = [], []
+        for s, e in zip(edge, edge[1:], strict=False):
+            got = pairs_of(*(c[s:e] for c in rest))
+            a += got[0]
+            b += got[1]
+        u, v = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in (a, b))
+        both = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)], 1), axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], ["a", "b"])
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        sig, root, doc = (np.concatenate([h, c.to_numpy()]) for h, c in zip(held, batch.columns, strict=True))
-        last = int(np.searchsorted(sig, sig[-1], "left"))
-        a, b = pairs_of(sig[:last], root[:last], doc[:last])
-        if a:
-            yield out(a, b)
-        held = [sig[last:], root[last:], doc[last:]]
-    a, b = pairs_of(*held)
-    if a:
-        yield out(a, b)
+        cols = [c.to_numpy() for c in batch.columns[:5]] + [np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint64).reshape(-1, BITMAP // 64)]
+        if held is not None:
+            cols = [np.concatenate([h, c]) for h, c in zip(held, cols, strict=True)]
+        last = int(np.searchsorted(cols[0], cols[0][-1], "left"))
+        yield from out([c[:last] for c in cols])
+        held = [c[last:] for c in cols]
+    if held is not None:
+        yield from out(held)
 
 
 class Join:
     """One run over the distinct sets of a corpus."""
 
-    def __init__(self, work: Workspace, num: int, den: int, k: int, share: float, seeds: int):
-        self.work, self.bands, self.k, self.share, self.seeds = work, Bands(num, den), k, share, seeds
+    def __init__(self, work: Workspace, num: int, den: int, k: int, share: float, seeds: int, block: int):
+        self.work, self.bands, self.k, self.share, self.seeds, self.block = work, Bands(num, den), k, share, seeds, block
         self.num, self.den = num, den
 
     def load(self, texts: DataFrame, reps: DataFrame, size_bytes: int) -> None:
@@ -263,17 +343,24 @@ class Join:
         buckets = max(8, -(-size_bytes // (24 << 20)))
         chosen = texts.join(reps, "doc_id").select("doc_id", "text").repartition(buckets, "doc_id")
         sets = chosen.mapInArrow(lambda it: set_rows(it, k), "doc_id bigint, n bigint, tokens binary, bitmap binary")
-        name = f"sets_{uuid.uuid4().hex[:12]}"
-        sets.write.bucketBy(buckets, "doc_id").sortBy("doc_id").option("path", f"{self.work.root}/sets").format("parquet").option("compression", "none").saveAsTable(name)
-        self.sets = spark.table(name)
+        self.name = f"sets_{uuid.uuid4().hex[:12]}"
+        with self.work.writing():
+            sets.write.bucketBy(buckets, "doc_id").sortBy("doc_id").option("path", f"{self.work.root}/sets").format("parquet").option("compression", "none").saveAsTable(self.name)
+        self.sets = spark.table(self.name)
         n = self.sets.count()
         share = self.share
         heavy = self.sets.select("tokens").mapInArrow(lambda it: heavy_rows(it, share), "token bigint, n bigint")
         heavy = heavy.groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= max(32, share / 2 * n)).select("token")
         # at most 2 / share times the mean size of a set
-        self.hot = np.sort(heavy.toArrow()["token"].to_numpy().astype(U64))
+        self.hot = np.sort(heavy.toArrow()["token"].to_numpy().view(U64))
         self.held = spark.sparkContext.broadcast(self.hot)
 
+    def close(self) -> None:
+        """Drops the sets, which no later step reads."""
+        self.work.spark.sql(f"drop table {self.name}")
+        self.work.drop("sets")
+        self.held.destroy()
+
     def leaders(self) -> DataFrame:
         """(a, b): each set with the set that leads most of its groups over the first segments."""
         bands, seeds = self.bands, self.seeds
@@ -301,32 +388,57 @@ class Join:
         votes = rows.join(lead, "sig").where("a < doc_id").groupBy("doc_id", "a").agg(F.count("*").alias("n"))
         return votes.groupBy("doc_id").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a")).select("a", F.col("doc_id").alias("b"))
 
-    def candidates(self, roots: DataFrame, ring: int | None = None) -> DataFrame:
-        """(a, b) of different components that the signatures bring together; roots: (node, root) of linked sets.
-
-        ring: only neighbours in a random order of each group, over a quarter of the
-        signatures (0 to 3).
-        """
+    def signed(self, roots: DataFrame, part: int | None = None) -> DataFrame:
+        """(sig, root, doc_id) of all sets, dealt by signature; roots: (node, root) of linked sets; part: one eighth of the signatures (0 to 7)."""
         bands, held = self.bands, self.held
 
         def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for part in _slices(batch):
-                    owner, tokens, size = _flat(part.column(1))
-                    ids, root = part.column(0).to_numpy(), part.column(2).to_numpy()
+                for rows in _slices(batch):
+                    owner, tokens, size = _flat(rows.column(1))
+                    ids, root = rows.column(0).to_numpy(), rows.column(2).to_numpy()
                     own = bands.of(size)
-                    for band in (own, np.where((own > 0) & (size * bands.num <= np.array(bands.high)[own - 1] * bands.den), own - 1, -1)):
+                    for band in (own, np.where((own > 0) & (size * bands.num <= bands.high[own - 1] * bands.den), own - 1, -1)):
                         doc, sig = signatures(owner, tokens, size, bands, band, held.value)
-                        if ring is not None:
-                            mine = (sig >> U64(61)) & U64(3) == ring
+                        if part is not None:
+                            mine = sig >> U64(61) == part
                             doc, sig = doc[mine], sig[mine]
-                        yield pa.RecordBatch.from_arrays([pa.array(as_long(sig)), pa.array(root[doc]), pa.array(ids[doc])], ["sig", "root", "doc_id"])
+                        yield pa.RecordBatch.from_arrays([pa.array(as_long(sig >> U64(16))), pa.array((root - ids)[doc]), pa.array(ids[doc])], ["sig", "up", "doc_id"])
 
         known = self.sets.select("doc_id", "tokens").join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-        rows = known.select("doc_id", "tokens", F.coalesce("root", "doc_id").alias("root")).mapInArrow(emit, "sig bigint, root bigint, doc_id bigint")
-        order = F.col("root") if ring is None else F.xxhash64("sig", "doc_id")
-        met = rows.repartition("sig").sortWithinPartitions("sig", order).mapInArrow(meet_rows if ring is None else ring_rows, "a bigint, b bigint")
-        return met.distinct()
+        rows = known.select("doc_id", "tokens", F.coalesce("root", "doc_id").alias("root")).mapInArrow(emit, "sig bigint, up bigint, doc_id bigint")
+        # the root goes as a difference, mostly 0, and 48 bits are enough for what is verified: a shuffle of few bytes
+        return rows.repartition("sig").select("sig", (F.col("doc_id") + F.col("up")).alias("root"), "doc_id")
+
+    def neighbours(self, roots: DataFrame, part: int) -> DataFrame:
+        """(a, b): in each group of some signatures, in a random order, neighbours of different components."""
+        rows = self.signed(roots, part).sortWithinPartitions("sig", F.xxhash64("sig", "doc_id"))
+        return rows.mapInArrow(ring_rows, "a bigint, b bigint").distinct()
+
+    def candidates(self, roots: DataFrame) -> DataFrame:
+        """(a, b) of different components that the signatures bring together.
+
+        Large groups are compared by bitmaps in blocks of at most about ``block`` rows,
+        whatever their size: the members of the group's most frequent component with all
+        others, and the others with each other.
+        """
+        num, den, block = self.num, self.den, self.block
+        rows = self.signed(roots).sortWithinPartitions("sig", "root")
+        met = self.work.table(rows.mapInArrow(meet_rows, "sig bigint, a bigint, b bigint"), "met")
+        few = met.where("sig is null").select("a", "b")
+        many = met.where("sig is not null").select("sig", F.col("a").alias("root"), F.col("b").alias("doc_id"))
+        of_root = many.groupBy("sig", "root").agg(F.count("*").alias("n"))
+        of_sig = of_root.groupBy("sig").agg(F.sum("n").alias("all"), F.max(F.struct("n", "root")).alias("top")).where("top.n < all")
+        of_sig = of_sig.select("sig", F.col("top.root").alias("top"), F.ceil(F.col("top.n") / block).alias("p"), F.ceil((F.col("all") - F.col("top.n")) / block).alias("q"))
+        many = many.join(of_sig, "sig").join(self.sets.select("doc_id", "n", "bitmap"), "doc_id")
+        spot = F.xxhash64("doc_id")
+        is_top = F.col("root") == F.col("top")
+        many = many.withColumn("own", F.when(is_top, F.pmod(spot, F.col("p"))).otherwise(F.col("p") + F.pmod(spot, F.col("q"))))
+        many = many.withColumn("other", F.explode(F.sequence(F.when(is_top, F.col("p")).otherwise(F.lit(0)), F.col("p") + F.col("q") - 1)))
+        side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
+        many = many.select(F.xxhash64("sig", F.least("own", "other"), F.greatest("own", "other")).alias("key"), side.alias("side"), "doc_id", "root", "n", "bitmap")
+        many = many.repartition("key").sortWithinPartitions("key").mapInArrow(lambda it: block_rows(it, num, den), "a bigint, b bigint")
+        return few.unionByName(many).distinct()
 
     def verify(self, pairs: DataFrame, name: str) -> DataFrame:
         """The pairs whose exact sets reach the threshold; sizes and parity bitmaps, which bound the difference from below, go first."""
@@ -338,8 +450,8 @@ class Join:
         def sieve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 na, nb = batch.column(2).to_numpy(), batch.column(3).to_numpy()
-                x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, BITMAP // 8) for i in (4, 5))
-                apart = ONES[x ^ y].sum(1, dtype=np.int64)
+                x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(-1, BITMAP // 64) for i in (4, 5))
+                apart = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
                 yield batch.select([0, 1]).filter(pa.array(apart * (den + num) <= (den - num) * (na + nb)))
 
         near = near.select("a", "b", "na", "nb", "ma", "mb").mapInArrow(sieve, "a bigint, b bigint")
@@ -359,29 +471,32 @@ class Join:
         return joined.select("a", "b", "ta", "tb").mapInArrow(exact, "a bigint, b bigint")
 
 
-def near_duplicates(docs: DataFrame, num: int = 80, den: int = 100, k: int = 5, hot_share: float = 0.001, seeds: int = 8) -> DataFrame:
+def near_duplicates(docs: DataFrame, num: int = 80, den: int = 100, k: int = 5, hot_share: float = 0.001, seeds: int = 8, block: int = 2048) -> DataFrame:
     """doc_id, n_shingles, class_id (equal sets), component_id: the smallest doc_id reachable by links of similarity >= num / den."""
-    spark = docs.sparkSession
-    work = Workspace(spark, "jaccard")
+    work = Workspace(docs.sparkSession, "jaccard")
     texts = docs.select(F.col("doc_id").cast("bigint"), "text")
-    nulls = docs.where("doc_id is null").isEmpty()
     digests = texts.mapInArrow(lambda it: digest_rows(it, k), "doc_id bigint, n bigint, d1 bigint, d2 bigint")
-    if not nulls:
-        digests = digests.withColumn("doc_id", F.when(F.col("doc_id") != -1, F.col("doc_id")))
     digests = work.table(digests, "digests")
     classes = digests.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("class_id"))
     classes = work.table(classes, "classes")
     total = classes.agg(F.sum("n")).first()[0] or 0
-    join = Join(work, num, den, k, hot_share, seeds)
-    join.load(texts, classes.select(F.col("class_id").alias("doc_id")), total * 6)
-    links = work.table(join.verify(join.leaders(), "0"), "links_0")
-    for step in (1, 2, 3):
+    join = Join(work, num, den, k, hot_share, seeds, block)
+    join.load(texts, classes.select(F.col("class_id").alias("doc_id")), total * 8)
+    links = None
+    for step in range(3):
         work.release()
-        roots = work.table(components(work, links, f"cc_{step}"), f"roots_{step}")
-        more = work.table(join.verify(join.candidates(roots, step - 1 if step < 3 else None), str(step)), f"links_{step}")
-        links = links.unionByName(more)
+        if step == 0:
+            pairs = join.leaders()
+        else:
+            roots = work.table(components(work, links, f"cc_{step}"), f"roots_{step}")
+            pairs = join.neighbours(roots, 0) if step == 1 else join.candidates(roots)
+        more = work.table(join.verify(pairs, str(step)), f"links_{step}")
+        work.drop("seeds", f"near_{step}", "met", f"roots_{step}")
+        links = more if links is None else links.unionByName(more)
+    join.close()
     work.release()
-    roots = components(work, links, "cc_4")
+    roots = work.table(components(work, links, "cc_3"), "roots_3")
+    work.drop("links_0", "links_1", "links_2")
     named = classes.join(roots.withColumnRenamed("node", "class_id"), "class_id", "left").select("d1", "d2", F.col("n").alias("_n"), "class_id", F.coalesce("root", "class_id").alias("component_id"))
     out = digests.join(named, ["d1", "d2"], "left")
     own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))

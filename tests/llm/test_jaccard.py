@@ -64,6 +64,45 @@ def test_components_equal_brute_force(spark, seed, options):
     assert got == brute(docs)
 
 
+def near_copy_group(seed, n):
+    """Copies of one text with 0 to 9 words changed in each, most of which link with nobody, and a chain along which each is near the next alone."""
+    rnd = random.Random(seed)
+    base = ["b%d" % i for i in range(150)]
+    docs = []
+    for i in range(n):
+        w = list(base)
+        for at in rnd.sample(range(150), rnd.randint(0, 9)):
+            w[at] = "x%d_%d" % (i, at)
+        docs.append(" ".join(w))
+    w = list(base)
+    for at in range(3, 150, 12):
+        w[at] = "chain%d" % at
+        docs.append(" ".join(w))
+    return list(enumerate(docs))
+
+
+@pytest.mark.parametrize(("n", "block"), [(900, 64)])
+def test_large_group_of_near_copies(spark, n, block):
+    docs = near_copy_group(5, n)
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(5)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.near_duplicates(df, block=block).collect()}
+    assert got == brute(docs)
+
+
+def test_large_groups_go_on_and_blocks_bring_every_allowed_pair():
+    import numpy as np
+    import pyarrow as pa
+
+    sig = np.repeat([1, 2, 3], [3, 40, 30])
+    root = np.concatenate([[1, 1, 2], np.arange(40), np.zeros(30, int)])
+    doc = np.arange(73)
+    batches = [pa.record_batch([pa.array(c[at : at + 7]) for c in (sig, root, doc)], ["sig", "root", "doc_id"]) for at in range(0, 73, 7)]
+    for most in (10, 8192):
+        out = pa.Table.from_batches(jaccard.meet_rows(iter(batches), 4, most)).to_pylist()
+        assert {(r["a"], r["b"]) for r in out if r["sig"] is None} == {(0, 2), (1, 2)}
+        assert {r["b"] for r in out if r["sig"] == 2} == set(range(3, 43))
+
+
 def test_signatures_bring_every_link_together():
     """Without the first round: each pair above the threshold shares a signature, hot shingles or not."""
     import numpy as np
@@ -95,6 +134,6 @@ def test_signatures_bring_every_link_together():
 def test_empty_table_nulls_and_clashing_columns(spark):
     empty = spark.createDataFrame([], "doc_id bigint, text string, n int, root int")
     assert jaccard.near_duplicates(empty).count() == 0
-    rows = [(1, "a b c d e f", 3, None), (None, "a b c d e f", None, 2), (None, None, 1, 1), (2, None, 0, 0)]
+    rows = [(-1, "p q r s t u v", 1, 1), (2**60 + 1, "p q r s t u v", 1, 1), (1, "a b c d e f", 3, None), (None, "a b c d e f", None, 2), (None, None, 1, 1), (2, None, 0, 0)]
     got = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string, n int, root int")).collect()
-    assert sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in got) == [("1", 2, "1"), ("2", 0, "2"), ("None", 0, "None"), ("None", 2, "1")]
+    assert sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in got) == [("-1", 3, "-1"), ("1", 2, "1"), (str(2**60 + 1), 3, "-1"), ("2", 0, "2"), ("None", 0, "None"), ("None", 2, "1")]
