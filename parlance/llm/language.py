@@ -280,13 +280,18 @@ def _parts(texts: list[str | None], chars: int = 1 << 19) -> Iterator[list[str |
         yield part
 
 
-def fit(docs: DataFrame, per_language: int = 400, max_chars: int = 20_000, order: int = 5) -> Identifier:
-    """Fits on labelled rows (text, lang): about per_language of each language, of at most max_chars each."""
+def fit(docs: DataFrame, per_language: int = 400, max_chars: int = 20_000, order: int = 5, most_languages: int = 1000) -> Identifier:
+    """Fits on labelled rows (text, lang): about per_language of each language, of at most max_chars each.
+
+    Rows are chosen by a hash of id and text, equal ones once; only the most_languages
+    most frequent labels are learned.  Texts are filtered where they are read.
+    """
     rows = docs.where("text is not null and lang is not null").where(F.length("text") <= max_chars)
-    u = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit("lang"), F.col("doc_id").cast("string"))), 1, 12), 16, 10).cast("double") / float(16**12)
-    counts = rows.groupBy("lang").agg(F.count("*").alias("_n"))
-    chosen = rows.withColumn("_u", u).join(counts, "lang").where(F.col("_u") < per_language / F.col("_n"))
-    table = chosen.select("lang", "text", "_u", "doc_id").toArrow()
+    key = F.concat_ws(":", F.lit("lang"), F.coalesce(F.col("doc_id").cast("string"), F.hex(F.xxhash64("text"))))
+    u = F.conv(F.substring(F.md5(key), 1, 12), 16, 10).cast("double") / float(16**12)
+    counts = rows.groupBy("lang").agg(F.count("*").alias("_n")).orderBy(F.desc("_n"), "lang").limit(most_languages)
+    chosen = rows.select("lang", "text", u.alias("_u")).join(F.broadcast(counts), "lang")  # most_languages rows
+    table = chosen.where(F.col("_u") < per_language / F.col("_n")).select("lang", "text", "_u").distinct().toArrow()
     sample = sorted(zip(*(table.column(c).to_pylist() for c in ("lang", "_u", "text")), strict=True))
     return Identifier([(lang, text) for lang, _, text in sample], order)
 

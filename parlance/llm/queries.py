@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from parlance.llm import decontamination, embeddings, jaccard, language, licenses, mixing, recurrent, sharding, suffix_array, token_files
 
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 64 << 10
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,7 +40,7 @@ def op3_recurrent_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_files.token_files(documents(spark, sf_dir), str(tokenizer_path()), levels=16, end_id=0)
+    return token_files.token_files(documents(spark, sf_dir), str(tokenizer_path()), end_id=0)
 
 
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,19 +1,20 @@
 """Token-ID output: a wavelet matrix for each shard, written and read as one file format.
 
 A shard holds the ids of consecutive documents in ascending doc_id order.  Its
-payload is a header, the document ids and lengths, and one bit-plane for each bit
+payload is a header, the document ids (with a bit for each that is not null) and lengths, and one bit-plane for each bit
 of an id (highest first) with the zeros of each plane and the number of ones
 before every 512 bits.  From that alone one can decode all ids, read the id at a
 place, count an id in a range and list its places.
 
-Shards are binary rows that Spark writes to Parquet: the files go through Spark's
-file systems and commit protocol, so tasks can be lost and repeated.  Empty and
+Shards are binary rows that Spark writes to Parquet, compressed with zstd: the files
+go through Spark's file systems and commit protocol, so tasks can be lost and repeated.  Empty and
 null texts have the end id alone; rows that share a doc_id keep the order of their
 texts.  A document longer than ``shard_tokens`` makes a shard of its own.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import zlib
@@ -133,16 +134,17 @@ class WaveletMatrix:
         return sorted(found)
 
 
-def to_payload(doc_ids: np.ndarray, lengths: np.ndarray, matrix: WaveletMatrix) -> bytes:
+def to_payload(doc_ids: list[int | None], lengths: np.ndarray, matrix: WaveletMatrix) -> bytes:
     head = struct.pack("<4sIQQ", MAGIC, matrix.levels, matrix.n, len(doc_ids))
-    parts = [head, np.asarray(matrix.zeros, "<u8").tobytes(), doc_ids.astype("<i8").tobytes(), lengths.astype("<i8").tobytes()]
+    known = np.array([i is not None for i in doc_ids], bool)
+    parts = [head, np.asarray(matrix.zeros, "<u8").tobytes(), np.array([i or 0 for i in doc_ids], "<i8").tobytes(), np.packbits(known).tobytes(), lengths.astype("<i8").tobytes()]
     for ranks, plane in zip(matrix.ranks, matrix.planes, strict=True):
         parts += [ranks.astype("<u4").tobytes(), plane.tobytes()]
     return b"".join(parts)
 
 
-def from_payload(payload: bytes) -> tuple[np.ndarray, np.ndarray, WaveletMatrix]:
-    """Document ids, their lengths and the matrix; arrays are views of the payload."""
+def from_payload(payload: bytes) -> tuple[np.ma.MaskedArray, np.ndarray, WaveletMatrix]:
+    """Document ids (null ones masked), their lengths and the matrix; arrays are views of the payload."""
     magic, levels, n, docs = struct.unpack_from("<4sIQQ", payload)
     if magic != MAGIC:
         raise ValueError("not a wavelet-matrix shard")
@@ -154,7 +156,8 @@ def from_payload(payload: bytes) -> tuple[np.ndarray, np.ndarray, WaveletMatrix]
         at += out.nbytes
         return out
 
-    zeros, doc_ids, lengths = take("<u8", levels).tolist(), take("<i8", docs), take("<i8", docs)
+    zeros, doc_ids, known, lengths = take("<u8", levels).tolist(), take("<i8", docs), take("u1", -(-docs // 8)), take("<i8", docs)
+    doc_ids = np.ma.masked_array(doc_ids, np.unpackbits(known, count=docs) == 0)
     size = -(-n // 8)
     pairs = [(take("<u4", -(-size // (BLOCK // 8)) + 1), take("u1", size)) for _ in range(levels)]
     return doc_ids, lengths, WaveletMatrix(n, zeros, [p for _, p in pairs], [r for r, _ in pairs])
@@ -196,18 +199,24 @@ class ChunkEncoder:
 
     Pieces end where the vocabulary's pre-tokens end: a text's ids are its pieces'
     ids one after another.  Texts with other white space than space, tab and line
-    ends are encoded as they are.
+    ends, or with a token that was added to the vocabulary, are encoded as they are;
+    so are all texts if the file has a normaliser or another pre-tokenizer than the
+    byte-level one whose pieces these are.
     """
 
     def __init__(self, path: str, end_id: int, keep: int = 900_000):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.odd = re.compile("|".join([ODD_SPACE.pattern, *added]))
+        said = json.loads(self.tokenizer.to_str())
+        before = said.get("pre_tokenizer") or {}
+        self.by_piece = before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True) and not said.get("normalizer")
         self.by_word = Tokenizer(self.tokenizer.model)
         self.by_word.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.end_id, self.keep = end_id, keep
-        self.line = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
+        self.line = self.tokenizer.encode("\n", add_special_tokens=False).ids[0] if self.by_piece else end_id
         self._forget()
 
     def _forget(self) -> None:
@@ -269,10 +278,10 @@ class ChunkEncoder:
             self._retain()
         parts, whole = [], {}
         for i, text in enumerate(texts):
-            pieces = PIECE.findall(text) if text else []
-            if text and ODD_SPACE.search(text):
+            as_is = text and (not self.by_piece or self.odd.search(text))
+            pieces = PIECE.findall(text) if text and not as_is else []
+            if as_is:
                 whole[i] = np.array([*self.tokenizer.encode(text, add_special_tokens=False).ids, self.end_id], np.uint32)
-                pieces = []
             pieces.append("")
             parts.append(np.fromiter(map(self.places.__getitem__, pieces), np.int32, len(pieces)))
         if self.places.waiting:
@@ -305,8 +314,19 @@ SHARDS = pa.schema([("part", pa.int64()), ("shard", pa.int64()), ("n_docs", pa.i
 DOCS = pa.schema([("part", pa.int64()), ("shard", pa.int64()), ("doc_id", pa.int64()), ("offset", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
 
-def write_shards(docs: DataFrame, path: str, tokenizer: str, levels: int = 16, end_id: int = 0, shard_tokens: int = 1 << 20, part_bytes: int = 24 << 20) -> None:
-    """Encodes documents and writes the shards below ``path`` (any file system of Spark's)."""
+def bits_of(tokenizer: str, end_id: int) -> int:
+    """The bit-planes that the ids of a vocabulary need."""
+    from tokenizers import Tokenizer
+
+    return max([end_id, *Tokenizer.from_file(tokenizer).get_vocab(with_added_tokens=True).values()]).bit_length() or 1
+
+
+def write_shards(docs: DataFrame, path: str, tokenizer: str, levels: int | None = None, end_id: int = 0, shard_tokens: int = 1 << 20, part_bytes: int = 24 << 20) -> None:
+    """Encodes documents and writes the shards below ``path`` (any file system of Spark's); levels: by default as many as the vocabulary needs."""
+    least = bits_of(tokenizer, end_id)
+    levels = levels or least
+    if levels < least:
+        raise ValueError(f"the vocabulary's ids need {least} bits")
     rows = docs.select(F.col("doc_id").cast("bigint"), "text")
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-total // part_bytes), docs.sparkSession.sparkContext.defaultParallelism)
@@ -319,8 +339,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, levels: int = 16, e
         def close() -> pa.RecordBatch:
             nonlocal ids, held, size, shard
             matrix = WaveletMatrix.build(np.concatenate(held), levels)
-            # a null doc_id is kept as the least integer
-            payload = to_payload(np.array([-(2**63) if i is None else i for i in ids], np.int64), np.array([len(x) for x in held], np.int64), matrix)
+            payload = to_payload(ids, np.array([len(x) for x in held], np.int64), matrix)
             out = pa.RecordBatch.from_arrays([pa.array([part]), pa.array([shard]), pa.array([len(ids)]), pa.array([matrix.n]), pa.array([payload], pa.binary())], schema=SHARDS)
             ids, held, size, shard = [], [], 0, shard + 1
             return out
@@ -328,7 +347,6 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, levels: int = 16, e
         for batch in batches:
             encoder = encoder or encoder_of(tokenizer, end_id)
             for doc_id, got in zip(batch.column(0).to_pylist(), (x for part in text_parts(batch.column(1)) for x in encoder.encode_many(part)), strict=True):
-                got = got.astype(np.uint16 if levels <= 16 else np.uint32, copy=False)
                 if held and size + len(got) > shard_tokens:
                     yield close()
                 ids.append(doc_id)
@@ -338,7 +356,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, levels: int = 16, e
             yield close()
 
     schema = "part bigint, shard bigint, n_docs bigint, n_tokens bigint, payload binary"
-    ranged.mapInArrow(encode, schema).write.mode("overwrite").option("compression", "none").parquet(path)
+    ranged.mapInArrow(encode, schema).write.mode("overwrite").option("compression", "zstd").parquet(path)
 
 
 def read_documents(spark, path: str) -> DataFrame:
@@ -353,12 +371,15 @@ def read_documents(spark, path: str) -> DataFrame:
                 end = np.cumsum(lengths)
                 crc = [zlib.crc32(ids[a:b]) for a, b in zip((end - lengths).tolist(), end.tolist(), strict=True)]
                 n = len(doc_ids)
-                keep = pa.array(doc_ids, mask=doc_ids == -(2**63))
+                keep = pa.array(doc_ids.data, mask=np.ma.getmaskarray(doc_ids))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(n, batch.column(0)[i].as_py())), pa.array(np.full(n, batch.column(1)[i].as_py())), keep, pa.array(end - lengths), pa.array(lengths), pa.array(crc, pa.int64())], schema=DOCS)
 
     found = shards.select("part", "shard", "payload").mapInArrow(decode, "part bigint, shard bigint, doc_id bigint, offset bigint, n_tokens bigint, ids_crc32 bigint")
-    parts = shards.groupBy("part").agg(F.sum("n_tokens").alias("n"))
-    before = parts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_parts"))
+    # ids before a part: of the runs of 1024 parts before its own (one row for each 24 GB or so of text), and of the parts before it in its run
+    earlier = lambda *by: F.coalesce(F.sum("n").over(Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = shards.groupBy((F.col("part") / 1024).cast("bigint").alias("run"), "part").agg(F.sum("n_tokens").alias("n"))
+    runs = parts.groupBy("run").agg(F.sum("n").alias("n")).select("run", earlier("run").alias("_runs"))
+    before = parts.select("run", "part", earlier("run", "part").alias("_parts")).join(runs, "run").select("part", (F.col("_runs") + F.col("_parts")).alias("_parts"))
     within = shards.select("part", "shard", F.coalesce(F.sum("n_tokens").over(Window.partitionBy("part").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_shards"))
     place = within.join(before, "part").select("part", "shard", (F.col("_parts") + F.col("_shards")).alias("_base"))
     return found.join(place, ["part", "shard"]).select("doc_id", (F.col("_base") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32")

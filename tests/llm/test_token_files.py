@@ -14,16 +14,14 @@ from parlance.llm.queries import tokenizer_path
 def tokenizer():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(str(tokenizer_path()))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(str(tokenizer_path()))
 
 
 @given(st.lists(st.integers(0, 40), max_size=3000))
 @settings(max_examples=40, deadline=None)
 def test_wavelet_matrix(ids):
     m = token_files.WaveletMatrix.build(np.array(ids, np.uint32), 6)
-    payload = token_files.to_payload(np.array([7]), np.array([len(ids)]), m)
+    payload = token_files.to_payload([7], np.array([len(ids)]), m)
     doc_ids, lengths, back = token_files.from_payload(payload)
     assert back.decode().tolist() == ids and doc_ids.tolist() == [7] and lengths.tolist() == [len(ids)]
     for i in range(0, len(ids), 97):
@@ -48,17 +46,33 @@ def test_chunks_give_the_tokenizers_ids(tokenizer, text):
 def test_documents_from_files(spark, tokenizer):
     rnd = random.Random(3)
     docs = [(i, " ".join(rnd.choice(["alpha", "beta,", "γάμμα", "\nLine"]) for _ in range(rnd.randint(0, 300))), "x") for i in range(300)]
-    docs += [(1000, None, None), (1001, "", "y"), (None, "null id", "z")]
+    docs += [(1000, None, None), (1001, "", "y"), (None, "null id", "z"), (-(2**63), "least", "z"), (2**60 + 1, "x <|endoftext|> y", "z"), (2**60 + 2, "word " * 60_000, "z")]
     rnd.shuffle(docs)
     df = spark.createDataFrame(docs, "doc_id bigint, text string, shard string").repartition(5)
     got = {r["doc_id"]: (r["start"], r["n_tokens"], r["ids_crc32"]) for r in token_files.token_files(df, str(tokenizer_path()), shard_tokens=500, part_bytes=4000).collect()}
     start, want = 0, {}
-    for i, t, _ in sorted(docs, key=lambda d: -1 if d[0] is None else d[0]):
+    for i, t, _ in sorted(docs, key=lambda d: (d[0] is not None, d[0] or 0)):
         ids = np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
         want[i] = (start, len(ids), zlib.crc32(ids.tobytes()))
         start += len(ids)
     assert got == want
 
 
+def test_other_vocabularies_and_too_few_planes(spark, tmp_path):
+    """Ids from 65,536 up, another pre-tokenizer: encoded as they are, in as many planes as they need."""
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    other = Tokenizer(models.WordLevel({"[UNK]": 0, "alpha": 70_000, "beta": 3}, unk_token="[UNK]"))
+    other.pre_tokenizer = pre_tokenizers.Whitespace()
+    path = str(tmp_path / "words.json")
+    other.save(path)
+    df = spark.createDataFrame([(1, "alpha beta"), (2, "gamma, alpha")], "doc_id bigint, text string")
+    got = {r["doc_id"]: (r["n_tokens"], r["ids_crc32"]) for r in token_files.token_files(df, path).collect()}
+    for i, ids in ((1, [70_000, 3, 0]), (2, [0, 0, 70_000, 0])):
+        assert got[i] == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+    with pytest.raises(ValueError, match="17 bits"):
+        token_files.token_files(df, path, levels=16)
+
+
 def test_empty_table(spark):
     assert token_files.token_files(spark.createDataFrame([], "doc_id bigint, text string"), str(tokenizer_path())).count() == 0
