@@ -41,7 +41,6 @@ from parlance.llm._spark import Workspace
 
 U64 = np.uint64
 END = U64(0x656E64)
-NONE = -(2**63)
 PAGE = "page bigint, kinds binary, endings binary, ids binary, held binary, lengths binary, codes binary"
 F32 = np.float32
 
@@ -60,8 +59,9 @@ def make_pages(batches: Iterator[pa.RecordBatch], buckets: int, page_bytes: int)
         return pa.RecordBatch.from_arrays([pa.array([page]), *(pa.array([p], pa.binary()) for p in parts)], ["page", "kinds", "endings", "ids", "held", "lengths", "codes"])
 
     for batch in batches:
-        flags, at = batch.column(1).to_numpy(zero_copy_only=False).astype(bool), 0
-        for names, data, offsets in text_slices(batch.column(0).fill_null(NONE), batch.column(2)):
+        # bit 0: held out, bit 1: null id
+        flags, at = batch.column(1).to_numpy(zero_copy_only=False).astype(np.uint8) | np.asarray(batch.column(0).is_null()).astype(np.uint8) << 1, 0
+        for names, data, offsets in text_slices(batch.column(0).fill_null(0), batch.column(2)):
             n = len(names)
             start, end, doc = words(data, offsets)
             h = word_hashes(data, start, end)
@@ -84,7 +84,7 @@ def make_pages(batches: Iterator[pa.RecordBatch], buckets: int, page_bytes: int)
 def open_page(row: dict) -> dict:
     return {
         "kinds": np.frombuffer(row["kinds"], U64), "endings": np.frombuffer(row["endings"], np.uint8).astype(np.int32), "ids": np.frombuffer(row["ids"], np.int64),
-        "held": np.frombuffer(row["held"], bool), "lengths": np.frombuffer(row["lengths"], np.int32).astype(np.int64), "codes": np.frombuffer(row["codes"], np.int32),
+        "held": np.frombuffer(row["held"], np.uint8) & 1 == 1, "null": np.frombuffer(row["held"], np.uint8) > 1, "lengths": np.frombuffer(row["lengths"], np.int32).astype(np.int64), "codes": np.frombuffer(row["codes"], np.int32),
     }
 
 
@@ -132,10 +132,6 @@ class Shape:
         return np.where(self.hashes[i] == kinds, self.word_of[i], self.v + endings).astype(np.int32)
 
 
-def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
-
-
 class Network:
     """GRU with a class-factored softmax; all parameters lie in one flat array."""
 
@@ -160,16 +156,21 @@ class Network:
             if shape.v:
                 self.views[6][:] = shape.word_bias
 
-    def step(self, symbols: np.ndarray, h: np.ndarray):
-        """One step: gates and the new state."""
+    def step(self, symbols: np.ndarray, h: np.ndarray, x: np.ndarray | None = None):
+        """One step: gates and the new state; x: the symbols' rows of the input table with the bias, if at hand."""
         table, u, bias = self.views[:3]
         k = self.hidden
-        a = table[symbols] + bias
+        a = table[symbols] + bias if x is None else x
         b = h @ u
-        z = sigmoid(a[:, :k] + b[:, :k])
-        r = sigmoid(a[:, k : 2 * k] + b[:, k : 2 * k])
-        n = np.tanh(a[:, 2 * k :] + r * b[:, 2 * k :])
-        return z, r, n, b[:, 2 * k :], n + z * (h - n)
+        gates = a[:, : 2 * k] + b[:, : 2 * k]
+        np.negative(gates, out=gates)
+        np.exp(gates, out=gates)
+        gates += 1
+        np.reciprocal(gates, out=gates)
+        z, r = gates[:, :k], gates[:, k:]
+        hu = b[:, 2 * k :]
+        n = np.tanh(a[:, 2 * k :] + r * hu)
+        return z, r, n, hu, n + z * (h - n)
 
     def classes_of(self, symbols: np.ndarray) -> np.ndarray:
         s = self.shape
@@ -178,92 +179,138 @@ class Network:
         out[inside] = s.word_class[symbols[inside]]
         return out
 
+    def biased(self) -> tuple[np.ndarray, np.ndarray, bool]:
+        """Output weights of classes and words with the bias as one more column, and whether every logit is small enough for a plain exponential."""
+        cw, cb, ww, wb = self.views[3:]
+        both = np.concatenate([cw, cb[:, None]], 1), np.concatenate([ww, wb[:, None]], 1)
+        return *both, all(np.abs(w).sum(1).max(initial=0) < 80 for w in both)  # states lie within -1 and 1
+
     def log_probabilities(self, h: np.ndarray, symbols: np.ndarray) -> np.ndarray:
         """Natural log-probability of each next symbol; of other words, that of their class."""
-        s, (cw, cb, ww, wb) = self.shape, self.views[3:]
+        s = self.shape
         cls = self.classes_of(symbols)
-        logits = h @ cw.T + cb
-        top = logits.max(1)
-        out = (logits[np.arange(len(h)), cls] - top).astype(np.float64) - np.log(np.exp(logits - top[:, None]).sum(1))
-        order = np.argsort(cls, kind="stable")
+        order = np.argsort(_short(cls, s.classes), kind="stable")
         edge = np.searchsorted(cls[order], np.arange(s.own + 1))
+        symbols, cls = symbols[order], cls[order]
+        h = np.concatenate([h[order], np.ones((len(h), 1), F32)], 1)
+        cw, ww, small = self.biased()
+        got = np.einsum("ij,ij->i", h, cw[cls]).astype(np.float64)
+        for at in range(0, len(h), ROWS):
+            got[at : at + ROWS] -= _log_total(h[at : at + ROWS] @ cw.T, small)
+        inside = int(edge[-1])
+        got[:inside] += np.einsum("ij,ij->i", h[:inside], ww[symbols[:inside]])
         for c in range(s.own):
-            at = order[edge[c] : edge[c + 1]]
-            a, b = s.first[c], s.first[c + 1]
-            if len(at) and b - a > 1:
-                inner = h[at] @ ww[a:b].T + wb[a:b]
-                top = inner.max(1)
-                out[at] += (inner[np.arange(len(at)), symbols[at] - a] - top) - np.log(np.exp(inner - top[:, None]).sum(1))
+            lo, hi, a, b = edge[c], edge[c + 1], s.first[c], s.first[c + 1]
+            if hi > lo:
+                got[lo:hi] -= _log_total(h[lo:hi] @ ww[a:b].T, small)
+        out = np.empty(len(h))
+        out[order] = got
         return out
 
     def train_window(self, inputs: np.ndarray, targets: np.ndarray, h: np.ndarray, fresh: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, float]:
         """Gradient (flat), last state and loss of a window (steps, lanes); targets below 0 don't count, the state is 0 before ``fresh`` ones."""
-        s, k, (table, u, bias, cw, cb, ww, wb) = self.shape, self.hidden, self.views
+        s, k, (table, u, bias) = self.shape, self.hidden, self.views[:3]
         steps, lanes = inputs.shape
-        on = np.ones((steps, lanes, 1), F32) if fresh is None else (~fresh[:, :, None]).astype(F32)
-        kept, starts, states = [], [], []
+        on = None if fresh is None or not fresh.any() else (~fresh[:, :, None]).astype(F32)
+        x = table[inputs]
+        x += bias
+        starts, states = np.empty((steps, lanes, k), F32), np.empty((steps, lanes, k), F32)
+        z, r, n, hu = (np.empty((steps, lanes, k), F32) for _ in range(4))
         for t in range(steps):
-            starts.append(h * on[t])
-            *gates, h = self.step(inputs[t], starts[t])
-            kept.append(gates)
-            states.append(h)
-        live = np.flatnonzero(targets.ravel() >= 0)
+            starts[t] = h if on is None else h * on[t]
+            z[t], r[t], n[t], hu[t], h = self.step(inputs[t], starts[t], x[t])
+            states[t] = h
         grad = np.zeros_like(self.flat)
         g, at = [], 0
         for size in self.sizes:
-            n = int(np.prod(size))
-            g.append(grad[at : at + n].reshape(size))
-            at += n
-        out = np.concatenate(states)[live]
+            width = int(np.prod(size))
+            g.append(grad[at : at + width].reshape(size))
+            at += width
+        # tokens by the class of their target
+        live = np.flatnonzero(targets.ravel() >= 0)
         symbols = targets.ravel()[live]
         cls = self.classes_of(symbols)
-        p = out @ cw.T + cb
-        p = np.exp(p - p.max(1, keepdims=True))
-        p /= p.sum(1, keepdims=True)
-        rows = np.arange(len(live))
-        loss = -np.log(np.maximum(p[rows, cls], 1e-20)).sum()
-        p[rows, cls] -= 1
-        g[3][:], g[4][:] = p.T @ out, p.sum(0)
-        dout = p @ cw
-        order = np.argsort(cls, kind="stable")
-        edge = np.searchsorted(cls[order], np.arange(s.own + 1))
+        order = np.argsort(_short(cls, s.classes), kind="stable")
+        live, symbols, cls = live[order], symbols[order], cls[order]
+        edge = np.searchsorted(cls, np.arange(s.own + 1))
+        out = np.concatenate([states.reshape(-1, k)[live], np.ones((len(live), 1), F32)], 1)
+        cw, ww, small = self.biased()
+        dout, loss, gc, gw = np.empty((len(live), k + 1), F32), 0.0, np.zeros_like(cw), np.zeros_like(ww)
+        for at in range(0, len(live), ROWS):
+            part = out[at : at + ROWS]
+            p, lost = _residual(part @ cw.T, cls[at : at + ROWS], small)
+            loss += lost
+            gc += p.T @ part
+            np.matmul(p, cw, out=dout[at : at + ROWS])
         for c in range(s.own):
-            own = order[edge[c] : edge[c + 1]]
-            a, b = s.first[c], s.first[c + 1]
-            if len(own) and b - a > 1:
-                q = out[own] @ ww[a:b].T + wb[a:b]
-                q = np.exp(q - q.max(1, keepdims=True))
-                q /= q.sum(1, keepdims=True)
-                pick = symbols[own] - a
-                loss -= np.log(np.maximum(q[np.arange(len(own)), pick], 1e-20)).sum()
-                q[np.arange(len(own)), pick] -= 1
-                g[5][a:b], g[6][a:b] = q.T @ out[own], q.sum(0)
-                dout[own] += q @ ww[a:b]
+            lo, hi, a, b = edge[c], edge[c + 1], s.first[c], s.first[c + 1]
+            if hi > lo and b - a > 1:
+                q, lost = _residual(out[lo:hi] @ ww[a:b].T, symbols[lo:hi] - a, small)
+                loss += lost
+                gw[a:b] = q.T @ out[lo:hi]
+                dout[lo:hi] += q @ ww[a:b]
+        g[3][:], g[4][:], g[5][:], g[6][:] = gc[:, :k], gc[:, k], gw[:, :k], gw[:, k]
         dstates = np.zeros((steps * lanes, k), F32)
-        dstates[live] = dout
+        dstates[live] = dout[:, :k]
         dstates = dstates.reshape(steps, lanes, k)
         dh = np.zeros((lanes, k), F32)
-        da = np.empty((steps, lanes, 3 * k), F32)
+        da, db = np.empty((steps, lanes, 3 * k), F32), np.empty((steps, lanes, 3 * k), F32)
+        to_z, to_n, to_r = (starts - n) * z * (1 - z), (1 - z) * (1 - n * n), hu * r * (1 - r)
+        back = np.ascontiguousarray(u.T)
         for t in range(steps - 1, -1, -1):
-            z, r, n, hu = kept[t]
-            before = starts[t]
             d = dstates[t] + dh
-            dn = d * (1 - z) * (1 - n * n)
-            dz = d * (before - n) * z * (1 - z)
-            dr = dn * hu * r * (1 - r)
-            da[t] = np.concatenate([dz, dr, dn], 1)
-            db = np.concatenate([dz, dr, dn * r], 1)
-            g[1][:] += before.T @ db
-            dh = (d * z + db @ u.T) * on[t]
+            dn = d * to_n[t]
+            gates = db[t]
+            np.multiply(d, to_z[t], out=gates[:, :k])
+            np.multiply(dn, to_r[t], out=gates[:, k : 2 * k])
+            np.multiply(dn, r[t], out=gates[:, 2 * k :])
+            da[t, :, 2 * k :] = dn
+            dh = d * z[t]
+            dh += gates @ back
+            if on is not None:
+                dh *= on[t]
+        da[:, :, : 2 * k] = db[:, :, : 2 * k]
+        g[1][:] = starts.reshape(-1, k).T @ db.reshape(-1, 3 * k)
         flat = da.reshape(-1, 3 * k)
         g[2][:] = flat.sum(0)
-        order = np.argsort(inputs.ravel(), kind="stable")
-        kinds, edge = np.unique(inputs.ravel()[order], return_index=True)
-        g[0][kinds] = np.add.reduceat(flat[order], edge, axis=0)
+        order = np.argsort(_short(inputs.ravel(), len(table)), kind="stable")
+        sorted_inputs = inputs.ravel()[order]
+        edge = np.flatnonzero(np.concatenate([[True], sorted_inputs[1:] != sorted_inputs[:-1]]))
+        g[0][sorted_inputs[edge]] = np.add.reduceat(flat[order], edge, axis=0)
         grad /= max(len(live), 1)
         return grad, h, float(loss)
 
 
+def _short(x: np.ndarray, size: int) -> np.ndarray:
+    """Numbers below size as 16-bit ones if they fit: those sort by radix."""
+    return x.astype(np.uint16) if size <= 1 << 16 else x
+
+
+#: Rows of logits at once: they stay in a core's cache.
+ROWS = 1024
+
+
+def _log_total(logits: np.ndarray, small: bool) -> np.ndarray:
+    """Logarithm of the sum of exponentials of each row, in place."""
+    top = 0 if small else logits.max(1)
+    if not small:
+        logits -= top[:, None]
+    np.exp(logits, out=logits)
+    return np.log(logits.sum(1)).astype(np.float64) + top
+
+
+def _residual(logits: np.ndarray, pick: np.ndarray, small: bool) -> tuple[np.ndarray, float]:
+    """Softmax less one at each row's pick, in place, and the loss."""
+    rows = np.arange(len(pick))
+    if not small:
+        logits -= logits.max(1, keepdims=True)
+    np.exp(logits, out=logits)
+    logits *= (1 / logits.sum(1))[:, None]
+    loss = -float(np.log(np.maximum(logits[rows, pick], F32(1e-20))).sum(dtype=np.float64))
+    logits[rows, pick] -= 1
+    return logits, loss
+
+
 class Adam:
     def __init__(self, n: int, rate: float):
         self.m, self.v, self.t, self.rate = np.zeros(n, F32), np.zeros(n, F32), 0, rate
@@ -367,7 +414,7 @@ def average(spark, params: DataFrame, size: int, groups: int = 8) -> np.ndarray:
     return (sum(np.frombuffer(p["params"]) for p in parts) / max(weight, 1e-9)).astype(F32) if weight else np.zeros(0, F32)
 
 
-def score(docs: DataFrame, held_out: str = "held_out", vocabulary: int = 4096, classes: int = 64, buckets: int = 64, hidden: int = 16, rounds: int = 2, window: int = 16, lanes: int = 96, rate: float = 0.01, page_bytes: int = 12 << 20) -> DataFrame:
+def score(docs: DataFrame, held_out: str = "held_out", vocabulary: int = 4096, classes: int = 40, buckets: int = 24, hidden: int = 16, rounds: int = 2, window: int = 32, lanes: int = 384, rate: float = 0.02, page_bytes: int = 32 << 20) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document of (doc_id, held_out, text)."""
     spark = docs.sparkSession
     work = Workspace(spark, "recurrent")
@@ -425,7 +472,7 @@ def score(docs: DataFrame, held_out: str = "held_out", vocabulary: int = 4096, c
             n = len(p["ids"])
             model = score_page(net, symbols[p["codes"]], p["lengths"], 512, 64) + np.bincount(doc, rest[p["codes"]], n)
             out.append(pa.table({
-                "doc_id": pa.array(p["ids"], mask=p["ids"] == NONE), "held_out": pa.array(p["held"]), "n_tokens": p["lengths"],
+                "doc_id": pa.array(p["ids"], mask=p["null"]), "held_out": pa.array(p["held"]), "n_tokens": p["lengths"],
                 "n_known": np.bincount(doc, c_kind[p["codes"]] > 0, n).astype(np.int64), "train_tokens": np.full(n, n_train),
                 "base_score": np.bincount(doc, base[p["codes"]], n), "score": model / np.log(10),
             }))
