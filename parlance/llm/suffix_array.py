@@ -396,13 +396,14 @@ def sort_chunks(batches: Iterator[pa.RecordBatch], width: int, buffer: int) -> I
 def remove_repeats(docs: DataFrame, width: int = 100, step: int = 16, salt_rows: int = 2048, buffer: int = 1 << 17) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (start, end): what stays and what goes of each document.
 
-    Null texts are empty.  Rows that share a doc_id count as one document after the
-    other only if their texts differ in nothing; give unique ids.
+    Null texts are empty.  A null doc_id has no place in the order: such rows keep their
+    whole text and take nothing from others.  Rows that share a doc_id count as one
+    document after the other only if their texts differ in nothing; give unique ids.
     """
     work = Workspace(docs.sparkSession, "suffixes")
     texts = docs.select(F.col("doc_id").cast("bigint"), F.coalesce("text", F.lit("")).alias("text"))
     by = F.when(F.col("n") < 0, F.xxhash64("doc_id", "start")).otherwise(F.col("h"))
-    pieces = texts.mapInArrow(lambda it: find_pieces(it, width), PIECE_DDL)
+    pieces = texts.where("doc_id is not null").mapInArrow(lambda it: find_pieces(it, width), PIECE_DDL)
     sorted_pieces = pieces.repartition(by).sortWithinPartitions("h", "p", "doc_id", "start")
     met = work.table(sorted_pieces.mapInArrow(meet_pieces, PIECE_DDL), "pieces")
 

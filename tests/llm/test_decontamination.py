@@ -66,14 +66,44 @@ def test_equals_brute_force(spark):
 
 def test_index_gives_every_fingerprint_within_the_radius():
     rnd = np.random.default_rng(3)
-    index = decontamination.Index([(i, " ".join(map(str, rnd.integers(0, 99, 20)))) for i in range(30)], 22, 0.8)
+    index = decontamination.Index([(i, " ".join(map(str, rnd.integers(0, 99, 20 + i % 3)))) for i in range(30)], 20, 0.8)
     for i in range(30):
         for _ in range(20):
             bits = np.unpackbits(index.prints[i])
-            flip = rnd.choice(64, rnd.integers(0, 23), replace=False)
+            flip = rnd.choice(64, rnd.integers(0, 21), replace=False)
             bits[flip] ^= 1
-            near = np.packbits(bits)
-            assert any(i in index.tables[b][near[b]] for b in range(8))
+            near = np.packbits(bits).view(np.uint16)
+            assert any(i in index.near(20 + i % 3, b, int(near[b])) for b in range(4))
+
+
+def test_radius_keeps_pairs_at_the_threshold():
+    """Windows whose similarity is just above the threshold, with repeated shingles too: nearly all lie within the radius."""
+    rnd = np.random.default_rng(4)
+    inside = total = 0
+    for n in (20, 60, 200):
+        for repeat in (1, 9):
+            for _ in range(150):
+                own = rnd.integers(0, 2**63, n, dtype=np.uint64)
+                other = own.copy()
+                change = n // 9
+                other[rnd.choice(n, change, replace=False)] = rnd.integers(0, 2**63, change, dtype=np.uint64)
+                own, other = (np.concatenate([x, np.repeat(x[:1], repeat - 1)]) for x in (own, other))
+                both = sum((Counter(own.tolist()) & Counter(other.tolist())).values())
+                if both / (2 * len(own) - both) < 0.8:
+                    continue
+                a, b = (decontamination.fingerprint(decontamination.signs(decontamination.occurrences(x)).sum(0, dtype=np.int32)) for x in (own, other))
+                total += 1
+                inside += int(np.bitwise_count(a ^ b).sum()) <= 20
+    assert total > 500 and inside >= 0.995 * total
+
+
+def test_null_large_and_repeated_ids_and_clashing_columns(spark):
+    item = "one two three four five six seven eight nine ten"
+    docs = [(2**60 + 1, f"x {item} y", 1), (None, f"{item} z", 2), (-1, item, 3), (-1, item, 4), (5, "w " * 1_300_000 + item, 5), (6, None, 6)]
+    d = spark.createDataFrame(docs, "doc_id bigint, text string, item_id int")
+    b = spark.createDataFrame([(None, item, 1), (2**60 + 3, item, 2), (2**60 + 3, item, 2)], "item_id bigint, text string, doc_id int")
+    got = sorted((str(r["doc_id"]), str(r["item_id"])) for r in decontamination.contaminated(d, b).collect())
+    assert got == sorted((str(i), str(j)) for i in (2**60 + 1, None, -1, -1, 5) for j in (None, 2**60 + 3))
 
 
 def test_empty_tables(spark):

@@ -71,3 +71,12 @@ def test_empty_table_and_extra_columns(spark):
     clash = spark.createDataFrame([(1, "q" * 120, "x", None), (2, "q" * 120, None, 1)], "doc_id bigint, text string, h string, n int")
     want = brute([(1, "q" * 120), (2, "q" * 120)], 100)
     assert {r["doc_id"]: r["n_removed"] for r in sa.remove_repeats(clash).collect()} == {i: v[1] for i, v in want.items()}
+
+
+def test_null_and_large_ids_and_a_long_text(spark):
+    """Null ids keep their text; ids beyond 2**53 and below 0 keep their order; a text longer than a slice."""
+    long = "".join(random.Random(3).choices("abcdefgh ", k=2_300_000))
+    docs = [(2**60 + 1, "p" * 130), (2**60, "p" * 130), (-5, long), (7, long[1_000_000:1_000_400]), (None, "p" * 130), (None, long[:200])]
+    got = sa.remove_repeats(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()
+    removed = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_bytes"], r["n_removed"]) for r in got)
+    assert removed == [(False, -5, len(long), 0), (False, 7, 400, 400), (False, 2**60, 130, 129), (False, 2**60 + 1, 130, 130), (True, 0, 130, 0), (True, 0, 200, 0)]
