@@ -59,7 +59,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written and read again."""
     work = Workspace(spark, "pipeline")
-    docs = documents(spark, sf_dir)
+    docs, before = documents(spark, sf_dir), None
     for name, stage in STAGES[:-1]:
         docs = work.table(stage(spark, docs, sf_dir), name)
+        if before:
+            work.drop(before)
+        before = name
     return STAGES[-1][1](spark, docs, sf_dir)
