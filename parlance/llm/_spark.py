@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 #: While a table is written: texts vary by orders of magnitude, so fewer rows a batch keep Python
 #: workers small; and what a finished job has shuffled is of no more use, so Spark deletes it.
-WRITING = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2048", "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+WRITING = {BATCH_ROWS: "2048", "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
 
 
 class Workspace:
@@ -33,11 +34,13 @@ class Workspace:
         self.spark, self.root = spark, f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
     @contextmanager
-    def writing(self) -> Iterator[None]:
-        """Settings for the jobs that write a table; the session has its own again afterwards."""
+    def writing(self, rows: int | None = None) -> Iterator[None]:
+        """Settings for the jobs that write a table; the session has its own again afterwards.  rows: of an Arrow batch, fewer where rows are large."""
         before = {key: self.spark.conf.get(key, None) for key in WRITING}
         for key, value in WRITING.items():
             self.spark.conf.set(key, value)
+        if rows:
+            self.spark.conf.set(BATCH_ROWS, str(rows))
         try:
             yield
         finally:
@@ -47,10 +50,10 @@ class Workspace:
                 else:
                     self.spark.conf.set(key, value)
 
-    def table(self, df: DataFrame, name: str) -> DataFrame:
+    def table(self, df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
         """Writes df and returns what was written."""
         path = f"{self.root}/{name}"
-        with self.writing():
+        with self.writing(rows):
             df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 

@@ -48,7 +48,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm._bytes import as_long, mix, shingles, text_slices, word_hashes, words
+from parlance.llm._bytes import as_long, give_back, mix, shingles, text_slices, word_hashes, words
 from parlance.llm._spark import Workspace, components
 
 U64 = np.uint64
@@ -157,6 +157,7 @@ def digest_rows(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.Record
             for seed, out in enumerate(d):
                 np.add.at(out, owner, mix(tokens + U64((seed + 1) * 0x9E3779B97F4A7C15 % 2**64)))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n), pa.array(as_long(d[0])), pa.array(as_long(d[1]))], ["doc_id", "n", "d1", "d2"])
+    give_back()
 
 
 def set_rows(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
@@ -171,6 +172,7 @@ def set_rows(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBat
             maps = np.packbits(bits, axis=1)
             sets = [tokens[a:b].astype("<u8").tobytes() for a, b in zip(edge, edge[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n), pa.array(sets, pa.binary()), pa.array([m.tobytes() for m in maps], pa.binary())], ["doc_id", "n", "tokens", "bitmap"])
+    give_back()
 
 
 def heavy_rows(batches: Iterator[pa.RecordBatch], share: float) -> Iterator[pa.RecordBatch]:
@@ -344,7 +346,7 @@ class Join:
         chosen = texts.join(reps, "doc_id").select("doc_id", "text").repartition(buckets, "doc_id")
         sets = chosen.mapInArrow(lambda it: set_rows(it, k), "doc_id bigint, n bigint, tokens binary, bitmap binary")
         self.name = f"sets_{uuid.uuid4().hex[:12]}"
-        with self.work.writing():
+        with self.work.writing(512):
             sets.write.bucketBy(buckets, "doc_id").sortBy("doc_id").option("path", f"{self.work.root}/sets").format("parquet").option("compression", "none").saveAsTable(self.name)
         self.sets = spark.table(self.name)
         n = self.sets.count()
@@ -404,6 +406,7 @@ class Join:
                             mine = sig >> U64(61) == part
                             doc, sig = doc[mine], sig[mine]
                         yield pa.RecordBatch.from_arrays([pa.array(as_long(sig >> U64(16))), pa.array((root - ids)[doc]), pa.array(ids[doc])], ["sig", "up", "doc_id"])
+            give_back()
 
         known = self.sets.select("doc_id", "tokens").join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left")
         rows = known.select("doc_id", "tokens", F.coalesce("root", "doc_id").alias("root")).mapInArrow(emit, "sig bigint, up bigint, doc_id bigint")
@@ -465,6 +468,7 @@ class Join:
                     both = len(np.intersect1d(u, v, assume_unique=True))
                     keep.append(den * both >= num * (len(u) + len(v) - both))
                 yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+            give_back()
 
         full = self.sets.select("doc_id", "tokens")
         joined = near.join(full.toDF("a", "ta"), "a").join(full.toDF("b", "tb"), "b")
@@ -490,7 +494,7 @@ def near_duplicates(docs: DataFrame, num: int = 80, den: int = 100, k: int = 5,
         else:
             roots = work.table(components(work, links, f"cc_{step}"), f"roots_{step}")
             pairs = join.neighbours(roots, 0) if step == 1 else join.candidates(roots)
-        more = work.table(join.verify(pairs, str(step)), f"links_{step}")
+        more = work.table(join.verify(pairs, str(step)), f"links_{step}", rows=128)
         work.drop("seeds", f"near_{step}", "met", f"roots_{step}")
         links = more if links is None else links.unionByName(more)
     join.close()

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm import _bytes  # noqa: F401
+from parlance.llm._bytes import give_back
 
 LETTERS = re.compile(r"[^\W\d_]+")
 START, END = 1, 2
@@ -318,5 +318,6 @@ def accepted(docs: DataFrame, model: Identifier) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.filter(pa.array([not p[3] for p in held.value.predict(batch.column(at).to_pylist())], pa.bool_()))
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)
