@@ -87,6 +87,7 @@ def korean_numerals(text: Column | str) -> Column:
     """Runs of digits and units, single blanks inside dropped; a new number starts where a Korean digit follows another.
 
     A number needs a digit and a unit; a single digit counts before a classifier only.
+    Digits 0 to 9 belong to runs, so that numbers one blank apart become one.
     """
     classifier = "^(?:" + "|".join(KO_CLASSIFIERS) + ")"
 
@@ -105,7 +106,12 @@ def korean_numerals(text: Column | str) -> Column:
 
         return let(F.split(F.regexp_replace(bare, f"(?<=[{KO_DIGIT}])(?=[{KO_DIGIT}])", "|"), r"\|"), segments)
 
-    return _rewrite_runs(col(text), KO_RUN, convert)
+    def rewritten(t: Column) -> Column:
+        # without Korean symbols a run is digits alone, which only lose the blanks between them
+        joined = F.regexp_replace(t, r"(?U)(?<=[0-9])\s(?=[0-9])", "")
+        return F.when(t.rlike(f"[{KO_DIGIT}{KO_UNIT}]"), _rewrite_runs(t, KO_RUN, convert)).otherwise(joined)
+
+    return let(col(text), rewritten)
 
 
 def english_number_words(text: Column | str) -> Column:

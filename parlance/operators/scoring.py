@@ -13,11 +13,20 @@ def _rate(distance: Column, n: Column) -> Column:
     return F.when(n > 0, distance / n).otherwise(F.lit(float("nan")))
 
 
+def edits(a: Column, b: Column) -> Column:
+    """Levenshtein distance.  Long texts that differ little are compared in a band along the diagonal, which grows where it is too narrow."""
+
+    def within(most: int, wider: Column) -> Column:
+        return let(F.levenshtein(a, b, most), lambda d: F.when(d >= 0, d).otherwise(wider))
+
+    return within(64, within(1024, F.levenshtein(a, b)))
+
+
 def wer(reference: Column | str, hypothesis: Column | str) -> Column:
     """Word edits by reference words; NaN for an empty reference."""
 
     def rate(p: Column) -> Column:
-        return symbols(p["r"], p["h"], lambda a, b: _rate(F.levenshtein(a, b), F.size(p["r"])))
+        return symbols(p["r"], p["h"], lambda a, b: _rate(edits(a, b), F.size(p["r"])))
 
     return let(F.struct(words(reference).alias("r"), words(hypothesis).alias("h")), rate)
 
@@ -25,7 +34,7 @@ def wer(reference: Column | str, hypothesis: Column | str) -> Column:
 def cer(reference: Column | str, hypothesis: Column | str) -> Column:
     """Character edits by reference characters, white space left out."""
     bare = lambda x: F.regexp_replace(col(x), r"(?U)\s", "")
-    return let(F.struct(bare(reference).alias("r"), bare(hypothesis).alias("h")), lambda p: _rate(F.levenshtein(p["r"], p["h"]), F.length(p["r"])))
+    return let(F.struct(bare(reference).alias("r"), bare(hypothesis).alias("h")), lambda p: _rate(edits(p["r"], p["h"]), F.length(p["r"])))
 
 
 def wer_lenient(reference: Column | str, hypothesis: Column | str) -> Column:

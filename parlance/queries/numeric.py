@@ -31,19 +31,19 @@ def dict_lookup(spark, sf):
     return fuzzy.lookup(words, names).select("doc_id", "i", "word", "phonemes")
 
 
-SOUNDS = "lower(replace(p_name, ' ', ''))"
+SOUNDS = "lower(replace(p_name || p_brand, ' ', ''))"
 
 
-@query(f"""WITH s AS (SELECT DISTINCT {SOUNDS} AS phonemes FROM part),
-e AS (SELECT DISTINCT {SOUNDS} AS p FROM part WHERE p_partkey % 7 = 0),
+@query(f"""WITH e AS (SELECT DISTINCT {SOUNDS} AS p FROM part),
+s AS (SELECT DISTINCT p[1] || p[3:] AS phonemes FROM e),
 c AS (SELECT phonemes, p AS entry, 1.0 - levenshtein(phonemes, p) / greatest(length(phonemes), length(p)) AS similarity FROM s, e)
 SELECT phonemes, entry, round(similarity, 6) AS similarity FROM c WHERE similarity >= 0.85 QUALIFY row_number() OVER (PARTITION BY phonemes ORDER BY similarity DESC, entry) = 1""")
 def phoneme_best_match(spark, sf):
-    """Part names as stand-ins for phoneme strings."""
-    part = table(spark, sf, "part")
-    sound = F.lower(F.replace("p_name", F.lit(" "), F.lit("")))
-    entries = part.where("p_partkey % 7 = 0").select(sound.alias("word"), sound.alias("phonemes")).distinct()
-    return fuzzy.best_matches(part.select(sound.alias("phonemes")), entries).select("phonemes", "entry", F.round("similarity", 6).alias("similarity"))
+    """Names and brands of all parts as entries, and as sounds the same with one symbol lost."""
+    sound = F.lower(F.replace(F.concat("p_name", "p_brand"), F.lit(" "), F.lit("")))
+    entries = table(spark, sf, "part").select(sound.alias("word"), sound.alias("phonemes")).distinct()
+    sounds = entries.select(F.concat(F.substring("word", 1, 1), F.expr("substring(word, 3)")).alias("phonemes"))
+    return fuzzy.best_matches(sounds, entries).select("phonemes", "entry", F.round("similarity", 6).alias("similarity"))
 
 
 @query("""SELECT doc_id AS utt_id, ['we call useEffect here', 'the Kubernetes cluster', 'plain words', 'useEffect and Kubernetes'][(doc_id % 4 + 1)::int] AS text, [1, 1, 0, 2][(doc_id % 4 + 1)::int] AS n FROM documents""")
@@ -81,12 +81,14 @@ def lexicon_max_sim(spark, sf):
     return e.join(lexicon, F.lit(True)).select("vec_id", F.round(vectors.most_similar(F.col("embedding"), F.col("l")), 6).alias("similarity"))
 
 
-@query("SELECT vec_id, label, (row_number() OVER (PARTITION BY label ORDER BY embedding[1]::double DESC, vec_id))::int AS rank FROM embeddings QUALIFY rank <= 3")
+@query(f"""WITH c AS (SELECT vec_id, label, round(list_sum(list_transform(embedding, lambda x: x::double)) / sqrt({dot_sql('embedding', 'embedding')} * len(embedding)), 6) AS cosine FROM embeddings)
+SELECT vec_id, label, cosine, (row_number() OVER (PARTITION BY label ORDER BY cosine DESC, vec_id))::int AS rank FROM c QUALIFY rank <= 3""")
 def topk_similar(spark, sf):
-    """The three vectors of each label that lie furthest along the first axis."""
+    """The three vectors of each label that are most similar to a query vector of equal components."""
     e = table(spark, sf, "embeddings")
-    first = Window.partitionBy("label").orderBy(F.desc(F.col("embedding")[0].cast("double")), "vec_id")
-    return e.select("vec_id", "label", F.row_number().over(first).cast("int").alias("rank")).where("rank <= 3")
+    cosine = F.round(vectors.total(F.transform("embedding", lambda x: x.cast("double"))) / (vectors.norm(F.col("embedding")) * F.sqrt(F.size("embedding"))), 6)
+    first = Window.partitionBy("label").orderBy(F.desc("cosine"), "vec_id")
+    return e.select("vec_id", "label", cosine.alias("cosine")).withColumn("rank", F.row_number().over(first).cast("int")).where("rank <= 3")
 
 
 @query(f"""WITH p AS (SELECT a.vec_id, list_transform(list_zip(a.embedding, b.embedding), lambda z: abs(z[1]::double - z[2]::double)) AS g FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1)
@@ -337,10 +339,11 @@ def vocab_parse(spark, sf):
     return readers.parse_vocabulary(table(spark, sf, "part").select(F.concat_ws(" ", "p_type", "p_brand", "p_partkey").alias("value")))
 
 
-@query()
+@query("SELECT doc_id, ('0x' || substr(md5('42:' || doc_id || ':noise'), 1, 15))::bigint % 17 AS pool_idx FROM documents")
 def hash_assign(spark, sf):
     """A pool member for each utterance, by a seeded hash."""
-    return table(spark, sf, "documents").select("doc_id", F.pmod(F.xxhash64(F.lit(42), "doc_id", F.lit("noise")), F.lit(17)).alias("pool_idx"))
+    hashed = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit("42"), "doc_id", F.lit("noise"))), 1, 15), 16, 10).cast("bigint")
+    return table(spark, sf, "documents").select("doc_id", (hashed % 17).alias("pool_idx"))
 
 
 @query("SELECT doc_id, text, text LIKE 'T%' AS success FROM (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'T' || doc_id WHEN 1 THEN 'undo' ELSE '' END AS text FROM documents)")
@@ -350,7 +353,7 @@ def emit_text(spark, sf):
     return writers.emit(df).select("doc_id", writers.shown_text(F.col("kind"), F.col("t"), F.lit("undo")).alias("text"), "success")
 
 
-@query()
+@query("SELECT vec_id, 16000 AS sample_rate, 1 AS channels, true AS close FROM embeddings")
 def wav_round_trip(spark, sf):
     """Samples written as WAV and read again: the largest difference is a step of 16 bits."""
     df = samples(spark, sf)

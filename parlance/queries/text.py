@@ -334,7 +334,11 @@ def overlap_len(spark, sf):
     return df.select("doc_id", corrections.overlap(F.col("w"), after).cast("int").alias("k"))
 
 
-@query()
+@query("""WITH ab AS (SELECT doc_id, string_split(text, '') AS a, string_split(substr(text, 1, length(text) // 3) || substr(text, length(text) // 2 + 1), '') AS b FROM documents),
+r AS (SELECT doc_id, a, b, list_reverse(a) AS ra, list_reverse(b) AS rb FROM ab),
+s AS (SELECT *, list_filter(range(0, len(b) + 1), lambda i: i = len(b) OR ra[i + 1] <> rb[i + 1])[1] AS suffix FROM r),
+p AS (SELECT *, list_filter(range(0, len(b) - suffix + 1), lambda i: i = len(b) - suffix OR a[i + 1] <> b[i + 1])[1] AS prefix FROM s)
+SELECT doc_id, CASE WHEN prefix < len(a) - suffix THEN prefix::int END AS start, CASE WHEN prefix < len(a) - suffix THEN (len(a) - suffix)::int END AS "end" FROM p""")
 def diff_span(spark, sf):
     b = F.concat(F.substring("text", F.lit(1), F.floor(F.length("text") / 3).cast("int")), F.substring("text", F.floor(F.length("text") / 2).cast("int") + 1, F.length("text")))
     df = table(spark, sf, "documents").select("doc_id", "text", b.alias("b"))
@@ -460,8 +464,10 @@ def en_number_words(spark, sf):
 
 
 DROP_CLASS = "[" + "".join("\\" + c if c in ".,?!:;\"'()[]{}" else c for c in lx.DROPPED).replace("'", "''") + "]"
+# Numerals of a run lose the single blanks between them, ASCII digits too: twice, since matches do not overlap.
 LENIENT_SQL = f"""
-bare AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '{DROP_CLASS}', '', 'g'), '[\\s\\-–—−―]+', ' ', 'g'), '^ ', ''), ' $', '') AS t FROM src),
+one AS (SELECT doc_id, regexp_replace(regexp_replace(t, '([0-9])\\s([0-9])', '\\1\\2', 'g'), '([0-9])\\s([0-9])', '\\1\\2', 'g') AS t FROM src),
+bare AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '{DROP_CLASS}', '', 'g'), '[\\s\\-–—−―]+', ' ', 'g'), '^ ', ''), ' $', '') AS t FROM one),
 tok AS (SELECT doc_id, generate_subscripts(ws, 1) AS i, unnest(ws) AS w FROM (SELECT doc_id, string_split(lower(t), ' ') AS ws FROM bare)),
 len AS (SELECT doc_id, string_agg(coalesce(v, w), ' ' ORDER BY i) AS text FROM tok LEFT JOIN {NUMBER_JOIN} ON w = k GROUP BY doc_id)
 """
