@@ -349,7 +349,7 @@ class Join:
         with self.work.writing(512):
             sets.write.bucketBy(buckets, "doc_id").sortBy("doc_id").option("path", f"{self.work.root}/sets").format("parquet").option("compression", "none").saveAsTable(self.name)
         self.sets = spark.table(self.name)
-        n = self.sets.count()
+        n = self.n = self.sets.count()
         share = self.share
         heavy = self.sets.select("tokens").mapInArrow(lambda it: heavy_rows(it, share), "token bigint, n bigint")
         heavy = heavy.groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= max(32, share / 2 * n)).select("token")
@@ -470,9 +470,17 @@ class Join:
                 yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
             give_back()
 
+        # the second join moves one set of each pair: in parts of a third of all sets' bytes or so
         full = self.sets.select("doc_id", "tokens")
-        joined = near.join(full.toDF("a", "ta"), "a").join(full.toDF("b", "tb"), "b")
-        return joined.select("a", "b", "ta", "tb").mapInArrow(exact, "a bigint, b bigint")
+        parts = max(1, -(-3 * near.count() // max(self.n, 1)))
+        links = None
+        for i in range(parts):
+            own = near.where(F.pmod(F.xxhash64("a", "b"), F.lit(parts)) == i) if parts > 1 else near
+            joined = own.join(full.toDF("a", "ta"), "a").join(full.toDF("b", "tb"), "b")
+            found = joined.select("a", "b", "ta", "tb").mapInArrow(exact, "a bigint, b bigint")
+            found = self.work.table(found, f"links_{name}_{i}", rows=128)
+            links = found if links is None else links.unionByName(found)
+        return links
 
 
 def near_duplicates(docs: DataFrame, num: int = 80, den: int = 100, k: int = 5, hot_share: float = 0.001, seeds: int = 8, block: int = 2048) -> DataFrame:
@@ -494,13 +502,12 @@ def near_duplicates(docs: DataFrame, num: int = 80, den: int = 100, k: int = 5,
         else:
             roots = work.table(components(work, links, f"cc_{step}"), f"roots_{step}")
             pairs = join.neighbours(roots, 0) if step == 1 else join.candidates(roots)
-        more = work.table(join.verify(pairs, str(step)), f"links_{step}", rows=128)
+        more = join.verify(pairs, str(step))
         work.drop("seeds", f"near_{step}", "met", f"roots_{step}")
         links = more if links is None else links.unionByName(more)
     join.close()
     work.release()
     roots = work.table(components(work, links, "cc_3"), "roots_3")
-    work.drop("links_0", "links_1", "links_2")
     named = classes.join(roots.withColumnRenamed("node", "class_id"), "class_id", "left").select("d1", "d2", F.col("n").alias("_n"), "class_id", F.coalesce("root", "class_id").alias("component_id"))
     out = digests.join(named, ["d1", "d2"], "left")
     own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
