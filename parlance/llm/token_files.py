@@ -208,8 +208,7 @@ class ChunkEncoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.odd = re.compile("|".join([ODD_SPACE.pattern, *added]))
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         said = json.loads(self.tokenizer.to_str())
         before = said.get("pre_tokenizer") or {}
         self.by_piece = before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True) and not said.get("normalizer")
@@ -278,7 +277,8 @@ class ChunkEncoder:
             self._retain()
         parts, whole = [], {}
         for i, text in enumerate(texts):
-            as_is = text and (not self.by_piece or self.odd.search(text))
+            # two quick scans: a pattern of both would be tried at each character
+            as_is = text and (not self.by_piece or ODD_SPACE.search(text) or any(t in text for t in self.added))
             pieces = PIECE.findall(text) if text and not as_is else []
             if as_is:
                 whole[i] = np.array([*self.tokenizer.encode(text, add_special_tokens=False).ids, self.end_id], np.uint32)
