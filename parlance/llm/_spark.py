@@ -12,10 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-#: While a table is written: texts vary by orders of magnitude, so fewer rows a batch keep Python
-#: workers small; and what a finished job has shuffled is of no more use, so Spark deletes it.
+#: While a table is written: texts vary by orders of magnitude, so fewer rows and bytes a batch keep
+#: Python workers small; and what a finished job has shuffled is of no more use, so Spark deletes it.
 BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
-WRITING = {BATCH_ROWS: "2048", "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+WRITING = {BATCH_ROWS: "2048", "spark.sql.execution.arrow.maxBytesPerBatch": "4m", "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
 
 
 class Workspace:
