@@ -390,8 +390,8 @@ class Join:
         votes = rows.join(lead, "sig").where("a < doc_id").groupBy("doc_id", "a").agg(F.count("*").alias("n"))
         return votes.groupBy("doc_id").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a")).select("a", F.col("doc_id").alias("b"))
 
-    def signed(self, roots: DataFrame, part: int | None = None) -> DataFrame:
-        """(sig, root, doc_id) of all sets, dealt by signature; roots: (node, root) of linked sets; part: one eighth of the signatures (0 to 7)."""
+    def signed(self, roots: DataFrame, low: int, high: int) -> DataFrame:
+        """(sig, root, doc_id) of all sets, dealt by signature; roots: (node, root) of linked sets; low, high: from which to before which eighth of the signatures."""
         bands, held = self.bands, self.held
 
         def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -402,9 +402,8 @@ class Join:
                     own = bands.of(size)
                     for band in (own, np.where((own > 0) & (size * bands.num <= bands.high[own - 1] * bands.den), own - 1, -1)):
                         doc, sig = signatures(owner, tokens, size, bands, band, held.value)
-                        if part is not None:
-                            mine = sig >> U64(61) == part
-                            doc, sig = doc[mine], sig[mine]
+                        mine = (sig >> U64(61) >= low) & (sig >> U64(61) < high)
+                        doc, sig = doc[mine], sig[mine]
                         yield pa.RecordBatch.from_arrays([pa.array(as_long(sig >> U64(16))), pa.array((root - ids)[doc]), pa.array(ids[doc])], ["sig", "up", "doc_id"])
             give_back()
 
@@ -413,9 +412,9 @@ class Join:
         # the root goes as a difference, mostly 0, and 48 bits are enough for what is verified: a shuffle of few bytes
         return rows.repartition("sig").select("sig", (F.col("doc_id") + F.col("up")).alias("root"), "doc_id")
 
-    def neighbours(self, roots: DataFrame, part: int) -> DataFrame:
+    def neighbours(self, roots: DataFrame) -> DataFrame:
         """(a, b): in each group of some signatures, in a random order, neighbours of different components."""
-        rows = self.signed(roots, part).sortWithinPartitions("sig", F.xxhash64("sig", "doc_id"))
+        rows = self.signed(roots, 0, 1).sortWithinPartitions("sig", F.xxhash64("sig", "doc_id"))
         return rows.mapInArrow(ring_rows, "a bigint, b bigint").distinct()
 
     def candidates(self, roots: DataFrame) -> DataFrame:
@@ -426,8 +425,12 @@ class Join:
         others, and the others with each other.
         """
         num, den, block = self.num, self.den, self.block
-        rows = self.signed(roots).sortWithinPartitions("sig", "root")
-        met = self.work.table(rows.mapInArrow(meet_rows, "sig bigint, a bigint, b bigint"), "met")
+        met = []
+        for low in (0, 4):  # in halves, so that no more than half of the signatures is on disk twice
+            rows = self.signed(roots, low, low + 4).sortWithinPartitions("sig", "root")
+            met.append(self.work.table(rows.mapInArrow(meet_rows, "sig bigint, a bigint, b bigint"), f"met_{low}"))
+            self.work.release()
+        met = met[0].unionByName(met[1])
         few = met.where("sig is null").select("a", "b")
         many = met.where("sig is not null").select("sig", F.col("a").alias("root"), F.col("b").alias("doc_id"))
         of_root = many.groupBy("sig", "root").agg(F.count("*").alias("n"))
@@ -501,9 +504,9 @@ def near_duplicates(docs: DataFrame, num: int = 80, den: int = 100, k: int = 5,
             pairs = join.leaders()
         else:
             roots = work.table(components(work, links, f"cc_{step}"), f"roots_{step}")
-            pairs = join.neighbours(roots, 0) if step == 1 else join.candidates(roots)
+            pairs = join.neighbours(roots) if step == 1 else join.candidates(roots)
         more = join.verify(pairs, str(step))
-        work.drop("seeds", f"near_{step}", "met", f"roots_{step}")
+        work.drop("seeds", f"near_{step}", "met_0", "met_4", f"roots_{step}")
         links = more if links is None else links.unionByName(more)
     join.close()
     work.release()
