@@ -202,6 +202,7 @@ def heavy_rows(batches: Iterator[pa.RecordBatch], share: float) -> Iterator[pa.R
     merge()
     keep = count >= max(4, share / 2 * docs)
     yield pa.RecordBatch.from_arrays([pa.array(as_long(key[keep])), pa.array(count[keep])], ["token", "n"])
+    give_back()
 
 
 def ring_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -409,8 +410,10 @@ class Join:
 
         known = self.sets.select("doc_id", "tokens").join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left")
         rows = known.select("doc_id", "tokens", F.coalesce("root", "doc_id").alias("root")).mapInArrow(emit, "sig bigint, up bigint, doc_id bigint")
-        # the root goes as a difference, mostly 0, and 48 bits are enough for what is verified: a shuffle of few bytes
-        return rows.repartition("sig").select("sig", (F.col("doc_id") + F.col("up")).alias("root"), "doc_id")
+        # the root goes as a difference, mostly 0, and 48 bits are enough for what is verified: a shuffle of few bytes.
+        # A set has many signatures, so that they are dealt finer than other tables: less to sort at once in a task
+        parts = 4 * int(self.work.spark.conf.get("spark.sql.shuffle.partitions"))
+        return rows.repartition(parts, "sig").select("sig", (F.col("doc_id") + F.col("up")).alias("root"), "doc_id")
 
     def neighbours(self, roots: DataFrame) -> DataFrame:
         """(a, b): in each group of some signatures, in a random order, neighbours of different components."""
