@@ -16,9 +16,11 @@ Stage = Callable[[Column, Column], Column]
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir, which all executors share; a temporary one where that is not set."""
+    """A new folder below spark.checkpoint.dir, which all executors share; where that is not set, a local session gets a temporary one and a cluster is refused."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="parlance-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
