@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm import decontamination, embeddings, jaccard, language, licenses, mixing, prefix_trie, recurrent, sharding, suffix_array, token_files
+from parlance.llm import alignment, decontamination, embeddings, jaccard, language, licenses, mixing, prefix_trie, recurrent, sharding, suffix_array, token_files
 
 SHARD_BYTES = 64 << 10
 
@@ -70,12 +70,16 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(documents(spark, sf_dir), str(tokenizer_path()), str(tokenizer_path("piece_bpe_32k.model")))
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet")).drop("node_id")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_suffix_dedup, op2_jaccard_join, op3_recurrent_score, op4_token_files, op5_mix_sources, op6_license_scan, op7_shard, op8_embedding_dedup, op9_language_id, op10_decontaminate, op12_prefix_trie)
+    named = (op1_suffix_dedup, op2_jaccard_join, op3_recurrent_score, op4_token_files, op5_mix_sources, op6_license_scan, op7_shard, op8_embedding_dedup, op9_language_id, op10_decontaminate, op11_token_alignment, op12_prefix_trie)
     return {f.__name__: f for f in named}
 
 
