@@ -7,10 +7,9 @@ matched yet; the side behind gives the next token.  Transitions are memoised by
 and token.  An empty rest closes a group; every token taken while a rest dangles
 overlaps the leading token, which is a link.
 
-Both tokenizers have a boundary before a blank or line end between two characters that
-are no white space, so a text is a sequence of chunks that begin there, and the rest is
-empty between them.  Each distinct chunk is encoded and walked once and kept in a
-worker.  A text with other white space beside such a place is cut only where it is safe.
+Where both tokenizers have a boundary whatever stands around (see ``Aligner``) a text is
+cut to chunks, between which the rest is empty.  Each distinct chunk is encoded and
+walked once and kept in a worker.
 
 Pass one writes, for slices of documents, the sequence of chunks and the links of each
 distinct chunk; links are counted by slice, then by id pair.  Pass two brings each
@@ -113,9 +112,15 @@ class Transducer:
 
 
 class Aligner:
-    """Chunks by text with their tokens, groups and links, kept up to a number."""
+    """Chunks by text with their tokens, groups and links; when they are too many, those seen most often stay.
 
-    def __init__(self, a_path: str, b_path: str, keep: int = 250_000):
+    A text is cut before each blank, line end and mark, and put together again where
+    such a cut may not be a boundary of both tokenizers: a blank or line end is one
+    between characters that are no white space, a mark after a letter, if no piece of
+    B's vocabulary holds a letter before it.
+    """
+
+    def __init__(self, a_path: str, b_path: str, keep: int = 500_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import sentencepiece
         from tokenizers import Tokenizer
@@ -129,64 +134,109 @@ class Aligner:
         a_bytes = [added[i] if i in added else bytes(back[c] for c in names.get(i, "")) for i in range(max(names) + 1)]
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         b_bytes = [bytes([int(BYTE_PIECE.fullmatch(p)[1], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        joined = {p[i + 1] for p in pieces for i in range(len(p) - 1) if p[i].isalpha()}
+        self.marks = [c for c in ".,;:!?" if c not in joined]
         self.walker, self.keep = Transducer(a_bytes, b_bytes), keep
+        self.a_names, self.b_names = list(map(str, range(len(a_bytes)))), list(map(str, range(len(b_bytes))))
         self._forget()
 
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
         self.spelt: list[str] = []  # a chunk's groups as text; of one whose bytes differ ""
-        self.loose: list[bool] = []  # white space at its ends: its neighbours matter
-        self.links: list[np.ndarray] = []
-        self.n_a: list[int] = []
-        self.n_b: list[int] = []
-        self.n_groups: list[int] = []
+        self.flat, self.used = np.zeros(1 << 16, np.int64), 0  # links of all chunks
+        #: by chunk: n_a, n_b, n_groups, n_links, where its links start, how often it was seen
+        self.numbers = np.zeros((6, 1 << 14), np.int64)
+        #: by chunk: can a cut before it be none, is it a mark, does it end in white space, does it end in a letter
+        self.kind = np.zeros((4, 1 << 14), bool)
 
     def encode(self, chunks: list[str]) -> Iterator[tuple[list[int], list[int]]]:
-        """Ids by A and B of each chunk, which begins with a blank, or with a line end that stands for no blank."""
+        """Ids by A and B of each chunk; one that begins with no blank goes to B after a line end, which merges with nothing."""
         a = self.a.encode_batch_fast(chunks, add_special_tokens=False)
-        b = self.b.encode([c[1:] if c[0] == " " else c for c in chunks], num_threads=1)
+        b = self.b.encode([c[1:] if c[0] == " " else "\n" + c for c in chunks], num_threads=1)
         for chunk, x, y in zip(chunks, a, b, strict=True):
-            yield x.ids, y if chunk[0] == " " else y[1:]
+            yield x.ids, y if chunk[0] == " " else y[2:]
 
     def learn(self, chunks: list[str]) -> None:
+        a_names, b_names = self.a_names, self.b_names
         for at in range(0, len(chunks), 4096):
             part = chunks[at : at + 4096]
+            links, numbers, first = [], [], len(self.spelt)
             for chunk, (a, b) in zip(part, self.encode(part), strict=True):
-                found = self.walker.walk(a, b)
-                links, groups = found or ([], [])
+                found, groups = self.walker.walk(a, b) or ([], [])
                 i = j = 0
                 texts = []
                 for to_i, to_j in groups:
-                    texts.append(",".join(map(str, a[i:to_i])) + "|" + ",".join(map(str, b[j:to_j])))
+                    if to_i - i == 1 == to_j - j:
+                        texts.append(f"{a[i]}|{b[j]}")
+                    else:
+                        texts.append(",".join([a_names[x] for x in a[i:to_i]]) + "|" + ",".join([b_names[x] for x in b[j:to_j]]))
                     i, j = to_i, to_j
                 self.known[chunk] = len(self.spelt)
                 self.spelt.append(";".join(texts))
-                self.loose.append(len(chunk) < 2 or chunk[1].isspace() or chunk[-1].isspace())
-                self.links.append(np.array(links, np.int64))
-                self.n_a.append(len(a))
-                self.n_b.append(len(b))
-                self.n_groups.append(len(groups))
-
-    def _places(self, chunks: list[str]) -> list[int]:
+                links += found
+                numbers.append((len(a), len(b), len(groups), len(found)))
+            ends = [c[-1] for c in part]
+            kind = ([len(c) < 2 or c[1].isspace() if c[0] in " \n" else False for c in part], [c[0] not in " \n" for c in part], [c.isspace() for c in ends], [c.isalpha() for c in ends])
+            self._add(first, np.array(links, np.int64), np.array(numbers, np.int64).T, np.array(kind, bool))
+
+    def _add(self, first: int, links: np.ndarray, numbers: np.ndarray, kind: np.ndarray) -> None:
+        """What is known of the chunks from a number on."""
+        last = first + numbers.shape[1]
+        while last > self.numbers.shape[1]:
+            self.numbers, self.kind = (np.concatenate([x, np.zeros_like(x)], axis=1) for x in (self.numbers, self.kind))
+        while self.used + len(links) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[self.used : self.used + len(links)] = links
+        self.numbers[:4, first:last], self.kind[:, first:last] = numbers, kind
+        self.numbers[4, first:last] = self.used + np.cumsum(numbers[3]) - numbers[3]
+        self.numbers[5, first:last] = 0
+        self.used += len(links)
+
+    def links_of(self, places: np.ndarray) -> np.ndarray:
+        """The links of these chunks, one chunk after another."""
+        start, size = self.numbers[4, places], self.numbers[3, places]
+        return self.flat[np.arange(size.sum()) + np.repeat(start - np.cumsum(size) + size, size)]
+
+    def _places(self, chunks: list[str]) -> np.ndarray:
         at = list(map(self.known.get, chunks))
         if None in at:
             self.learn([c for c in dict.fromkeys(chunks) if c not in self.known])
             at = list(map(self.known.get, chunks))
-        return at
+        return np.array(at, np.int64)
+
+    def _cut(self, text: str) -> list[str]:
+        if "\x01" in text:
+            return SAFE.split(" " + text)
+        for c in (" ", "\n", *self.marks):
+            text = text.replace(c, "\x01" + c)
+        return (" " + text).split("\x01")
 
-    def places(self, text: str | None) -> list[int]:
+    def places(self, text: str | None) -> np.ndarray:
         """The chunks of space + text by number; none for a text without tokens."""
         if not text:
-            return []
-        at = self._places([p if p[:1] == "\n" else " " + p for p in text.replace("\n", " \n").split(" ")])
-        if any(map(self.loose.__getitem__, set(at))):
-            at = self._places(SAFE.split(" " + text))
-        return [] if any(not self.n_groups[i] for i in set(at)) else at
+            return np.zeros(0, np.int64)
+        chunks = self._cut(text)
+        at = self._places(chunks)
+        bare, mark, blank, letter = self.kind[:, at]
+        wrong = np.where(mark[1:], ~letter[:-1], bare[1:] | blank[:-1])
+        if wrong.any():
+            bounds = [0, *(np.flatnonzero(~wrong) + 1).tolist(), len(chunks)]
+            at = self._places(["".join(chunks[i:j]) for i, j in zip(bounds, bounds[1:])])  # noqa: B905
+        return at if self.numbers[2, at].all() else np.zeros(0, np.int64)
 
     def trim(self) -> None:
-        """Starts anew when it holds too many chunks; numbers given before are void then."""
-        if len(self.known) > self.keep:
-            self._forget()
+        """Where it holds too many chunks, half the number stays, by how often they were seen; numbers given before are void then."""
+        n = len(self.spelt)
+        if n <= self.keep:
+            return
+        seen, names = self.numbers[5, :n], list(self.known)
+        often = np.argsort(-seen, kind="stable")[: self.keep // 2]
+        often = np.sort(often[seen[often] > 1])
+        links, numbers, kind, spelt = self.links_of(often), self.numbers[:, often], self.kind[:, often], [self.spelt[i] for i in often.tolist()]
+        self._forget()
+        self.known, self.spelt = {names[i]: k for k, i in enumerate(often.tolist())}, spelt
+        self._add(0, links, numbers[:4], kind)
+        self.numbers[5, : len(often)] = numbers[5] >> 1
 
 
 _aligners: dict[tuple[str, str], Aligner] = {}
@@ -221,17 +271,16 @@ def _slice(aligner: Aligner, number: int, ids: list, places: list[np.ndarray], d
     rank = np.empty_like(often)
     rank[often] = np.arange(len(often))
     used, local, times = used[often], rank[local], times[often]
-    pick = used.tolist()
-    links = np.concatenate([aligner.links[i] for i in pick]) if pick else np.zeros(0, np.int64)
-    n_links = np.array([len(aligner.links[i]) for i in pick], np.int64)
+    aligner.numbers[5, used] += times
+    links, n_links = aligner.links_of(used), aligner.numbers[3, used]
     pair, inverse = np.unique(links, return_inverse=True)
     count = np.bincount(inverse, np.repeat(times, n_links), len(pair)).astype(np.int64) if len(pair) else np.zeros(0, np.int64)
     edge = np.concatenate([[0], np.cumsum(sizes)])
-    total = lambda values: np.diff(np.concatenate([[0], np.cumsum(np.array(values, np.int64)[local] if pick else np.zeros(0, np.int64))])[edge]).tolist()
+    total = lambda values: np.diff(np.concatenate([[0], np.cumsum(values[local])])[edge]).tolist()
     low, high = _halves(local)
     link_low, link_high = _halves(inverse)
     return {
-        "slice": number, "doc_id": ids, "n_a": total([aligner.n_a[i] for i in pick]), "n_b": total([aligner.n_b[i] for i in pick]), "n_groups": total([aligner.n_groups[i] for i in pick]),
+        "slice": number, "doc_id": ids, **{name: total(aligner.numbers[k, used]) for k, name in enumerate(("n_a", "n_b", "n_groups"))},
         "n_links": total(n_links), "groups_sha256": digests, "n_chunks": sizes.tolist(), "low": low, "high": high, "size": n_links.astype("<i4").tobytes(), "link_low": link_low, "link_high": link_high,
         "pair": pair.astype("<i8").tobytes(), "count": count.astype("<i8").tobytes(),
     }
@@ -260,8 +309,8 @@ def slices(docs: DataFrame, a_path: str, b_path: str, chars: int = SLICE_CHARS)
                 text = text.as_py()
                 at = aligner.places(text)
                 ids.append(doc_id)
-                places.append(np.array(at, np.int64))
-                digests.append(hashlib.sha256(";".join(map(aligner.spelt.__getitem__, at)).encode()).hexdigest() if at else "")
+                places.append(at)
+                digests.append(hashlib.sha256(";".join(map(aligner.spelt.__getitem__, at.tolist())).encode()).hexdigest() if len(at) else "")
                 size += len(text or "")
                 if size >= chars:
                     yield close()
@@ -333,7 +382,7 @@ def groups(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 at, rows, start = aligner.places(text.as_py()), [], 0
-                for group in (g for i in at for g in aligner.spelt[i].split(";")):
+                for group in (g for i in at.tolist() for g in aligner.spelt[i].split(";")):
                     a, b = ([int(x) for x in side.split(",")] for side in group.split("|"))
                     end = start + sum(len(spelt[x]) for x in a)
                     rows.append((doc_id, start, end, a, b))

@@ -11,7 +11,7 @@ COLUMNS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_s
 SCHEMA = "doc_id long, text string"
 ODD = [
     None, "", " ", "\n", "a", " a", "a ", "a  b", "a\n\nb", "a \n b", "a\n b", "\na", "a\tb", "a \tb", "a\r\nb", "a　b", "x ▁y", "▁", "é é € \U0001f600 ﬁ ½",
-    "<|endoftext|> <s> </s> <unk> <0x41> <0x0A>", "it's we'll DON'T", "1,234.50 $5 #x @y", "a\x00b \x1f c\x85d \xa0 e", "x" * 3000, "﻿start", "é", " ́", "   \n   \n", "tail\n", "tail \n\n ", "你好 世界。한국어",
+    "<|endoftext|> <s> </s> <unk> <0x41> <0x0A>", "it's we'll DON'T", "1,234.50 $5 #x @y", "a\x00b \x1f c\x85d \xa0 e", "x" * 3000, "﻿start", "é", " ́", "   \n   \n", "tail\n", "a.b,c d. e.\nF ... 3.14 e.g., (x).", "a\x01b, c\x01\x01 .", ".", ",a", "é.com", "tail \n\n ", "你好 世界。한국어",
 ]
 
 
@@ -27,7 +27,7 @@ def test_whole_table_equals_brute_force(spark, sf):
 @pytest.mark.parametrize("chars", [alignment.SLICE_CHARS, 10])
 def test_odd_texts_in_slices_of_any_size(spark, chars):
     rng = random.Random(5)
-    texts = [*ODD, *ODD[:4], *("".join(rng.choice(["a", "be", " ", " ", "\n", "\t", "\xa0", " ", ".", "9", "é", "the"]) for _ in range(rng.randint(1, 40))) for _ in range(300))]
+    texts = [*ODD, *ODD[:4], *("".join(rng.choice(["a", "be", " ", " ", "\n", "\t", "\xa0", " ", ".", ",", ".", "9", "é", "the", "!?", "\x01"]) for _ in range(rng.randint(1, 40))) for _ in range(300))]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], SCHEMA).selectExpr("*", "'x' as slice", "1 as pair", "2 as n_a").repartition(3)
     want = alignment.brute_force(texts, A, B)
     assert rows_of(alignment.align(df, A, B, chars)) == want
@@ -83,5 +83,5 @@ def test_a_small_cache_gives_the_same():
         at = known.places(text)
         assert ";".join(known.spelt[i] for i in at).count("|") == alignment.brute_force([text], A, B)[0][2]
         known.trim()
-        assert len(known.known) <= 9
+        assert len(known.known) <= 7
     assert Path(A).exists()
