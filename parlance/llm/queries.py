@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm import alignment, decontamination, embeddings, jaccard, language, licenses, mixing, prefix_trie, recurrent, sharding, suffix_array, token_files
+from parlance.llm import alignment, decontamination, embeddings, jaccard, language, licenses, mixing, prefix_trie, recurrent, sharding, suffix_array, token_files, toxicity
 
 SHARD_BYTES = 64 << 10
 
@@ -78,8 +78,14 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet")).drop("node_id")
 
 
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).withColumn("held_out", id_remainder(3) == 1)
+    scorer = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), id_remainder(3) != 1)
+    return toxicity.score(docs, scorer, ("doc_id", "held_out")).withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_suffix_dedup, op2_jaccard_join, op3_recurrent_score, op4_token_files, op5_mix_sources, op6_license_scan, op7_shard, op8_embedding_dedup, op9_language_id, op10_decontaminate, op11_token_alignment, op12_prefix_trie)
+    named = (op1_suffix_dedup, op2_jaccard_join, op3_recurrent_score, op4_token_files, op5_mix_sources, op6_license_scan, op7_shard, op8_embedding_dedup, op9_language_id, op10_decontaminate, op11_token_alignment, op12_prefix_trie, op13_toxicity)
     return {f.__name__: f for f in named}
 
 
