@@ -46,6 +46,25 @@ def phoneme_best_match(spark, sf):
     return fuzzy.best_matches(sounds, entries).select("phonemes", "entry", F.round("similarity", 6).alias("similarity"))
 
 
+ACCENTS, PLAIN = "äöüßéèêëàâáçîïíôóûùúñ", "aouseeeeaaaciiioouuun"  # SQL's edit distance counts bytes
+WORDS = f"SELECT DISTINCT unnest(regexp_extract_all(translate(lower(text), '{ACCENTS}', '{PLAIN}'), '[a-z]+')) AS w FROM {{}}"
+
+
+def distinct_words(df):
+    plain = F.translate(F.lower("text"), ACCENTS, PLAIN)
+    return df.select(F.explode(F.regexp_extract_all(plain, F.lit("[a-z]+"), F.lit(0))).alias("w")).distinct()
+
+
+@query(f"""WITH e AS ({WORDS.format("benchmark")}), s AS ({WORDS.format("documents")}),
+c AS (SELECT s.w AS phonemes, e.w AS entry, 1.0 - levenshtein(s.w, e.w) / greatest(length(s.w), length(e.w)) AS similarity FROM s JOIN e ON abs(length(s.w) - length(e.w)) <= 0.3 * greatest(length(s.w), length(e.w)) + 1e-9)
+SELECT phonemes, entry, round(similarity, 6) AS similarity FROM c WHERE similarity >= 0.7 QUALIFY row_number() OVER (PARTITION BY phonemes ORDER BY similarity DESC, entry) = 1""")
+def word_best_match(spark, sf):
+    """Every distinct word of all documents against every distinct word of the benchmark."""
+    sounds = distinct_words(table(spark, sf, "documents")).withColumnRenamed("w", "phonemes")
+    entries = distinct_words(table(spark, sf, "benchmark")).select(F.col("w").alias("word"), F.col("w").alias("phonemes"))
+    return fuzzy.best_matches(sounds, entries, 0.7).select("phonemes", "entry", F.round("similarity", 6).alias("similarity"))
+
+
 @query("""SELECT doc_id AS utt_id, ['we call useEffect here', 'the Kubernetes cluster', 'plain words', 'useEffect and Kubernetes'][(doc_id % 4 + 1)::int] AS text, [1, 1, 0, 2][(doc_id % 4 + 1)::int] AS n FROM documents""")
 def phoneme_correct(spark, sf):
     said = F.expr("array('we call use effect here', 'the cubernetes cluster', 'plain words', 'use effect and cubernetes')[cast(doc_id % 4 as int)]")
