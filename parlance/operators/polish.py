@@ -5,11 +5,12 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType
+from pyspark.sql.types import ArrayType, IntegerType
 
-from parlance.functions.lexicon import SPOKEN_FORMS, TENS, UNITS, UNSPLIT_FIELDS
+from parlance.functions.lexicon import SPOKEN_FORMS, UNSPLIT_FIELDS
 from parlance.functions.numerals import chinese_numerals
 from parlance.functions.text import col, let, script, sentences, words
+from parlance.operators import itn
 
 
 def capitalise(text: Column) -> Column:
@@ -61,72 +62,10 @@ def spoken_forms(text: Column | str, lang: Column | str | None = None) -> Column
     return F.when(hit, F.array_join(F.transform(words(t), one), " ")).otherwise(t)
 
 
-_SMALL = {w: i for i, w in enumerate(UNITS)}
-_TENS = {w: 10 * (i + 2) for i, w in enumerate(TENS)}
-_SCALE = {"thousand": 10**3, "million": 10**6, "billion": 10**9}
-
-
-def _english_value(run: list[str]) -> int | None:
-    """The value of a well-formed cardinal, else None."""
-    total = group = 0
-    last = None
-    for w in run:
-        if w in _SMALL:
-            if last in ("unit", "teen") or (last == "ten" and not 0 < _SMALL[w] < 10):
-                return None
-            group += _SMALL[w]
-            last = "unit" if _SMALL[w] < 10 else "teen"
-        elif w in _TENS:
-            if last in ("unit", "teen", "ten"):
-                return None
-            group += _TENS[w]
-            last = "ten"
-        elif w == "hundred":
-            if last not in ("unit", "teen"):
-                return None
-            group *= 100
-            last = "hundred"
-        else:
-            if not group:
-                return None
-            total += group * _SCALE[w]
-            group, last = 0, "scale"
-    return total + group
-
-
-def english_written(text: str) -> str:
-    """Cardinals as digits, with a currency sign before an amount of dollars, euros or pounds; runs that are no number stay."""
-    tokens = text.split(" ")
-    out, i = [], 0
-    while i < len(tokens):
-        run = []
-        while i + len(run) < len(tokens) and (w := tokens[i + len(run)].lower()) in (*_SMALL, *_TENS, "hundred", *_SCALE):
-            run.append(w)
-        value = _english_value(run) if run else None
-        after = tokens[i + len(run)] if i + len(run) < len(tokens) else ""
-        core = after.rstrip(".,!?;:").lower()
-        sign = {"dollar": "$", "dollars": "$", "euro": "€", "euros": "€", "pound": "£", "pounds": "£"}.get(core)
-        if value is None:
-            out += tokens[i : i + max(1, len(run))]
-            i += max(1, len(run))
-        elif sign:
-            out.append(f"{sign}{value}{after[len(core):]}")
-            i += len(run) + 1
-        else:
-            out.append(str(value))
-            i += len(run)
-    return " ".join(out)
-
-
-@F.pandas_udf(StringType())
-def _english_itn(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: None if t is None else english_written(t))
-
-
 def inverse_normalise(text: Column | str, lang: Column | str) -> Column:
-    """Spoken numerals as written ones: English runs and amounts, Chinese and Japanese numerals; other languages as they are."""
+    """Spoken numerals as written ones: English forms (see ``itn``), Chinese and Japanese numerals; other languages as they are."""
     t, key = col(text), col(lang)
-    return F.when(key == "en", _english_itn(F.when(key == "en", t))).when(key.isin("zh", "ja"), chinese_numerals(t)).otherwise(t)
+    return F.when(key == "en", itn.english_written(t)).when(key.isin("zh", "ja"), chinese_numerals(t)).otherwise(t)
 
 
 def _halves(n: Column, most: int, levels: int = 20) -> Column:
