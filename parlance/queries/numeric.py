@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from parlance.functions import decoding, signal, vectors
+from parlance.functions import beam, decoding, signal, vectors
 from parlance.functions import text as tx
 from parlance.operators import fuzzy, polish
 from parlance.plans.pipeline import shared_path
@@ -276,6 +276,40 @@ def length_norm(spark, sf):
     return table(spark, sf, "embeddings").select("vec_id", F.round(decoding.length_normalised(-F.col("vec_id"), F.col("label")), 6).alias("score"))
 
 
+END, FRAMES = 5, 12
+DECODING = beam.Options(end=END, width=4, most=7, ratio=0.2, margin=0.5, penalty=2.0)
+
+
+def score_rows(spark, sf):
+    """Utterances of up to eight vectors; each vector's components, times ten, are one step's scores."""
+    steps = F.struct((F.col("vec_id") % 8).alias("i"), F.transform("embedding", lambda x: x.cast("double") * 10).alias("s"))
+    found = table(spark, sf, "embeddings").groupBy(F.floor(F.col("vec_id") / 8).alias("utt_id")).agg(F.array_sort(F.collect_list(steps)).alias("r"))
+    return found.select("utt_id", F.transform("r", lambda x: x["s"]).alias("rows"))
+
+
+GREEDY = f"""list_transform(list_transform(s, lambda x, i: CASE WHEN list_contains(tokens, i - 1) THEN CASE WHEN x < 0 THEN x * 2 ELSE x / 2 END ELSE x END),
+  lambda x, i: CASE WHEN i = {END + 1} AND len(tokens) < ceil(0.2 * {FRAMES}) THEN '-inf'::double ELSE x END)"""
+
+
+@query(f"""WITH RECURSIVE r AS (SELECT vec_id // 8 AS utt_id, vec_id % 8 AS step, list_transform(embedding, lambda x: x::double * 10) AS s FROM embeddings),
+g AS (SELECT utt_id, 0 AS step, []::INT[] AS tokens, true AS going FROM r WHERE step = 0
+  UNION ALL SELECT utt_id, step + 1, CASE WHEN t = {END} THEN tokens ELSE list_append(tokens, t::int) END, t <> {END} FROM (
+    SELECT utt_id, step, tokens, list_position(m, list_max(m)) - 1 AS t FROM (
+      SELECT utt_id, step, tokens, list_transform(p, lambda x, i: CASE WHEN i = {END + 1} AND x < list_max(list_concat(p[1:{END}], p[{END + 2}:])) + 0.5 THEN '-inf'::double ELSE x END) AS m FROM (
+        SELECT g.utt_id, g.step, tokens, {GREEDY} AS p FROM g JOIN r ON r.utt_id = g.utt_id AND r.step = g.step WHERE g.going AND len(tokens) < 7))))
+SELECT utt_id, array_to_string(max_by(tokens, step), ' ') AS tokens FROM g GROUP BY utt_id""")
+def greedy_decode(spark, sf):
+    found = score_rows(spark, sf).select("utt_id", beam.greedy(F.col("rows"), F.lit(FRAMES), DECODING).alias("d"))
+    return found.select("utt_id", F.array_join(F.col("d.tokens").cast("array<string>"), " ").alias("tokens"))
+
+
+@query()
+def beam_decode(spark, sf):
+    """Tested by hand against another implementation and against all paths."""
+    found = score_rows(spark, sf).select("utt_id", beam.beam_search(F.col("rows"), F.lit(FRAMES), DECODING).alias("d"))
+    return found.select("utt_id", F.array_join(F.col("d.tokens").cast("array<string>"), " ").alias("tokens"), F.round("d.score", 6).alias("score"), F.col("d.length").alias("length"), F.size("d.parents").alias("steps"))
+
+
 @query("SELECT doc_id, trim(replace('▁' || regexp_replace(trim(text), '\\s+', '▁', 'g'), '▁', ' ')) AS text FROM documents")
 def detok_sp(spark, sf):
     words = F.transform(F.split(F.regexp_replace(F.trim(F.regexp_replace("text", r"\s+", " ")), " ", " "), " "), lambda w: F.concat(F.lit("▁"), w))
