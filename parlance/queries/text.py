@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parlance.functions import lexicon as lx
-from parlance.functions import numerals, text
-from parlance.operators import corrections, fillers, polish
+from parlance.functions import numerals, text, vectors
+from parlance.operators import corrections, embedded, fillers, polish
 from parlance.plans import pipeline
 from parlance.queries.registry import query, quoted, spark_quoted, sql_list, table
 
@@ -91,6 +91,37 @@ def filler_en(spark, sf):
     return shown(docs_with(spark, sf, noisy("en")).select("doc_id", fillers.english("t").alias("r")))
 
 
+# a spoken form's vector: its filler's, and more or less of another by its length
+PLACE = f"list_position({sql_list(lx.ENGLISH.pure)}, c) - 1"
+VECTOR_DOT = "list_sum(list_transform(list_zip({a}, {b}), lambda z: z[1] * z[2]))"
+
+
+@query(f"""WITH src AS (SELECT doc_id, {noisy_sql('en')} AS t FROM documents),
+tok AS (SELECT doc_id, generate_subscripts(ws, 1) AS i, unnest(ws) AS w FROM (SELECT doc_id, string_split(t, ' ') AS ws FROM src)),
+cln AS (SELECT *, regexp_extract(lower(w), '^[\\p{{L}}\\p{{N}}]*') AS c FROM tok),
+u AS (SELECT vec_id, list_transform(embedding, lambda x: x::double / sqrt({VECTOR_DOT.format(a='embedding::double[]', b='embedding::double[]')})) AS e FROM embeddings WHERE vec_id < 16),
+raw AS (SELECT DISTINCT w, {PLACE} AS k, 8 + length(w) % 8 AS m, 0.3 * (length(w) % 4) AS a FROM cln WHERE c IN ({quoted(lx.ENGLISH.pure)})),
+mixed AS (SELECT w, list_transform(list_zip(x.e, y.e), lambda z: z[1] + a * z[2]) AS v FROM raw JOIN u x ON x.vec_id = k JOIN u y ON y.vec_id = m),
+near AS (SELECT w FROM mixed JOIN u l ON l.vec_id < 8 GROUP BY w, v HAVING max({VECTOR_DOT.format(a='v', b='l.e')} / sqrt({VECTOR_DOT.format(a='v', b='v')})) >= 0.82),
+prs AS (SELECT *, CASE WHEN w IN (SELECT w FROM near) THEN 'p' WHEN c IN ({quoted(lx.ENGLISH.contextual)}) THEN 'c' ELSE 'k' END AS k0, regexp_matches(w, '[.!?,]$') AS term FROM cln),
+anc AS (SELECT *, sum((k0 = 'k')::int) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM prs),
+fin AS (SELECT *, CASE WHEN k0 <> 'c' THEN k0 WHEN run = 0 OR bool_or(k0 = 'k' AND term) OVER (PARTITION BY doc_id, run) OR coalesce(sum((k0 = 'c' AND term)::int) OVER (PARTITION BY doc_id, run ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) > 0 THEN 'x' ELSE 'k' END AS k FROM anc)
+SELECT doc_id, coalesce(string_agg(w, ' ' ORDER BY i) FILTER (k = 'k'), '') AS text, coalesce(string_agg(w, '|' ORDER BY k, i) FILTER (k IN ('p', 'x')), '') AS removed FROM fin GROUP BY doc_id""")
+def filler_vectors(spark, sf):
+    """English fillers by the likeness of each spelling's vector, made of the table's first sixteen, to those of the lexicon."""
+    docs = docs_with(spark, sf, noisy("en")).select(F.col("doc_id").alias("utt_id"), F.col("t").alias("text"))
+    unit = table(spark, sf, "embeddings").where("vec_id < 16").select("vec_id", vectors.l2_normalise(F.transform("embedding", lambda x: x.cast("double"))).alias("e"))
+    place = F.array_position(text.strings(lx.ENGLISH.pure), text.clean(F.col("word"))) - 1
+    raw = docs.select(F.explode(text.words("text")).alias("word")).distinct().where(place >= 0)
+    raw = raw.select("word", place.alias("k"), (8 + F.length("word") % 8).alias("m"), (0.3 * (F.length("word") % 4)).alias("a"))
+    mixed = raw.join(unit.select(F.col("vec_id").alias("k"), F.col("e").alias("x")), "k").join(unit.select(F.col("vec_id").alias("m"), F.col("e").alias("y")), "m")
+    spoken = mixed.select("word", vectors.l2_normalise(F.transform(F.arrays_zip("x", "y"), lambda z: z["x"] + F.col("a") * z["y"])).alias("vector"))
+    names = spark.range(len(lx.ENGLISH.pure)).select(F.col("id").alias("vec_id"), F.get(text.strings(lx.ENGLISH.pure), F.col("id").cast("int")).alias("word"))
+    own = names.join(unit, "vec_id").select("word", F.col("e").alias("vector"))
+    got = embedded.by_vectors(docs, spoken, own)
+    return got.select(F.col("utt_id").alias("doc_id"), "text", F.array_join("removed", "|").alias("removed"))
+
+
 @query(word_filter_sql("ko", lx.KOREAN))
 def filler_ko(spark, sf):
     return shown(docs_with(spark, sf, noisy("ko")).select("doc_id", fillers.korean("t").alias("r")))
