@@ -42,6 +42,36 @@ def punctuate(text: Column | str) -> Column:
     return let(script(t), ended)
 
 
+def capitals(text: Column | str) -> Column:
+    """array<struct<original, replacement>>: the letters that ``punctuate`` raises, where that changes them."""
+    t = col(text)
+    found = F.regexp_extract_all(t, F.lit(r"[^.!?]*[.!?]|[^.!?]+$"), F.lit(0))
+    letters = F.transform(found, lambda p: F.regexp_extract(p, r"\p{IsAlphabetic}", 0))
+    changed = F.transform(F.filter(letters, lambda c: F.upper(c) != c), lambda c: F.struct(c.alias("original"), F.upper(c).alias("replacement")))
+    return F.when(script(t) == "Latin", changed).otherwise(F.array().cast("array<struct<original:string,replacement:string>>"))
+
+
+def inserted_mark(text: Column | str) -> Column:
+    """The mark that ``punctuate`` puts at the end, or null."""
+    t = col(text)
+
+    def added(after: Column) -> Column:
+        mark = F.substring(after, -1, 1)
+        bare = F.regexp_replace(t, r"(?U)\s+$", "")
+        return F.when((F.length(after) == F.length(capitalise(bare)) + 1) & mark.isin(".", "。") & (F.substring(bare, -1, 1) != mark), mark)
+
+    return let(punctuate(t), added)
+
+
+def spoken_changes(text: Column | str, lang: Column | str | None = None) -> Column:
+    """array<struct<original, replacement>>: the reductions that ``spoken_forms`` rewrites, in order."""
+    table = F.create_map(*[F.lit(x) for pair in SPOKEN_FORMS.items() for x in pair])
+    cores = F.transform(words(text), lambda w: F.regexp_replace(w, r"[.,!?;:]+$", ""))
+    hits = F.filter(cores, lambda c: F.lower(c).isin(*SPOKEN_FORMS))
+    made = F.transform(hits, lambda c: F.struct(c.alias("original"), leading_case(c, F.element_at(table, F.lower(c))).alias("replacement")))
+    return made if lang is None else F.when(col(lang) == "en", made).otherwise(F.array().cast("array<struct<original:string,replacement:string>>"))
+
+
 def leading_case(original: Column, replacement: Column) -> Column:
     """An upper-case first letter where the original has one."""
     return F.when(original.rlike(r"^\p{Lu}"), F.concat(F.upper(F.substring(replacement, 1, 1)), F.substring(replacement, F.lit(2), F.length(replacement)))).otherwise(replacement)

@@ -50,6 +50,28 @@ def paragraph_stage(text: Column, lang: Column) -> Column:
     return polish.paragraphs(text)
 
 
+CORRECTIONS = "array<struct<kind:string,original:string,replacement:string>>"
+
+
+def _kinds(kind: str, pairs: Column) -> Column:
+    return F.transform(pairs, lambda p: F.struct(F.lit(kind).alias("kind"), p["original"].alias("original"), p["replacement"].alias("replacement")))
+
+
+def _single(when: Column, kind: str, original: Column, replacement: Column) -> Column:
+    return F.when(when, F.array(F.struct(F.lit(kind).alias("kind"), original.alias("original"), replacement.alias("replacement"))))
+
+
+#: What a stage removes, as array<string>, from (text before, language).
+REMOVED: dict[Stage, Callable[[Column, Column], Column]] = {filler_stage: lambda t, lang: fillers.by_language(t, lang)["removed"]}
+#: What a stage corrects, as CORRECTIONS, from (text before, language, text after).
+CORRECTED: dict[Stage, Callable[[Column, Column, Column], Column]] = {
+    correction_stage: lambda t, lang, after: _single(corrections.remove(t)["original"].isNotNull(), "SelfCorrectionRemoved", corrections.remove(t)["original"], F.lit("")),
+    spoken_stage: lambda t, lang, after: _kinds("SpokenFormNormalized", polish.spoken_changes(t, lang)),
+    numeral_stage: lambda t, lang, after: _single(t != after, "NumeralNormalized", t, after),
+    punctuation_stage: lambda t, lang, after: F.concat(_kinds("Capitalized", polish.capitals(t)), F.coalesce(_single(polish.inserted_mark(t).isNotNull(), "PunctuationInserted", F.lit(""), polish.inserted_mark(t)), F.array().cast(CORRECTIONS))),
+}
+
+
 @dataclass
 class Cleaner:
     """Ordered stages over a text column; a stage that gives null keeps the text before it."""
@@ -68,13 +90,27 @@ class Cleaner:
         """The last step; where it gives null the raw text is the output."""
         return Cleaner(self.filters, self.processors, refiner)
 
-    def apply(self, df: DataFrame, text: str = "text", lang: str = "lang", out: str = "clean_text") -> DataFrame:
-        """df with ``out``.  Each stage is a column of its own, so none is computed more than once."""
+    def apply(self, df: DataFrame, text: str = "text", lang: str = "lang", out: str = "clean_text", removed: str | None = None, corrected: str | None = None) -> DataFrame:
+        """df with ``out``.  Each stage is a column of its own, so none is computed more than once.
+
+        removed, corrected: names of further columns with what the filters removed
+        (array<string>) and what the processors corrected (kind, original, replacement),
+        in the order of the stages; stages that say nothing of it have no part in them.
+        """
         if self.refiner is None:
             raise ValueError("missing required component: refiner")
         made, last = df.withColumn("_0", F.col(text)), 0
+        gone, changed = [], []
         for n, stage in enumerate((*self.filters, *self.processors), 1):
             made, last = made.withColumn(f"_{n}", F.coalesce(stage(F.col(f"_{n - 1}"), F.col(lang)), F.col(f"_{n - 1}"))), n
+            if stage in REMOVED:
+                gone.append(F.coalesce(REMOVED[stage](F.col(f"_{n - 1}"), F.col(lang)), F.array().cast("array<string>")))
+            if stage in CORRECTED:
+                changed.append(F.coalesce(CORRECTED[stage](F.col(f"_{n - 1}"), F.col(lang), F.col(f"_{n}")), F.array().cast(CORRECTIONS)))
+        if removed:
+            made = made.withColumn(removed, F.concat(F.array().cast("array<string>"), *gone))
+        if corrected:
+            made = made.withColumn(corrected, F.concat(F.array().cast(CORRECTIONS), *changed))
         return made.withColumn(out, F.coalesce(self.refiner(F.col(f"_{last}")), F.col(text))).drop(*[f"_{n}" for n in range(last + 1)])
 
 

@@ -354,6 +354,39 @@ def last_final_stream(spark, sf):
     return sessions.run_available(sessions.last_final(rows), f"{root}/out", f"{root}/state", "complete")
 
 
+PHASE = "CASE WHEN event_id % 6 < 2 THEN 'final' WHEN event_id % 6 = 2 THEN 'end' WHEN event_id % 6 = 3 THEN 'context' WHEN event_id % 6 = 4 THEN 'refined' WHEN user_id % 5 = 0 THEN 'cancel' ELSE 'error' END"
+SAID = "CASE WHEN event_id % 7 <> 0 THEN concat(event_type, ' ', event_id) END"
+OUTCOMES = f"""WITH e AS (SELECT user_id AS session_id, event_id AS seq, {PHASE} AS kind, {SAID} AS text, user_id % 30 AS app FROM events),
+g AS (SELECT session_id, app, min(seq) FILTER (kind = 'end') AS e, min(seq) FILTER (kind = 'context') AS c, min(seq) FILTER (kind = 'refined') AS r, min(seq) FILTER (kind = 'cancel') AS x,
+  arg_max(text, seq) FILTER (kind = 'final' AND text IS NOT NULL) AS raw, max(seq) FILTER (kind = 'refined') AS lr, max(seq) FILTER (kind = 'error') AS le FROM e GROUP BY 1, 2),
+j AS (SELECT g.*, n_name, o.text AS output, d.text AS detail FROM g LEFT JOIN nation ON n_nationkey = app AND e IS NOT NULL LEFT JOIN e o ON o.session_id = g.session_id AND o.seq = lr LEFT JOIN e d ON d.session_id = g.session_id AND d.seq = le),
+f AS (SELECT *, CASE WHEN x IS NOT NULL AND (e IS NULL OR x < e) THEN 'cancelled during recording' WHEN e IS NOT NULL AND coalesce(raw, '') = '' THEN 'no speech detected' || coalesce(' (' || detail || ')', '')
+  WHEN x IS NOT NULL AND (c IS NULL OR x < c) THEN 'cancelled during context' WHEN x IS NOT NULL AND (r IS NULL OR x < r) THEN 'cancelled during refinement' END AS error FROM j)
+SELECT session_id, CASE WHEN error IS NULL AND e IS NOT NULL AND c IS NOT NULL AND r IS NOT NULL THEN coalesce(output, raw) END AS text, CASE WHEN c IS NOT NULL THEN n_name END AS context, error FROM f"""
+
+
+def phased(df):
+    return df.select(F.col("user_id").alias("session_id"), F.col("event_id").alias("seq"), F.expr(PHASE).alias("kind"), F.expr(SAID).alias("text"), (F.col("user_id") % 30).alias("app"))
+
+
+def contexts(spark, sf):
+    return table(spark, sf, "nation").select(F.col("n_nationkey").alias("app"), F.col("n_name").alias("context"))
+
+
+@query(OUTCOMES)
+def session_outcomes(spark, sf):
+    """Context joined once a session, and the stage in which a cancellation comes."""
+    return sessions.outcomes(phased(table(spark, sf, "events")), contexts(spark, sf))
+
+
+@query(OUTCOMES)
+def session_outcomes_stream(spark, sf):
+    source = table(spark, sf, "events")
+    stream = spark.readStream.schema(source.schema).parquet(f"{sf}/events.parquet*")
+    root = shared_path(spark, "outcomes")
+    return sessions.run_available(sessions.outcomes(phased(stream), contexts(spark, sf)), f"{root}/out", f"{root}/state", "complete")
+
+
 STATES = "['Idle', 'Activating', 'Recording', 'Processing', 'Emitting', 'Cancelling']"
 
 

@@ -511,6 +511,21 @@ def normalize_lenient(spark, sf):
 
 # ---- the whole cleaner ----
 
+@query("""WITH t AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN concat(text, ' gonna pay ', doc_id % 8 + 2, ' million') WHEN doc_id % 3 = 1 THEN concat('kinda ', text) ELSE text END AS t FROM documents),
+s AS (SELECT doc_id, t, list_transform(regexp_extract_all(t, '[^.!?]*[.!?]|[^.!?]+$'), lambda p: regexp_extract(p, '\\p{L}')) AS l FROM t),
+r AS (SELECT doc_id, unnest(list_concat(CASE doc_id % 3 WHEN 0 THEN [{'kind': 'SpokenFormNormalized', 'original': 'gonna', 'replacement': 'going to'}] WHEN 1 THEN [{'kind': 'SpokenFormNormalized', 'original': 'kinda', 'replacement': 'kind of'}] ELSE [] END,
+  list_transform(list_filter(l, lambda c: upper(c) <> c), lambda c: {'kind': 'Capitalized', 'original': c, 'replacement': upper(c)}),
+  CASE WHEN regexp_matches(t, '[.!?)"''。]\\s*$') THEN [] ELSE [{'kind': 'PunctuationInserted', 'original': '', 'replacement': '.'}] END)) AS c FROM s)
+SELECT doc_id, c.kind AS kind, c.original AS original, c.replacement AS replacement, count(*) AS n FROM r GROUP BY ALL""")
+def clean_corrections(spark, sf):
+    """What spoken forms and punctuation change in every document, by kind."""
+    t = F.expr("CASE WHEN doc_id % 3 = 0 THEN concat(text, ' gonna pay ', doc_id % 8 + 2, ' million') WHEN doc_id % 3 = 1 THEN concat('kinda ', text) ELSE text END")
+    docs = table(spark, sf, "documents").select("doc_id", F.lit("en").alias("lang"), t.alias("text"))
+    cleaner = pipeline.Cleaner().process(pipeline.spoken_stage).process(pipeline.punctuation_stage).refine(pipeline.REFINERS["passthrough"])
+    rows = cleaner.apply(docs, corrected="c").select("doc_id", F.inline("c"))
+    return rows.groupBy("doc_id", "kind", "original", "replacement").agg(F.count("*").alias("n"))
+
+
 @query()
 def clean_pipeline(spark, sf):
     """All stages over texts with disfluencies of their language."""

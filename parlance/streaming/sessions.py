@@ -31,6 +31,44 @@ def last_final(events: DataFrame) -> DataFrame:
     return found.select("session_id", F.when(~F.col("cancelled") & ~empty, F.col("text")).alias("text"), error.alias("error"))
 
 
+def outcomes(events: DataFrame, contexts: DataFrame, key: str = "app") -> DataFrame:
+    """session_id, text, context, error: how each session ends, in batch and in a stream alike.
+
+    events: (session_id, seq, kind, text, key); beside the kinds of a recording there are
+    'end' (no more results), 'context' (the snapshot is there) and 'refined' (a text, or
+    null where the refiner failed).  contexts: a static table of (key, context), the
+    latest by value where a key has several.  It is joined to the 'end' events alone, so
+    once for each session, and nothing of it waits in the state.
+
+    A cancellation ends the stage in which it comes: recording before 'end', context
+    before 'context', refinement before 'refined'; a later one changes nothing, nor does
+    one of a session that ended without speech.  A failed refiner leaves the raw text.
+    A session that is still in a stage has neither text nor error.
+    """
+    ended = F.col("kind") == "end"
+    known = contexts.groupBy(F.col(key).alias("_key")).agg(F.max("context").alias("_context"))
+    joined = events.withColumn("_key", F.when(ended, F.col(key))).join(known, "_key", "left")
+    at = lambda kind: F.min(F.when(F.col("kind") == kind, F.col("seq")))
+    last = lambda kind, value: F.max_by(F.when(F.col("kind") == kind, F.col(value)), F.when(F.col("kind") == kind, F.col("seq")))
+    final = (F.col("kind") == "final") & F.col("text").isNotNull()
+    found = joined.groupBy("session_id").agg(
+        at("end").alias("end"), at("context").alias("fetched"), at("refined").alias("refined"), at("cancel").alias("cancelled"),
+        F.max_by(F.when(final, F.col("text")), F.when(final, F.col("seq"))).alias("raw"), last("refined", "text").alias("output"), last("error", "text").alias("detail"), last("end", "_context").alias("context"),
+    )
+    before = lambda step: F.col(step).isNull() | (F.col("cancelled") < F.col(step))
+    cancelled, silent = F.col("cancelled").isNotNull(), F.coalesce("raw", F.lit("")) == ""
+    speechless = F.concat(F.lit(NO_SPEECH), F.coalesce(F.concat(F.lit(" ("), "detail", F.lit(")")), F.lit("")))
+    error = (
+        F.when(cancelled & before("end"), "cancelled during recording")
+        .when(F.col("end").isNotNull() & silent, speechless)
+        .when(cancelled & before("fetched"), "cancelled during context")
+        .when(cancelled & before("refined"), "cancelled during refinement")
+    )
+    done = F.col("end").isNotNull() & F.col("fetched").isNotNull() & F.col("refined").isNotNull()
+    out = found.withColumn("error", error)
+    return out.select("session_id", F.when(F.col("error").isNull() & done, F.coalesce("output", "raw")).alias("text"), F.when(F.col("fetched").isNotNull(), F.col("context")).alias("context"), "error")
+
+
 def refined(raw: Column, output: Column) -> Column:
     """A refiner's output, or the raw text where it failed."""
     return F.coalesce(output, raw)
