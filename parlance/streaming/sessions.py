@@ -9,8 +9,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
 IDLE, ACTIVATING, RECORDING, PROCESSING, EMITTING, CANCELLING = "Idle", "Activating", "Recording", "Processing", "Emitting", "Cancelling"
 STEPS = ((IDLE, ACTIVATING), (ACTIVATING, RECORDING), (RECORDING, PROCESSING), (PROCESSING, EMITTING), (EMITTING, IDLE), (CANCELLING, IDLE))
@@ -157,3 +158,31 @@ def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "ap
     finally:
         query.stop()
     return stream.sparkSession.read.schema(stream.schema).parquet(path)
+
+
+class IntakeListener(StreamingQueryListener):
+    """Keeps the rows that each batch of a query took in, to see that a bound on intake holds."""
+
+    def __init__(self) -> None:
+        self.rows: dict[str, list[int]] = {}
+
+    def onQueryStarted(self, event) -> None:
+        self.rows[str(event.id)] = []
+
+    def onQueryProgress(self, event) -> None:
+        if event.progress.numInputRows:
+            self.rows.setdefault(str(event.progress.id), []).append(event.progress.numInputRows)
+
+    def onQueryIdle(self, event) -> None:
+        """Nothing came in."""
+
+    def onQueryTerminated(self, event) -> None:
+        """What was counted stays."""
+
+
+def bounded_intake(spark: SparkSession, schema, path: str, files: int | None = None, size: str | None = None) -> DataFrame:
+    """A stream over Parquet files that takes in at most so many files, or bytes, a batch: what waits stays in the folder and not in memory."""
+    if (files is None) == (size is None) or (files is not None and files < 1):
+        raise ValueError("give a number of files, or a size, for a batch")
+    bound = ("maxFilesPerTrigger", str(files)) if files is not None else ("maxBytesPerTrigger", size)
+    return spark.readStream.schema(schema).option(*bound).parquet(path)
