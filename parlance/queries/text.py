@@ -15,6 +15,7 @@ from parlance.queries.registry import query, quoted, spark_quoted, sql_list, tab
 NOISE = {
     "en": {0: ("um ", ""), 5: ("you know ", ""), 9: ("Well, ", ""), 13: ("", " uh..."), 17: ("so basically ", ""), 20: ("", ".")},
     "ko": {0: ("음 ", ""), 5: ("그게 그러니까 ", ""), 9: ("그래서 ", ""), 13: ("", " 어,"), 17: ("뭐 약간 ", ""), 20: ("", "?")},
+    "jw": {0: ("えーと ", ""), 5: ("なんて いうか ", ""), 9: ("あの, ", ""), 13: ("", " うん."), 17: ("まあ ほら ", ""), 20: ("", "?")},
     "es": {0: ("eh ", ""), 5: ("O sea ", ""), 9: ("para para ", ""), 13: ("casa ver casa ver ", ""), 17: ("pro proyecto ", ""), 20: ("hmm oh ", "")},
 }
 SEGMENTS = {
@@ -127,6 +128,12 @@ def filler_ko(spark, sf):
     return shown(docs_with(spark, sf, noisy("ko")).select("doc_id", fillers.korean("t").alias("r")))
 
 
+@query(word_filter_sql("jw", lx.JAPANESE_WORDS))
+def filler_ja_words(spark, sf):
+    """Japanese fillers between blanks."""
+    return shown(docs_with(spark, sf, noisy("jw")).select("doc_id", fillers.japanese_words("t").alias("r")))
+
+
 @query(word_span_sql("en", lx.ENGLISH))
 def spans_en(spark, sf):
     return span_rows(docs_with(spark, sf, noisy("en")).select("doc_id", fillers.word_spans("t", lx.ENGLISH).alias("r")))
