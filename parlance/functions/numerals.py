@@ -16,7 +16,7 @@ KO_TOKEN = f"[{KO_DIGIT}{KO_UNIT}0-9]"
 KO_RUN = f"(?U){KO_TOKEN}(?:\\s?{KO_TOKEN})*"
 
 
-def _rewrite_runs(text: Column, pattern: str, convert) -> Column:
+def rewrite_runs(text: Column, pattern: str, convert) -> Column:
     """Each match of the pattern replaced by convert(match, text behind it)."""
 
     def rewritten(t: Column) -> Column:
@@ -62,7 +62,7 @@ def chinese_numerals(text: Column | str) -> Column:
         plain = F.translate(run, "〇", "零")
         return F.when(plain.rlike(f"[{ZH_UNITS}]"), _zh_value(plain).cast("string")).otherwise(F.translate(plain, ZH_DIGITS, "0123456789"))
 
-    return _rewrite_runs(col(text), ZH_RUN, convert)
+    return rewrite_runs(col(text), ZH_RUN, convert)
 
 
 def _ko_value(segment: Column) -> Column:
@@ -109,15 +109,17 @@ def korean_numerals(text: Column | str) -> Column:
     def rewritten(t: Column) -> Column:
         # without Korean symbols a run is digits alone, which only lose the blanks between them
         joined = F.regexp_replace(t, r"(?U)(?<=[0-9])\s(?=[0-9])", "")
-        return F.when(t.rlike(f"[{KO_DIGIT}{KO_UNIT}]"), _rewrite_runs(t, KO_RUN, convert)).otherwise(joined)
+        return F.when(t.rlike(f"[{KO_DIGIT}{KO_UNIT}]"), rewrite_runs(t, KO_RUN, convert)).otherwise(joined)
 
     return let(col(text), rewritten)
 
 
 def english_number_words(text: Column | str) -> Column:
-    """Whole tokens between single blanks; everything else as it is."""
-    table = F.create_map(*[F.lit(x) for pair in english_numbers().items() for x in pair])
-    return F.array_join(F.transform(F.split(col(text), " "), lambda w: F.coalesce(F.element_at(table, w), w)), " ")
+    """Whole tokens between single blanks; everything else as it is, and a text without one costs one test."""
+    known = english_numbers()
+    table = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
+    named = "|".join(re.escape(w) for w in sorted(known, key=len, reverse=True))
+    return rewrite_runs(col(text), f"(?<![^ ])(?:{named})(?![^ ])", lambda w, _: F.element_at(table, w))
 
 
 def lenient(text: Column | str) -> Column:

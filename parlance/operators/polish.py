@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
 from parlance.functions.lexicon import SPOKEN_FORMS, UNSPLIT_FIELDS
-from parlance.functions.numerals import chinese_numerals
+from parlance.functions.numerals import chinese_numerals, rewrite_runs
 from parlance.functions.text import col, let, script, sentences, words
 from parlance.operators import itn
 
@@ -82,14 +82,14 @@ def spoken_forms(text: Column | str, lang: Column | str | None = None) -> Column
     t = col(text)
     table = F.create_map(*[F.lit(x) for pair in SPOKEN_FORMS.items() for x in pair])
 
-    def one(w: Column) -> Column:
+    def one(w: Column, _: Column) -> Column:
         tail = F.regexp_extract(w, r"[.,!?;:]+$", 0)
         core = F.substring(w, F.lit(1), F.length(w) - F.length(tail))
         return let(core, lambda c: let(F.element_at(table, F.lower(c)), lambda r: F.coalesce(F.concat(leading_case(c, r), tail), w)))
 
     cue = "(?iu)(?<!\\S)(?:" + "|".join(SPOKEN_FORMS) + r")[.,!?;:]*(?!\S)"
     hit = t.rlike(cue) if lang is None else (col(lang) == "en") & t.rlike(cue)
-    return F.when(hit, F.array_join(F.transform(words(t), one), " ")).otherwise(t)
+    return F.when(hit, rewrite_runs(F.array_join(words(t), " "), cue, one)).otherwise(t)
 
 
 def inverse_normalise(text: Column | str, lang: Column | str) -> Column:

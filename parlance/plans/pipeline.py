@@ -10,6 +10,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from parlance.functions.text import let
 from parlance.operators import corrections, fillers, polish
 
 Stage = Callable[[Column, Column], Column]
@@ -65,10 +66,10 @@ def _single(when: Column, kind: str, original: Column, replacement: Column) -> C
 REMOVED: dict[Stage, Callable[[Column, Column], Column]] = {filler_stage: lambda t, lang: fillers.by_language(t, lang)["removed"]}
 #: What a stage corrects, as CORRECTIONS, from (text before, language, text after).
 CORRECTED: dict[Stage, Callable[[Column, Column, Column], Column]] = {
-    correction_stage: lambda t, lang, after: _single(corrections.remove(t)["original"].isNotNull(), "SelfCorrectionRemoved", corrections.remove(t)["original"], F.lit("")),
+    correction_stage: lambda t, lang, after: let(corrections.remove(t)["original"], lambda gone: _single(gone.isNotNull(), "SelfCorrectionRemoved", gone, F.lit(""))),
     spoken_stage: lambda t, lang, after: _kinds("SpokenFormNormalized", polish.spoken_changes(t, lang)),
     numeral_stage: lambda t, lang, after: _single(t != after, "NumeralNormalized", t, after),
-    punctuation_stage: lambda t, lang, after: F.concat(_kinds("Capitalized", polish.capitals(t)), F.coalesce(_single(polish.inserted_mark(t).isNotNull(), "PunctuationInserted", F.lit(""), polish.inserted_mark(t)), F.array().cast(CORRECTIONS))),
+    punctuation_stage: lambda t, lang, after: F.concat(_kinds("Capitalized", polish.capitals(t)), F.coalesce(let(polish.inserted_mark(t), lambda m: _single(m.isNotNull(), "PunctuationInserted", F.lit(""), m)), F.array().cast(CORRECTIONS))),
 }
 
 

@@ -23,8 +23,21 @@ def query(sql: str | None = None, name: str | None = None):
     return add
 
 
+#: A scan gives one task for each row group at most, however many cores there are; below so many bytes a core a table is dealt over all of them.
+SMALL_BYTES = 16 << 20
+TEXTS = ("documents", "conversations")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small table, whose rows are dear to work on, over all cores; the rows moved are bounded by the cores, and a large table stays as it is read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if 1 < cores and size < SMALL_BYTES * cores else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in TEXTS else df
 
 
 def sql_list(values) -> str:
