@@ -34,6 +34,8 @@ def random_rows(seed: int, n: int) -> list[tuple]:
         for turn, text in enumerate(opening + [rng.choice(["x", "y z", "", None, "é ü"]) for _ in range(rng.randint(0, 4))]):
             rows.append((conv, rng.choice([turn, turn, turn, 1, None]), rng.choice(["user", "user", "assistant", None]), text))
     rows += rng.sample(rows, n // 8)
+    # no base and too few turns: rebuilt without a turn, members of the root that end there
+    rows += [(c, 0, "user", "only") for c in range(1023, 1029)]
     return [*rows, (None, 0, "user", "no conversation")]
 
 
@@ -41,10 +43,13 @@ def random_rows(seed: int, n: int) -> list[tuple]:
 def test_random_conversations_at_any_group_size(spark, most):
     rows = random_rows(most, 90)
     df = spark.createDataFrame(rows, SCHEMA).withColumns({"node": F.lit("clash"), "depth": F.lit(1), "first": F.lit(2)}).repartition(5)
-    assert nodes(df, most_links=most) == expected(rows)
+    got = nodes(df, most_links=most)
+    assert got == expected(rows)
+    assert next(r for r in got if r[1] == 0)[7] != prefix_trie.EMPTY
 
 
-def test_copies_deep_prefixes_and_one_very_long_conversation(spark):
+def test_copies_deep_prefixes_and_one_very_long_conversation(spark, monkeypatch):
+    monkeypatch.setattr(prefix_trie, "CHUNK", 7)  # the copies' ends come in several chunks
     copies = [(c, t, "user", f"t{t}") for c in range(0, 400, 20) for t in range(4)]
     steps = [(c, t, "user", f"s{t}") for c in range(1000, 1400, 20) for t in range((c - 1000) // 20 + 1)]
     long = [(c, t, "user", f"l{t % 7}") for c in (2000, 2020) for t in range(3000)]
@@ -62,24 +67,10 @@ def test_copies_deep_prefixes_and_one_very_long_conversation(spark):
     assert root[6] == sum(r[6] for r in part if r[1] == 1) + 3000
 
 
-def test_turnless_conversation_ends_at_the_root(spark):
-    rows = [(c, 0, "user", "only") for c in (23, 24, 25, 26, 27, 28)]  # none has conversation 20
-    got = nodes(spark.createDataFrame(rows, SCHEMA))
-    assert got == expected(rows)
-    assert next(r for r in got if r[1] == 0)[7] != prefix_trie.EMPTY
-
-
 def test_empty_table(spark):
-    assert nodes(spark.createDataFrame([], SCHEMA)) == []
     assert nodes(spark.createDataFrame([(None, 1, "user", "x")], SCHEMA)) == []
 
 
-def test_ends_of_many_members_stream_in_chunks(spark, monkeypatch):
-    monkeypatch.setattr(prefix_trie, "CHUNK", 7)
-    rows = [(c, 0, "user", "same") for c in range(0, 4000, 20)]
-    assert nodes(spark.createDataFrame(rows, SCHEMA)) == expected(rows)
-
-
 def test_postorder_needs_no_recursion():
     n = 5000
     names = [i.to_bytes(16, "big") for i in range(1, n + 1)]
