@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from parlance.functions import lexicon as lx
 from parlance.functions import numerals, text, vectors
-from parlance.operators import corrections, embedded, fillers, polish
+from parlance.operators import corrections, embedded, fillers, labels, polish
 from parlance.plans import pipeline
 from parlance.queries.registry import query, quoted, spark_quoted, sql_list, table
 
@@ -516,12 +516,28 @@ def normalize_lenient(spark, sf):
     return docs_with(spark, sf, F.concat(F.lit("Twenty-First, “ok” — "), "text")).select("doc_id", numerals.lenient("t").alias("text"))
 
 
+@query(f"""WITH w AS (SELECT doc_id, generate_subscripts(ws, 1) - 1 AS i, unnest(ws) AS w FROM (SELECT doc_id, string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ') AS ws FROM documents) WHERE ws <> ['']),
+l AS (SELECT *, {sql_list(labels.LABELS)}[((i * 7 + doc_id) % 15 + 1)::int] AS l FROM w),
+p AS (SELECT *, CASE WHEN l[2] = 'U' AND regexp_matches(w, '^\\p{{L}}') THEN replace(upper(w[1]), 'ẞ', 'SS') || w[2:] ELSE w END || CASE WHEN l[1] <> 'O' THEN l[1] ELSE '' END AS t, (l[1] <> 'O')::int + (l[2] = 'U' AND regexp_matches(w, '^\\p{{L}}') AND replace(upper(w[1]), 'ẞ', 'SS') <> w[1])::int AS n FROM l)
+SELECT d.doc_id, coalesce(string_agg(t, ' ' ORDER BY i), '') AS text, coalesce(sum(n), 0)::int AS corrections FROM documents d LEFT JOIN p ON p.doc_id = d.doc_id GROUP BY d.doc_id""")
+def punct_labels(spark, sf):
+    """Every document's words with labels by place: each word has two tokens, the first of them with the label's score, equal to an earlier one's."""
+    docs = table(spark, sf, "documents").select("doc_id", "text", F.size(text.words("text")).alias("n"))
+    token = F.sequence(F.lit(0), F.greatest(2 * F.col("n") - 1, F.lit(0)))
+    ids = F.concat(F.array(F.lit(None).cast("int")), F.transform(token, lambda t: F.floor(t / 2).cast("int")), F.array(F.lit(None).cast("int")))
+    place = lambda t: ((F.floor(t / 2) * 7 + F.col("doc_id")) % 15).cast("int")
+    row = lambda t: F.transform(F.sequence(F.lit(0), F.lit(14)), lambda k: F.when(t % 2 == 1, -k.cast("double")).when((k == place(t)) | (k * 2 == place(t)), 1.0).otherwise(0.0))
+    none = F.array(F.array(F.lit(0.0)))
+    out = docs.select("doc_id", labels.labelled("text", ids, F.concat(none, F.transform(token, row), none)).alias("r"))
+    return out.select("doc_id", "r.text", F.size("r.corrections").alias("corrections"))
+
+
 # ---- the whole cleaner ----
 
 @query("""WITH t AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN concat(text, ' gonna pay ', doc_id % 8 + 2, ' million') WHEN doc_id % 3 = 1 THEN concat('kinda ', text) ELSE text END AS t FROM documents),
 s AS (SELECT doc_id, t, list_transform(regexp_extract_all(t, '[^.!?]*[.!?]|[^.!?]+$'), lambda p: regexp_extract(p, '\\p{L}')) AS l FROM t),
 r AS (SELECT doc_id, unnest(list_concat(CASE doc_id % 3 WHEN 0 THEN [{'kind': 'SpokenFormNormalized', 'original': 'gonna', 'replacement': 'going to'}] WHEN 1 THEN [{'kind': 'SpokenFormNormalized', 'original': 'kinda', 'replacement': 'kind of'}] ELSE [] END,
-  list_transform(list_filter(l, lambda c: upper(c) <> c), lambda c: {'kind': 'Capitalized', 'original': c, 'replacement': upper(c)}),
+  list_transform(list_filter(l, lambda c: upper(c) <> c), lambda c: {'kind': 'Capitalized', 'original': c, 'replacement': replace(upper(c), 'ẞ', 'SS')}),
   CASE WHEN regexp_matches(t, '[.!?)"''。]\\s*$') THEN [] ELSE [{'kind': 'PunctuationInserted', 'original': '', 'replacement': '.'}] END)) AS c FROM s)
 SELECT doc_id, c.kind AS kind, c.original AS original, c.replacement AS replacement, count(*) AS n FROM r GROUP BY ALL""")
 def clean_corrections(spark, sf):

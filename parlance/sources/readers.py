@@ -38,8 +38,10 @@ def parse_manifest(lines: DataFrame, value: str = "value") -> DataFrame:
     return rows.select(F.col("p")[0].alias("id"), F.col("p")[1].alias("audio_path"), F.col("p")[2].alias("reference"))
 
 
-def manifest(spark: SparkSession, path: str) -> DataFrame:
-    return parse_manifest(spark.read.text(path))
+def manifest(spark: SparkSession, path: str, most: int | None = None) -> DataFrame:
+    """The rows of a manifest, with ``most`` its first ones only."""
+    rows = parse_manifest(spark.read.text(path))
+    return rows if most is None else rows.limit(most)
 
 
 def baseline(spark: SparkSession, path: str) -> DataFrame:
