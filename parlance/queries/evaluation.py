@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from parlance.functions import lexicon as lx
 from parlance.functions import numerals
 from parlance.operators import corrections, fillers, gates, polish, scoring
+from parlance.plans import pipeline, timing
 from parlance.queries.registry import query, table
 from parlance.queries.text import LENIENT_SQL, docs_with, noisy, shown, word_filter_sql, word_rows_sql
 
@@ -228,3 +229,13 @@ def gate_layers(spark, sf):
 @query("SELECT doc_id, trim(lower(regexp_replace(text, '[.,]', '', 'g'))) <> '' AS filled FROM documents")
 def lenient_not_empty(spark, sf):
     return table(spark, sf, "documents").select("doc_id", (numerals.lenient("text") != "").alias("filled"))
+
+
+@query("SELECT stage, rows, changed, true AS ordered FROM (SELECT 'upper' AS stage, count(*) AS rows, sum((replace(upper(text), 'ẞ', 'SS') <> text)::int)::bigint AS changed FROM documents UNION ALL SELECT 'spoken', count(*), sum((doc_id % 2 = 0)::int)::bigint FROM documents)")
+def layer_timing(spark, sf):
+    """A row for each of two layers over all documents, half of which hold a reduction; times differ from run to run, so their order alone is shown."""
+    t = F.when(F.col("doc_id") % 2 == 0, F.concat("text", F.lit(" gonna"))).otherwise(F.col("text"))
+    docs = table(spark, sf, "documents").select(t.alias("t"), F.col("text"), F.lit("en").alias("lang"))
+    first = timing.layer_latency(docs, {"upper": lambda x, lang: F.upper(x)}, warmup=0, runs=2)
+    second = timing.layer_latency(docs.drop("text"), {"spoken": pipeline.spoken_stage}, warmup=1, runs=2, text="t")
+    return first.unionByName(second).select("stage", "rows", "changed", (F.col("p50_us") <= F.col("p95_us")).alias("ordered"))
