@@ -19,18 +19,22 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from parlance.llm._bytes import give_back
 from parlance.llm._spark import Workspace
 
 MAGIC = b"PWM1"
 BLOCK = 512
 ODD_SPACE = re.compile(r"[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f\u2060\u3000\ufeff]")
+ODD_ASCII = "\x0b\x0c\x1c\x1d\x1e\x1f"
 LETTER, MARK = r"A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff", r".,;:!?#&$%*|()+=/\x22\-"
 # Runs that are pre-tokens by themselves, unless a character of another kind follows; else the rest up to white space.
 ALONE = rf"(?: ?(?:[{LETTER}]++|[0-9]++|[{MARK}]++)(?![^{LETTER}0-9{MARK} \n\r\t]))"
@@ -39,6 +43,11 @@ PIECE = re.compile(ALONE + r"|\n(?= ?[^ \n\r\t])|[ \n\r\t]*[^ \n\r\t]+|[ \n\r\t]
 ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
 
+def has_odd_space(text: str) -> bool:
+    """Whether white space other than space, tab and line end is there; where only six characters can be, each is looked for by itself, which is faster."""
+    return any(map(text.__contains__, ODD_ASCII)) if text.isascii() else ODD_SPACE.search(text) is not None
+
+
 class WaveletMatrix:
     """Succinct bit-planes over non-negative integers below 2**levels."""
 
@@ -58,10 +67,10 @@ class WaveletMatrix:
             ones = np.bitwise_count(padded.view(np.uint64)).reshape(-1, BLOCK // 64).sum(1, dtype=np.uint32)
             ranks.append(np.concatenate([[0], np.cumsum(ones)]).astype(np.uint32))
             planes.append(packed)
-            high = now[one]
-            np.logical_not(one, out=one)
-            now = np.concatenate([now[one], high])
-            zeros.append(len(now) - len(high))
+            mask, values = pa.BooleanArray.from_buffers(pa.bool_(), len(now), [None, pa.py_buffer(packed)]), pa.array(now)
+            low = pc.filter(values, pc.invert(mask)).to_numpy()
+            now = np.concatenate([low, pc.filter(values, mask).to_numpy()])
+            zeros.append(len(low))
         return cls(len(ids), zeros, planes, ranks)
 
     def decode(self) -> np.ndarray:
@@ -164,11 +173,10 @@ def from_payload(payload: bytes) -> tuple[np.ma.MaskedArray, np.ndarray, Wavelet
 
 
 def byte_alphabet() -> dict[int, str]:
-    """The characters that stand for bytes in byte-level vocabularies: printable ones for themselves, others from U+0100 on; a line end set apart by blanks."""
+    """The characters that stand for bytes in byte-level vocabularies: printable ones for themselves, others from U+0100 on."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
     others = [b for b in range(256) if b not in shown]
-    out = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(others)}
-    return out | {10: f" {out[10]} "}
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
 ALPHABET = byte_alphabet()
@@ -182,6 +190,11 @@ def encoder_of(path: str, end_id: int) -> ChunkEncoder:
     return _encoders[path, end_id]
 
 
+def forget_encoders() -> None:
+    """Drops a worker's encoders."""
+    _encoders.clear()
+
+
 class Places(dict):
     """Pieces by number; a new one gets the next and waits to be encoded."""
 
@@ -205,39 +218,37 @@ class ChunkEncoder:
     """
 
     def __init__(self, path: str, end_id: int, keep: int = 900_000):
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         said = json.loads(self.tokenizer.to_str())
         before = said.get("pre_tokenizer") or {}
         self.by_piece = before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True) and not said.get("normalizer")
-        self.by_word = Tokenizer(self.tokenizer.model)
-        self.by_word.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.model = self.tokenizer.model
         self.end_id, self.keep = end_id, keep
-        self.line = self.tokenizer.encode("\n", add_special_tokens=False).ids[0] if self.by_piece else end_id
         self._forget()
 
     def _forget(self) -> None:
-        """Starts anew with the end mark and the line end."""
+        """Starts anew with the end mark."""
         self.places = Places()
         self.flat, self.used = np.zeros(1 << 16, np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32), 0
         self.start, self.size, self.seen = (np.zeros(1 << 14, np.int32) for _ in range(3))
-        self.places[""], self.places["\n"] = 0, 1
-        self._add(np.array([0, 1]), np.array([self.end_id, self.line]), np.array([1, 1]))
+        self.places[""] = 0
+        self._add(np.array([0]), np.array([self.end_id]), np.array([1]))
 
     def _retain(self) -> None:
         """Keeps the pieces seen more than once, or none if those are too many as well."""
         n = len(self.places)
         often = self.seen[:n] > 1
-        often[:2] = False
+        often[0] = False
         names = [p for p, k in zip(self.places, often.tolist(), strict=True) if k]
         size, start = self.size[:n][often].astype(np.int64), self.start[:n][often]
         ids = self.flat[np.arange(size.sum()) + np.repeat(start - np.cumsum(size) + size, size)]
         self._forget()
         if len(names) <= self.keep // 2:
-            self.places.update(zip(names, range(2, len(names) + 2), strict=True))
-            self._add(np.arange(2, len(names) + 2), ids, size)
+            self.places.update(zip(names, range(1, len(names) + 1), strict=True))
+            self._add(np.arange(1, len(names) + 1), ids, size)
 
     def _add(self, at: np.ndarray, ids: np.ndarray, size: np.ndarray) -> None:
         """The ids, one after another, of the pieces at these places."""
@@ -250,18 +261,15 @@ class ChunkEncoder:
         self.used += len(ids)
 
     def _learn(self) -> None:
-        """Single pre-tokens go to the same model together, as bytes in its alphabet, each before a line end, which is a token that no other holds.  Others are encoded as they are."""
+        """Single pre-tokens go to the vocabulary's model as bytes in its alphabet.  Others are encoded as they are."""
         pieces, self.places.waiting = self.places.waiting, []
         first = len(self.places) - len(pieces)
         plain = np.fromiter((SINGLE(p) is not None for p in pieces), bool, len(pieces))
-        single = [p for p, k in zip(pieces, plain.tolist(), strict=True) if k]
-        mapped = ("\n".join(single) + "\n" * bool(single)).encode().decode("latin-1").translate(ALPHABET)
-        ids = np.array(self.by_word.encode_batch_fast([mapped], add_special_tokens=False)[0].ids, np.uint32)
-        end = np.flatnonzero(ids == self.line)
-        if len(end) == len(single):
-            self._add(first + np.flatnonzero(plain), ids[ids != self.line], np.diff(end, prepend=-1) - 1)
-        else:
-            plain[:] = False
+        at = np.flatnonzero(plain)
+        if len(at):
+            mapped = "\n".join([pieces[i] for i in at.tolist()]).encode().decode("latin-1").translate(ALPHABET).split(ALPHABET[10])
+            found = [[t.id for t in self.model.tokenize(p)] for p in mapped]
+            self._add(first + at, np.fromiter(chain.from_iterable(found), np.uint32), np.fromiter(map(len, found), np.int64, len(found)))
         others = np.flatnonzero(~plain)
         if len(others):
             found = [x.ids for x in self.tokenizer.encode_batch_fast([pieces[i] for i in others.tolist()], add_special_tokens=False)]
@@ -278,7 +286,7 @@ class ChunkEncoder:
         parts, whole = [], {}
         for i, text in enumerate(texts):
             # two quick scans: a pattern of both would be tried at each character
-            as_is = text and (not self.by_piece or ODD_SPACE.search(text) or any(t in text for t in self.added))
+            as_is = text and (not self.by_piece or has_odd_space(text) or any(t in text for t in self.added))
             pieces = PIECE.findall(text) if text and not as_is else []
             if as_is:
                 whole[i] = np.array([*self.tokenizer.encode(text, add_special_tokens=False).ids, self.end_id], np.uint32)
@@ -354,9 +362,11 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, levels: int | None
                 size += len(got)
         if held:
             yield close()
+        give_back()
 
     schema = "part bigint, shard bigint, n_docs bigint, n_tokens bigint, payload binary"
-    ranged.mapInArrow(encode, schema).write.mode("overwrite").option("compression", "zstd").parquet(path)
+    with Workspace(docs.sparkSession, "tokens").writing():
+        ranged.mapInArrow(encode, schema).write.mode("overwrite").option("compression", "zstd").parquet(path)
 
 
 def read_documents(spark, path: str) -> DataFrame:
@@ -364,6 +374,7 @@ def read_documents(spark, path: str) -> DataFrame:
     shards = spark.read.parquet(path)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_encoders()  # a worker that reads has no use for what it knew when it wrote
         for batch in batches:
             for i in range(batch.num_rows):
                 doc_ids, lengths, matrix = from_payload(batch.column(2)[i].as_py())
@@ -373,6 +384,7 @@ def read_documents(spark, path: str) -> DataFrame:
                 n = len(doc_ids)
                 keep = pa.array(doc_ids.data, mask=np.ma.getmaskarray(doc_ids))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(n, batch.column(0)[i].as_py())), pa.array(np.full(n, batch.column(1)[i].as_py())), keep, pa.array(end - lengths), pa.array(lengths), pa.array(crc, pa.int64())], schema=DOCS)
+        give_back()
 
     found = shards.select("part", "shard", "payload").mapInArrow(decode, "part bigint, shard bigint, doc_id bigint, offset bigint, n_tokens bigint, ids_crc32 bigint")
     # ids before a part: of the runs of 1024 parts before its own (one row for each 24 GB or so of text), and of the parts before it in its run

@@ -76,3 +76,43 @@ def test_other_vocabularies_and_too_few_planes(spark, tmp_path):
 
 def test_empty_table(spark):
     assert token_files.token_files(spark.createDataFrame([], "doc_id bigint, text string"), str(tokenizer_path())).count() == 0
+
+
+def test_odd_white_space_is_found_in_any_kind_of_text():
+    odd = "\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0   　﻿"
+    for plain in ("a b\n\tc", "é b", "日 b", "😀"):
+        assert not token_files.has_odd_space(plain)
+        assert all(token_files.has_odd_space(plain + c + plain) for c in odd)
+
+
+def test_each_distinct_piece_goes_to_the_model_once(tokenizer):
+    encoder, seen = token_files.ChunkEncoder(str(tokenizer_path()), 0), []
+
+    class Model:
+        def tokenize(self, piece):
+            seen.append(piece)
+            return tokenizer.model.tokenize(piece)
+
+    encoder.model = Model()
+    text = "alpha, beta alpha, beta"
+    for _ in range(2):
+        assert encoder.encode(text).tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 0]
+    assert sorted(seen) == sorted({"alpha", ",", "Ġbeta", "Ġalpha"})
+
+
+def test_workers_keep_no_encoder_after_reading(spark):
+    """Writers and readers share workers; what a writer knew would stay in an executor's memory for all later stages."""
+    df = spark.range(40).selectExpr("id as doc_id", "concat('word ', id, ' and more') as text")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1g")  # a task for each file, so that all workers read
+    try:
+        assert token_files.token_files(df, str(tokenizer_path()), part_bytes=20).count() == 40
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+    def held(batches):
+        import pyarrow as pa
+
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(token_files._encoders)])], ["n"])
+
+    assert spark.range(0, 64, 1, 16).mapInArrow(held, "n bigint").selectExpr("sum(n)").first()[0] == 0
