@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm._bytes import mix, shingles, text_slices, word_hashes, words
+from parlance.llm._bytes import give_back, mix, shingles, text_slices, word_hashes, words
 
 BLOCKS = 4
 BITS = np.arange(64, dtype=np.uint64)
@@ -192,6 +192,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8,
                         a, e = edge[d], edge[d + 1]
                         rows += [(ids[d], index.ids[i], s, w, n, c) for i, s, w, n, c in index.matches(hashed[a:e], place[a:e], int(size[d]))]
                 yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*rows, strict=True) if rows else [[]] * 6, ARROW, strict=True)], schema=ARROW)
+            give_back()
 
         got = docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, SCHEMA)
         out = got if out is None else out.unionByName(got)
