@@ -333,6 +333,15 @@ def block_rows(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterato
         yield from out(held)
 
 
+def texts_of(texts: DataFrame, reps: DataFrame, buckets: int) -> DataFrame:
+    """The rows of ``texts`` whose doc_id is in ``reps``, dealt by doc_id.
+
+    Both sides are dealt into the buckets before the join, which needs no other
+    exchange then: texts are shuffled, and lie on disk, once.
+    """
+    return texts.repartition(buckets, "doc_id").join(reps.repartition(buckets, "doc_id"), "doc_id").select("doc_id", "text")
+
+
 class Join:
     """One run over the distinct sets of a corpus."""
 
@@ -344,8 +353,7 @@ class Join:
         """Writes the sets of one document of each class, bucketed so that no join moves them again."""
         spark, k = self.work.spark, self.k
         buckets = max(8, -(-size_bytes // (24 << 20)))
-        chosen = texts.join(reps, "doc_id").select("doc_id", "text").repartition(buckets, "doc_id")
-        sets = chosen.mapInArrow(lambda it: set_rows(it, k), "doc_id bigint, n bigint, tokens binary, bitmap binary")
+        sets = texts_of(texts, reps, buckets).mapInArrow(lambda it: set_rows(it, k), "doc_id bigint, n bigint, tokens binary, bitmap binary")
         self.name = f"sets_{uuid.uuid4().hex[:12]}"
         with self.work.writing(512):
             sets.write.bucketBy(buckets, "doc_id").sortBy("doc_id").option("path", f"{self.work.root}/sets").format("parquet").option("compression", "none").saveAsTable(self.name)

@@ -2,6 +2,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from parlance.llm import jaccard
 
@@ -131,6 +132,23 @@ def test_signatures_bring_every_link_together():
                 assert seen[0] & seen[1]
 
 
+def test_texts_are_shuffled_once(spark):
+    """Where the join with the representatives is not broadcast, its exchange of the texts is also that into buckets."""
+    texts = spark.createDataFrame([(i, f"w{i}") for i in range(40)], "doc_id bigint, text string")
+    reps = spark.createDataFrame([(i,) for i in range(0, 40, 3)], "doc_id bigint")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = jaccard.texts_of(texts, reps, 9)
+        rows = got.select("doc_id", "text", F.spark_partition_id(), F.expr("pmod(hash(doc_id), 9)")).collect()
+        plan = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert sorted(r[:2] for r in rows) == [(i, f"w{i}") for i in range(0, 40, 3)]
+    assert all(r[2] == r[3] for r in rows)
+    assert plan.count("Exchange hashpartitioning") == 2
+
+
 def test_empty_table_nulls_and_clashing_columns(spark):
     empty = spark.createDataFrame([], "doc_id bigint, text string, n int, root int")
     assert jaccard.near_duplicates(empty).count() == 0
