@@ -52,8 +52,15 @@ def make_pages(batches: Iterator[pa.RecordBatch], buckets: int, page_bytes: int)
     def close() -> pa.RecordBatch:
         nonlocal ids, held, hashes, ends, lengths, size
         token, ending = np.concatenate(hashes), np.concatenate(ends)
-        kinds, first, codes = np.unique(token, return_index=True, return_inverse=True)
-        parts = [as_long(kinds).tobytes(), ending[first].tobytes(), np.concatenate(ids).tobytes(), np.concatenate(held).tobytes(), np.concatenate(lengths).astype(np.int32).tobytes(), codes.astype(np.int32).tobytes()]
+        coded = pa.array(token).dictionary_encode()  # by a hash table: only the kinds are sorted
+        kinds, codes = coded.dictionary.to_numpy(), coded.indices.to_numpy()
+        order = np.argsort(kinds)
+        place = np.empty(len(kinds), np.int32)
+        place[order] = np.arange(len(kinds), dtype=np.int32)
+        kinds, codes = kinds[order], place[codes]
+        tail = np.empty(len(kinds), np.uint8)
+        tail[codes] = ending
+        parts = [as_long(kinds).tobytes(), tail.tobytes(), np.concatenate(ids).tobytes(), np.concatenate(held).tobytes(), np.concatenate(lengths).astype(np.int32).tobytes(), codes.tobytes()]
         page = struct.unpack("<q", hashlib.blake2b(parts[2] + parts[5], digest_size=8).digest())[0]
         ids, held, hashes, ends, lengths, size = [], [], [], [], [], 0
         return pa.RecordBatch.from_arrays([pa.array([page]), *(pa.array([p], pa.binary()) for p in parts)], ["page", "kinds", "endings", "ids", "held", "lengths", "codes"])
@@ -288,6 +295,8 @@ def _short(x: np.ndarray, size: int) -> np.ndarray:
 
 #: Rows of logits at once: they stay in a core's cache.
 ROWS = 1024
+#: Times a window's steps where few lanes are left.
+STRETCH = 8
 
 
 def _log_total(logits: np.ndarray, small: bool) -> np.ndarray:
@@ -317,10 +326,19 @@ class Adam:
 
     def update(self, flat: np.ndarray, grad: np.ndarray) -> None:
         self.t += 1
-        self.m += F32(0.1) * (grad - self.m)
-        self.v += F32(0.01) * (grad * grad - self.v)
+        part = grad - self.m
+        part *= F32(0.1)
+        self.m += part
+        np.multiply(grad, grad, out=part)
+        part -= self.v
+        part *= F32(0.01)
+        self.v += part
         rate = self.rate * np.sqrt(1 - 0.99**self.t) / (1 - 0.9**self.t)
-        flat -= F32(rate) * self.m / (np.sqrt(self.v) + F32(1e-6))
+        np.sqrt(self.v, out=part)
+        part += F32(1e-6)
+        np.divide(self.m, part, out=part)
+        part *= F32(rate)
+        flat -= part
 
 
 def fill_lanes(length: np.ndarray, docs: np.ndarray, lanes: int) -> list[list[int]]:
@@ -336,69 +354,92 @@ def fill_lanes(length: np.ndarray, docs: np.ndarray, lanes: int) -> list[list[in
     return sorted(out, key=lambda lane: -int(length[lane].sum()))
 
 
+class Lanes:
+    """Documents end to end in lanes, the longest first; ``target`` holds all lanes one after another."""
+
+    def __init__(self, symbols: np.ndarray, length: np.ndarray, docs: np.ndarray, lanes: int, end: int):
+        queues = fill_lanes(length, docs, lanes)
+        self.docs = np.concatenate(queues)
+        size = length[self.docs]
+        edge = np.cumsum(size) - size
+        first = np.cumsum(length) - length
+        self.target = symbols[np.repeat(first[self.docs] - edge, size) + np.arange(int(size.sum()))]
+        self.fresh = np.zeros(len(self.target), bool)
+        self.fresh[edge] = True
+        self.before = np.where(self.fresh, end, np.roll(self.target, 1))
+        self.total = np.array([int(length[q].sum()) for q in queues])
+        self.base = np.cumsum(self.total) - self.total
+
+    def windows(self, window: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(place in ``target``, whether the lane still goes on) of each step and lane.
+
+        A lane of one long document goes on alone: where few are left, windows have up to
+        STRETCH times the steps, so that they stay about as large.
+        """
+        t = 0
+        while t < self.total[0]:
+            n = int(np.searchsorted(-self.total, -t, "left"))  # lanes longer than t stand first
+            steps = min(window * min(STRETCH, max(1, len(self.total) // n)), int(self.total[0]) - t)
+            step = t + np.arange(steps)[:, None]
+            yield self.base[:n] + np.minimum(step, self.total[:n] - 1), step < self.total[:n]
+            t += steps
+
+
 def train_page(net: Network, page: dict, turn: int, rounds: int, window: int, lanes: int, adam: Adam) -> int:
     """Trains on a page's training documents of this round, each from its first token to its end; returns the tokens seen."""
     symbols = net.shape.words_of(page["kinds"], page["endings"])[page["codes"]]
     length = page["lengths"]
-    first = np.cumsum(length) - length
     spread = mix(page["ids"].astype(np.int64).view(U64) + U64(1))
     docs = np.flatnonzero(~page["held"] & (length > 0) & (spread % U64(rounds) == U64(turn)))
     if not len(docs):
         return 0
-    queues = fill_lanes(length, docs[np.argsort(spread[docs], kind="stable")], lanes)
-    line = np.concatenate(queues)
-    edge = np.cumsum(length[line]) - length[line]
-    target = symbols[np.repeat(first[line] - edge, length[line]) + np.arange(int(length[line].sum()))]
-    fresh = np.zeros(len(target), bool)
-    fresh[edge] = True
-    before = np.where(fresh, net.shape.end, np.roll(target, 1))
-    total = np.array([int(length[q].sum()) for q in queues])
-    base = np.cumsum(total) - total
-    h = np.zeros((len(queues), net.hidden), F32)
-    enough = min(lanes, len(queues)) * window // 2  # few lanes left: several windows make an update
-    held, tokens = np.zeros_like(net.flat), 0
-    for t in range(0, int(total[0]), window):
-        n = int(np.searchsorted(-total, -t, "left"))  # lanes longer than t stand first
-        step = t + np.arange(window)[:, None]
-        at = base[:n] + np.minimum(step, total[:n] - 1)
-        inside = step < total[:n]
-        grad, h, _ = net.train_window(before[at], np.where(inside, target[at], -1), h[:n], fresh[at] & inside)
+    line = Lanes(symbols, length, docs[np.argsort(spread[docs], kind="stable")], lanes, net.shape.end)
+    h = np.zeros((len(line.total), net.hidden), F32)
+    enough = len(line.total) * window // 2  # few lanes left: several windows make an update
+    held, tokens, left = np.zeros_like(net.flat), 0, len(line.target)
+    for at, inside in line.windows(window):
+        grad, h, _ = net.train_window(line.before[at], np.where(inside, line.target[at], -1), h[: at.shape[1]], line.fresh[at] & inside)
         seen = int(inside.sum())
-        held += grad * F32(seen)
+        grad *= F32(seen)
+        held += grad
         tokens += seen
-        if tokens >= enough or t + window >= total[0]:
+        left -= seen
+        if tokens >= enough or not left:
             held /= F32(tokens)
-            norm = float(np.sqrt((held * held).sum()))
-            adam.update(net.flat, held * F32(min(1.0, 1.0 / max(norm, 1e-6))))
+            norm = float(np.sqrt(held @ held))
+            held *= F32(min(1.0, 1.0 / max(norm, 1e-6)))
+            adam.update(net.flat, held)
             held[:], tokens = 0, 0
-    return len(target)
+    return len(line.target)
 
 
 def score_page(net: Network, symbols: np.ndarray, length: np.ndarray, lanes: int, window: int) -> np.ndarray:
-    """Sum of natural log-probabilities of each document's symbols."""
+    """Sum of natural log-probabilities of each document's symbols.
+
+    A page has no more lanes than end at about the same time: the longest document bounds the steps.
+    """
     out = np.zeros(len(length))
-    first = np.cumsum(length) - length
-    order = np.argsort(-length, kind="stable")
-    for at in range(0, len(order), lanes):
-        own = order[at : at + lanes]
-        h = np.zeros((len(own), net.hidden), F32)
-        previous = np.full(len(own), net.shape.end, np.int32)
-        longest = int(length[own[0]])
-        for t0 in range(0, longest, window):
-            states, targets, who = [], [], []
-            for t in range(t0, min(t0 + window, longest)):
-                n = int(np.searchsorted(-length[own], -t, "left"))  # those longer than t stand first
-                h = net.step(previous[:n], h[:n])[-1]
-                previous = symbols[first[own[:n]] + t]
-                states.append(h)
-                targets.append(previous)
-                who.append(np.arange(n))
-            got = net.log_probabilities(np.concatenate(states), np.concatenate(targets))
-            out[own] += np.bincount(np.concatenate(who), got, len(own))
+    docs = np.flatnonzero(length > 0)
+    if not len(docs):
+        return out
+    lanes = min(lanes, max(64, -(-int(length.sum()) // int(length.max()))))
+    line = Lanes(symbols, length, docs, lanes, net.shape.end)
+    owner = np.repeat(line.docs, length[line.docs])
+    h = np.zeros((len(line.total), net.hidden), F32)
+    for at, inside in line.windows(window):
+        steps, n = at.shape
+        x = net.views[0][line.before[at]]
+        x += net.views[2]
+        on = (~line.fresh[at][:, :, None]).astype(F32)
+        h, states = h[:n], np.empty((steps, n, net.hidden), F32)
+        for t in range(steps):
+            h = states[t] = net.step(line.before[at[t]], h * on[t], x[t])[-1]
+        place = at[inside]
+        got = net.log_probabilities(states[inside], line.target[place])
+        out += np.bincount(owner[place], got, len(length))
     return out
 
 
-
 def average(spark, params: DataFrame, size: int, groups: int = 8) -> np.ndarray:
     """The mean of (weight, params) rows, summed in ``groups`` tasks before the driver."""
 

@@ -71,6 +71,47 @@ def test_training_reads_whole_documents(monkeypatch):
     assert np.isfinite(net.flat).all()
 
 
+def one_long_page(net):
+    """Many short documents and one of several times a lane's share."""
+    rnd = np.random.default_rng(8)
+    lengths = np.concatenate([rnd.integers(1, 40, 400), [6000]])
+    kinds = np.sort(net.shape.hashes)
+    return {"kinds": kinds, "endings": np.zeros(len(kinds), int), "ids": np.arange(len(lengths)), "held": np.zeros(len(lengths), bool), "lengths": lengths, "codes": rnd.integers(0, len(kinds), lengths.sum())}
+
+
+def test_a_long_document_takes_few_windows_and_steps(monkeypatch):
+    """Its lane goes on alone, in longer windows; other documents run beside it when scored."""
+    net = small_network()
+    page = one_long_page(net)
+    windows, steps, plain, step = [], [], recurrent.Network.train_window, recurrent.Network.step
+    monkeypatch.setattr(recurrent.Network, "train_window", lambda self, inputs, *a: windows.append(inputs.shape) or plain(self, inputs, *a))
+    assert recurrent.train_page(net, page, 0, 1, 16, 32, recurrent.Adam(len(net.flat), 0.01)) == page["lengths"].sum()
+    assert len(windows) < 6000 // 16 // 4
+    assert all(a * b <= 16 * 32 for a, b in windows)
+    monkeypatch.setattr(recurrent.Network, "step", lambda self, symbols, *a: steps.append(len(symbols)) or step(self, symbols, *a))
+    symbols = net.shape.words_of(page["kinds"], page["endings"])[page["codes"]]
+    got = recurrent.score_page(net, symbols, page["lengths"], 64, 16)
+    assert len(steps) == 6000
+    alone = [recurrent.score_page(net, part, np.array([len(part)]), 64, 16)[0] for part in np.split(symbols, np.cumsum(page["lengths"])[:-1])[-20:]]
+    assert np.allclose(got[-20:], alone, rtol=1e-4)
+
+
+def test_pages_hold_each_token_in_place():
+    """Kinds are sorted and distinct, and codes give back every token with its ending."""
+    import pyarrow as pa
+
+    texts = ["b a B c", None, "", "zz\ta  a", "c c c"]
+    batch = pa.record_batch([pa.array([4, 9, None, -1, 7]), pa.array([False, True, False, False, True]), pa.array(texts)], ["doc_id", "held_out", "text"])
+    (row,) = recurrent.rows_of(recurrent.make_pages(iter([batch.slice(0, 2), batch.slice(2)]), 24, 1 << 20))
+    page = recurrent.open_page(row)
+    assert (np.diff(page["kinds"].astype(object)) > 0).all() and len(page["kinds"]) == 5
+    assert page["lengths"].tolist() == [5, 1, 1, 4, 4] and page["null"].tolist() == [False, False, True, False, False]
+    words = ["b", "a", "b", "c", "END", "END", "END", "zz", "a", "a", "END", "c", "c", "c", "END"]
+    code_of = dict(zip(words, page["codes"].tolist(), strict=True))
+    assert [code_of[w] for w in words] == page["codes"].tolist() and len(set(code_of.values())) == 5
+    assert page["kinds"][code_of["END"]] == recurrent.END and page["endings"][code_of["END"]] == 0
+
+
 def test_fresh_documents_within_a_window():
     """A window of two documents in one lane has the gradient of the two apart."""
     net = small_network()
