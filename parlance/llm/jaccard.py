@@ -1,11 +1,11 @@
 """N-gram Jaccard join by pigeonholes over a partition of the shingle universe.
 
 Two sets of a and b shingles with Jaccard similarity >= t differ in at most
-H = (1 - t) / (1 + t) * (a + b) shingles.  Set sizes fall into bands of ratio 1 / t.
+H = (1 - t) / (1 + t) * (a + b) shingles.  Set sizes fall into bands of ratio 1 / t^3.
 In a band shingles are hashed into m segments, and each set gives one signature for
 each segment that holds any of its shingles: the digest of that subset.  A pair
-meets in the band of its smaller set, so a set is indexed in its own band and in
-the one below.
+meets in the band of its smaller set, so a set is indexed in its own band and, if a
+partner can lie there, in the one below.
 
 A set is covered in a band if the errors that its segments withstand add up to more
 than H.  An exact signature is worth one, and a set that has more filled segments than
@@ -53,14 +53,27 @@ from parlance.llm._spark import Workspace, components
 
 U64 = np.uint64
 BITMAP = 1024
+#: A band spans so many steps of 1 / t.  Sets in its lowest step are indexed in the band below as well: the wider
+#: the bands, the fewer sets are indexed twice, but the fewer shingles the smallest sets of a band have a segment.
+STEPS = 3
+
+
+def edges(owner: np.ndarray, n: int) -> np.ndarray:
+    """Where each of n documents begins among sorted ``owner``, and the end."""
+    return np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=n))])
 
 
 def doc_sets(ids: np.ndarray, data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(document, 64-bit shingle), sorted and distinct."""
     start, end, doc = words(data, offsets)
     hashed, owner, _ = shingles(word_hashes(data, start, end), doc, len(ids), k)
-    order = np.lexsort((hashed, owner))
-    hashed, owner = hashed[order], owner[order]
+    if len(hashed) < 32 * len(ids):
+        order = np.lexsort((hashed, owner))
+        hashed, owner = hashed[order], owner[order]
+    else:  # documents lie one after the other: each is sorted in its place
+        edge = edges(owner, len(ids)).tolist()
+        for a, b in zip(edge, edge[1:], strict=False):
+            hashed[a:b].sort()
     new = np.ones(len(hashed), bool)
     new[1:] = (hashed[1:] != hashed[:-1]) | (owner[1:] != owner[:-1])
     return owner[new], hashed[new]
@@ -77,7 +90,9 @@ class Bands:
         self.num, self.den = num, den
         low, self.low, self.high = 1, [], []
         while low <= largest:
-            high = max(low, low * den // num)
+            high = low
+            for _ in range(STEPS):
+                high = max(high, high * den // num)
             self.low.append(low)
             self.high.append(high)
             low = high + 1
@@ -152,11 +167,12 @@ def digest_rows(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.Record
     for batch in batches:
         for ids, data, offsets in text_slices(batch.column(0), batch.column(1)):
             owner, tokens = doc_sets(ids, data, offsets, k)
-            n = np.bincount(owner, minlength=len(ids))
-            d = [np.zeros(len(ids), U64), np.zeros(len(ids), U64)]
-            for seed, out in enumerate(d):
-                np.add.at(out, owner, mix(tokens + U64((seed + 1) * 0x9E3779B97F4A7C15 % 2**64)))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n), pa.array(as_long(d[0])), pa.array(as_long(d[1]))], ["doc_id", "n", "d1", "d2"])
+            edge, d = edges(owner, len(ids)), []
+            for seed in range(2):
+                total = np.zeros(len(tokens) + 1, U64)
+                np.cumsum(mix(tokens + U64((seed + 1) * 0x9E3779B97F4A7C15 % 2**64)), out=total[1:])
+                d.append(np.diff(total[edge]))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.diff(edge)), pa.array(as_long(d[0])), pa.array(as_long(d[1]))], ["doc_id", "n", "d1", "d2"])
     give_back()
 
 
@@ -164,14 +180,12 @@ def set_rows(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBat
     for batch in batches:
         for ids, data, offsets in text_slices(batch.column(0), batch.column(1)):
             owner, tokens = doc_sets(ids, data, offsets, k)
-            n = np.bincount(owner, minlength=len(ids))
-            edge = np.concatenate([[0], np.cumsum(n)]).tolist()
-            bits = np.zeros((len(ids), BITMAP), bool)
+            edge = edges(owner, len(ids))
             spot = (mix(tokens) % U64(BITMAP)).astype(np.int64)
-            np.logical_xor.at(bits, (owner, spot), True)
-            maps = np.packbits(bits, axis=1)
-            sets = [tokens[a:b].astype("<u8").tobytes() for a, b in zip(edge, edge[1:], strict=False)]
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n), pa.array(sets, pa.binary()), pa.array([m.tobytes() for m in maps], pa.binary())], ["doc_id", "n", "tokens", "bitmap"])
+            odd = np.bincount(owner * BITMAP + spot, minlength=len(ids) * BITMAP) & 1
+            maps = np.packbits(odd.astype(bool).reshape(len(ids), BITMAP), axis=1)
+            sets = [tokens[a:b].astype("<u8").tobytes() for a, b in zip(edge.tolist(), edge[1:].tolist(), strict=False)]
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.diff(edge)), pa.array(sets, pa.binary()), pa.array([m.tobytes() for m in maps], pa.binary())], ["doc_id", "n", "tokens", "bitmap"])
     give_back()
 
 
@@ -182,10 +196,12 @@ def heavy_rows(batches: Iterator[pa.RecordBatch], share: float) -> Iterator[pa.R
 
     def merge():
         nonlocal key, count, waiting, size
-        both = np.concatenate([key, *waiting])
-        weight = np.concatenate([count, np.ones(size, np.int64)])
-        key, inverse = np.unique(both, return_inverse=True)
-        count = np.bincount(inverse, weight, len(key)).astype(np.int64)
+        fresh, n = np.unique(np.concatenate([key[:0], *waiting]), return_counts=True)
+        both, weight = np.concatenate([key, fresh]), np.concatenate([count, n])
+        order = np.argsort(both, kind="stable")  # two sorted runs
+        both, weight = both[order], weight[order]
+        first = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]])[: len(both)])
+        key, count = both[first], np.add.reduceat(weight, first) if len(first) else weight
         waiting, size = [], 0
 
     for batch in batches:
@@ -352,7 +368,8 @@ class Join:
     def load(self, texts: DataFrame, reps: DataFrame, size_bytes: int) -> None:
         """Writes the sets of one document of each class, bucketed so that no join moves them again."""
         spark, k = self.work.spark, self.k
-        buckets = max(8, -(-size_bytes // (24 << 20)))
+        # never fewer than shuffle partitions: a join is dealt at least so fine, and each of its tasks would write a file a bucket
+        buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size_bytes // (24 << 20)))
         sets = texts_of(texts, reps, buckets).mapInArrow(lambda it: set_rows(it, k), "doc_id bigint, n bigint, tokens binary, bitmap binary")
         self.name = f"sets_{uuid.uuid4().hex[:12]}"
         with self.work.writing(512):
@@ -436,12 +453,9 @@ class Join:
         others, and the others with each other.
         """
         num, den, block = self.num, self.den, self.block
-        met = []
-        for low in (0, 4):  # in halves, so that no more than half of the signatures is on disk twice
-            rows = self.signed(roots, low, low + 4).sortWithinPartitions("sig", "root")
-            met.append(self.work.table(rows.mapInArrow(meet_rows, "sig bigint, a bigint, b bigint"), f"met_{low}"))
-            self.work.release()
-        met = met[0].unionByName(met[1])
+        rows = self.signed(roots, 0, 8).sortWithinPartitions("sig", "root")
+        met = self.work.table(rows.mapInArrow(meet_rows, "sig bigint, a bigint, b bigint"), "met")
+        self.work.release()
         few = met.where("sig is null").select("a", "b")
         many = met.where("sig is not null").select("sig", F.col("a").alias("root"), F.col("b").alias("doc_id"))
         of_root = many.groupBy("sig", "root").agg(F.count("*").alias("n"))
@@ -517,7 +531,7 @@ def near_duplicates(docs: DataFrame, num: int = 80, den: int = 100, k: int = 5,
             roots = work.table(components(work, links, f"cc_{step}"), f"roots_{step}")
             pairs = join.neighbours(roots) if step == 1 else join.candidates(roots)
         more = join.verify(pairs, str(step))
-        work.drop("seeds", f"near_{step}", "met_0", "met_4", f"roots_{step}")
+        work.drop("seeds", f"near_{step}", "met", f"roots_{step}")
         links = more if links is None else links.unionByName(more)
     join.close()
     work.release()

@@ -149,6 +149,82 @@ def test_texts_are_shuffled_once(spark):
     assert plan.count("Exchange hashpartitioning") == 2
 
 
+def test_sets_lie_in_one_file_a_bucket(spark):
+    """Also where joins have more partitions than the bytes of the sets ask for: no task writes a file for each bucket."""
+    from pathlib import Path
+
+    from parlance.llm._spark import Workspace
+
+    texts = spark.createDataFrame([(i, " ".join(f"w{i}_{j}" for j in range(9))) for i in range(300)], "doc_id bigint, text string")
+    put = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "11"}
+    before = {key: spark.conf.get(key) for key in put}
+    for key, value in put.items():
+        spark.conf.set(key, value)
+    try:
+        work = Workspace(spark, "files")
+        join = jaccard.Join(work, 80, 100, 5, 0.001, 8, 2048)
+        join.load(texts, texts.select("doc_id"), 1)
+        files = list(Path(work.root, "sets").glob("*.parquet"))
+        got = join.sets.agg(F.countDistinct("doc_id"), F.sum("n")).first()
+        join.close()
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    assert tuple(got) == (300, 1500)
+    assert len(files) <= 11
+
+
+def test_few_signatures_a_shingle():
+    """A third of a set's size or so: few sets are also indexed in the band below."""
+    import numpy as np
+
+    rnd = np.random.default_rng(6)
+    size = np.exp(rnd.uniform(np.log(40), np.log(2000), 400)).astype(np.int64)
+    owner, tokens = np.repeat(np.arange(len(size)), size), rnd.integers(0, 2**63, int(size.sum()), dtype=np.uint64)
+    bands = jaccard.Bands(80, 100)
+    own = bands.of(size)
+    below = np.where((own > 0) & (size * bands.num <= bands.high[own - 1] * bands.den), own - 1, -1)
+    n = sum(len(jaccard.signatures(owner, tokens, size, bands, band, tokens[:0])[1]) for band in (own, below))
+    assert n < 0.38 * len(tokens)
+
+
+def test_sets_of_long_and_of_many_short_documents():
+    import numpy as np
+    import pyarrow as pa
+
+    rnd = random.Random(8)
+    long = [" ".join(rnd.choice("abcd") for _ in range(rnd.randint(1, 400))) for _ in range(30)]
+    short = [" ".join(rnd.choice("ab") for _ in range(rnd.randint(0, 8))) for _ in range(300)]
+    for texts in (long, short, [*long, "", None, *short]):
+        batch = pa.record_batch([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())], ["doc_id", "text"])
+        digest, found = (pa.Table.from_batches(rows(iter([batch]), 5)) for rows in (jaccard.digest_rows, jaccard.set_rows))
+        sizes = [len(shingle_set(t)) for t in texts]
+        assert digest["n"].to_pylist() == sizes == found["n"].to_pylist()
+        same = {}
+        for t, *d in zip(texts, digest["d1"].to_pylist(), digest["d2"].to_pylist(), strict=True):
+            assert same.setdefault(shingle_set(t), d) == d
+        assert len({tuple(d) for d in same.values()}) == len(same)
+        for n, tokens, bitmap in zip(sizes, found["tokens"].to_pylist(), found["bitmap"].to_pylist(), strict=True):
+            u = jaccard.unpack(tokens)
+            assert len(u) == n and (u[1:] > u[:-1]).all()
+            bits = np.bincount((jaccard.mix(u) % np.uint64(1024)).astype(np.int64), minlength=1024) % 2
+            assert np.packbits(bits.astype(bool)).tobytes() == bitmap
+
+
+def test_heavy_shingles_have_exact_counts():
+    import numpy as np
+    import pyarrow as pa
+
+    rnd = np.random.default_rng(9)
+    sets = [np.unique(np.concatenate([rnd.integers(0, 60, 12), rnd.integers(2**32, 2**63, 3000)])).astype("<u8") for _ in range(900)]
+    key, n = np.unique(np.concatenate(sets), return_counts=True)
+    batches = [pa.record_batch([pa.array([s.tobytes() for s in sets[at : at + 100]], pa.binary())], ["tokens"]) for at in range(0, 900, 100)]
+    got = pa.Table.from_batches(jaccard.heavy_rows(iter(batches), 0.1))
+    assert dict(zip(got["token"].to_pylist(), got["n"].to_pylist(), strict=True)) == dict(zip(key[n >= 45].tolist(), n[n >= 45].tolist(), strict=True))
+    none = pa.Table.from_batches(jaccard.heavy_rows(iter([]), 0.1))
+    assert none.num_rows == 0 and [str(t) for t in none.schema.types] == ["int64", "int64"]
+
+
 def test_empty_table_nulls_and_clashing_columns(spark):
     empty = spark.createDataFrame([], "doc_id bigint, text string, n int, root int")
     assert jaccard.near_duplicates(empty).count() == 0
