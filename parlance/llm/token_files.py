@@ -19,7 +19,6 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,10 +35,19 @@ BLOCK = 512
 ODD_SPACE = re.compile(r"[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f\u2060\u3000\ufeff]")
 ODD_ASCII = "\x0b\x0c\x1c\x1d\x1e\x1f"
 LETTER, MARK = r"A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff", r".,;:!?#&$%*|()+=/\x22\-"
-# Runs that are pre-tokens by themselves, unless a character of another kind follows; else the rest up to white space.
-ALONE = rf"(?: ?(?:[{LETTER}]++|[0-9]++|[{MARK}]++)(?![^{LETTER}0-9{MARK} \n\r\t]))"
 SINGLE = re.compile(f" ?(?:[{LETTER}]+|[0-9]+|[{MARK}]+)").fullmatch
-PIECE = re.compile(ALONE + r"|\n(?= ?[^ \n\r\t])|[ \n\r\t]*[^ \n\r\t]+|[ \n\r\t]+")
+# Kinds of bytes; of two-byte letters, which all begin with 0xC3, the second byte is set by hand.
+BLANK, LINE, IS_LETTER, IS_DIGIT, IS_MARK, OTHER = KINDS = range(6)
+KIND = bytes(
+    BLANK if c == " " else LINE if c in "\n\r\t" else IS_DIGIT if c in "0123456789" else IS_MARK if re.match(f"[{MARK}]", c) else IS_LETTER if c == "\xc3" or c.isascii() and c.isalpha() else OTHER
+    for c in map(chr, range(256))
+)
+# Whether a pre-token ends between two kinds: before white space, after a line end, and where kinds change; in a run of white space before its last one, if more text follows.
+CUT, CUT_IF_LAST, END = 1, 2, 3
+BETWEEN = bytes(
+    (CUT_IF_LAST if a <= LINE else CUT) if b <= LINE else CUT if a == LINE or a != b and BLANK != a != OTHER != b else 0
+    for a in KINDS for b in KINDS
+).ljust(256, b"\0")
 ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
 
@@ -180,6 +188,7 @@ def byte_alphabet() -> dict[int, str]:
 
 
 ALPHABET = byte_alphabet()
+POINTS = np.array([ord(ALPHABET[b]) for b in range(256)], "<u4")
 _encoders: dict[tuple[str, int], ChunkEncoder] = {}
 
 
@@ -199,19 +208,37 @@ class Places(dict):
     """Pieces by number; a new one gets the next and waits to be encoded."""
 
     def __init__(self) -> None:
-        self.waiting: list[str] = []
+        self.waiting: list[bytes] = []
 
-    def __missing__(self, piece: str) -> int:
+    def __missing__(self, piece: bytes) -> int:
         self[piece] = place = len(self)
         self.waiting.append(piece)
         return place
 
 
+def cuts(data: bytes, ends: np.ndarray) -> np.ndarray:
+    """Places in texts, one after another up to ``ends``, at which pre-tokens end whatever else stands there; those of the texts are among them."""
+    n = len(data)
+    at, here = np.frombuffer(data, np.uint8), np.frombuffer(bytearray(data.translate(KIND)), np.uint8)
+    lead = np.flatnonzero(at == 0xC3)
+    letter = (at[lead + 1] | 0x20) != 0xB7  # but the signs of multiplication and division
+    here[lead[~letter]], here[lead[letter] + 1] = OTHER, IS_LETTER
+    found = np.zeros(n + 1, np.uint8)
+    found[1:n] = np.frombuffer((here[:-1] * np.uint8(len(KINDS)) + here[1:]).tobytes().translate(BETWEEN), np.uint8)
+    found[ends] = END
+    blank = np.flatnonzero(found == CUT_IF_LAST)
+    after = blank + 1
+    found[blank[(found[after] == END) | (here[np.minimum(after, n - 1)] <= LINE)]] = 0
+    found[0] = 0
+    return np.flatnonzero(found)
+
+
 class ChunkEncoder:
     """Encodes texts by the tokenizers library, each distinct piece once.
 
     Pieces end where the vocabulary's pre-tokens end: a text's ids are its pieces'
-    ids one after another.  Texts with other white space than space, tab and line
+    ids one after another.  The bytes of many texts are cut at once and their pieces
+    numbered by Arrow, so that only distinct ones are looked up.  Texts with other white space than space, tab and line
     ends, or with a token that was added to the vocabulary, are encoded as they are;
     so are all texts if the file has a normaliser or another pre-tokenizer than the
     byte-level one whose pieces these are.
@@ -234,7 +261,7 @@ class ChunkEncoder:
         self.places = Places()
         self.flat, self.used = np.zeros(1 << 16, np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32), 0
         self.start, self.size, self.seen = (np.zeros(1 << 14, np.int32) for _ in range(3))
-        self.places[""] = 0
+        self.places[b""] = 0
         self._add(np.array([0]), np.array([self.end_id]), np.array([1]))
 
     def _retain(self) -> None:
@@ -264,15 +291,21 @@ class ChunkEncoder:
         """Single pre-tokens go to the vocabulary's model as bytes in its alphabet.  Others are encoded as they are."""
         pieces, self.places.waiting = self.places.waiting, []
         first = len(self.places) - len(pieces)
-        plain = np.fromiter((SINGLE(p) is not None for p in pieces), bool, len(pieces))
+        texts = [p.decode() for p in pieces]
+        plain = np.fromiter((SINGLE(t) is not None for t in texts), bool, len(texts))
         at = np.flatnonzero(plain)
         if len(at):
-            mapped = "\n".join([pieces[i] for i in at.tolist()]).encode().decode("latin-1").translate(ALPHABET).split(ALPHABET[10])
-            found = [[t.id for t in self.model.tokenize(p)] for p in mapped]
-            self._add(first + at, np.fromiter(chain.from_iterable(found), np.uint32), np.fromiter(map(len, found), np.int64, len(found)))
+            joined = b"\n".join([pieces[i] for i in at.tolist()])
+            mapped = POINTS[np.frombuffer(joined, np.uint8)].tobytes().decode("utf-32-le").split(ALPHABET[10])
+            ids, size = [], []
+            for piece in mapped:
+                found = [t.id for t in self.model.tokenize(piece)]
+                ids += found
+                size.append(len(found))
+            self._add(first + at, np.array(ids, np.uint32), np.array(size))
         others = np.flatnonzero(~plain)
         if len(others):
-            found = [x.ids for x in self.tokenizer.encode_batch_fast([pieces[i] for i in others.tolist()], add_special_tokens=False)]
+            found = [x.ids for x in self.tokenizer.encode_batch_fast([texts[i] for i in others.tolist()], add_special_tokens=False)]
             self._add(first + others, np.concatenate([np.array(f, np.uint32) for f in found]), np.array([len(f) for f in found]))
 
     def encode(self, text: str | None) -> np.ndarray:
@@ -287,24 +320,28 @@ class ChunkEncoder:
         for i, text in enumerate(texts):
             # two quick scans: a pattern of both would be tried at each character
             as_is = text and (not self.by_piece or has_odd_space(text) or any(t in text for t in self.added))
-            pieces = PIECE.findall(text) if text and not as_is else []
             if as_is:
                 whole[i] = np.array([*self.tokenizer.encode(text, add_special_tokens=False).ids, self.end_id], np.uint32)
-            pieces.append("")
-            parts.append(np.fromiter(map(self.places.__getitem__, pieces), np.int32, len(pieces)))
+            parts.append(text.encode() if text and not as_is else b"")
+        data, ends = b"".join(parts), np.cumsum([len(p) for p in parts])
+        cut = cuts(data, ends)
+        # an empty piece, the end mark, after each text
+        bounds = np.concatenate([[0], np.sort(np.concatenate([cut, ends]), kind="stable")])
+        pieces = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds), pa.py_buffer(data)]).dictionary_encode()
+        which, distinct = pieces.indices.to_numpy(), pieces.dictionary.to_numpy(zero_copy_only=False).tolist()
+        place = np.fromiter(map(self.places.__getitem__, distinct), np.int32, len(distinct))
         if self.places.waiting:
             self._learn()
-        at = np.concatenate(parts)
-        self.seen[: len(self.places)] += np.bincount(at, minlength=len(self.places)).astype(np.int32)
+        self.seen[place] += np.bincount(which, minlength=len(place)).astype(np.int32)
+        at = place[which]
         size = self.size[at].astype(np.int64)
         end = np.cumsum(size)
         out = self.flat[np.arange(end[-1]) + np.repeat(self.start[at] - end + size, size)]
-        cut = end[np.cumsum([len(p) for p in parts]) - 1]
-        found = np.split(out, cut[:-1])
+        found = np.split(out, end[np.searchsorted(cut, ends, "right") + np.arange(len(ends))][:-1])
         return [whole.get(i, f) for i, f in enumerate(found)]
 
 
-def text_parts(column: pa.Array, chars: int = 1 << 20) -> Iterator[list[str | None]]:
+def text_parts(column: pa.Array, chars: int = 1 << 21) -> Iterator[list[str | None]]:
     """Runs of texts of about so many characters."""
     part, size = [], 0
     for x in column:

@@ -116,3 +116,39 @@ def test_workers_keep_no_encoder_after_reading(spark):
             yield pa.RecordBatch.from_arrays([pa.array([len(token_files._encoders)])], ["n"])
 
     assert spark.range(0, 64, 1, 16).mapInArrow(held, "n bigint").selectExpr("sum(n)").first()[0] == 0
+
+
+def test_pieces_are_looked_up_once_for_many_texts(tokenizer, monkeypatch):
+    """However often a piece stands in texts that are encoded together, it is one look into what is known."""
+
+    class Counted(token_files.Places):
+        looks = 0
+
+        def __getitem__(self, piece):
+            Counted.looks += 1
+            return super().__getitem__(piece)
+
+    monkeypatch.setattr(token_files, "Places", Counted)
+    encoder = token_files.ChunkEncoder(str(tokenizer_path()), 0)
+    texts = ["alpha beta, " * 500, "", "beta alpha\n\n" * 500]
+    for _ in range(2):
+        for text, got in zip(texts, encoder.encode_many(texts), strict=True):
+            assert got.tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 0]
+    assert Counted.looks <= 2 * 10
+
+
+@given(st.lists(st.lists(st.sampled_from([*"abZ  \n\n\t\r.,-é×÷ÿ127'日ſ\x00", "e\u0301", "'s", "'ll ", "\n\n\n", "  ", "ü-"]), max_size=12).map("".join), max_size=8))
+@settings(max_examples=400, deadline=None)
+def test_texts_are_cut_where_pre_tokens_end(tokenizer, texts):
+    """Cuts are ends of pre-tokens, each text by itself; where only kinds of characters that are told apart stand, they are all of them."""
+    parts = [t.encode() for t in texts]
+    ends = np.cumsum([len(p) for p in parts], dtype=np.int64)
+    got = token_files.cuts(b"".join(parts), ends).tolist()
+    assert got == sorted(set(got))
+    for text, part, end in zip(texts, parts, ends.tolist(), strict=True):
+        begin = end - len(part)
+        want = {len(text[:b].encode()) for _, (_, b) in tokenizer.pre_tokenizer.pre_tokenize_str(text)}
+        here = {c - begin for c in got if begin < c <= end}
+        assert here <= want and (not part or len(part) in here)
+        if not set(text) & set("'×÷日ſ\x00\u0301"):
+            assert here == want
