@@ -41,15 +41,20 @@ def shard(docs: DataFrame, limit: int, key: str = "doc_id") -> DataFrame:
         levels = fine.withColumn("depth", F.explode(F.sequence(F.lit(low), F.lit(high))))
         levels = levels.withColumn("_q", F.expr(f"_p div cast(pow(2, {high} - depth) as bigint)"))
         sums = levels.groupBy("depth", "_q").agg(F.sum("b").alias("shard_bytes"), F.sum("n").alias("shard_docs"))
-        fits = (F.col("shard_bytes") <= limit) | (F.col("shard_docs") == 1) | (F.col("depth") == BITS)
-        first = levels.join(sums.where(fits), ["depth", "_q"]).groupBy("_p").agg(F.min(F.struct("depth", "_q", "shard_bytes", "shard_docs")).alias("s"))
-        first = work.table(first.select("_p", "s.*"), f"directory_{step}")
-        placed = left.withColumn("_p", cut).join(first, "_p").drop("_p")
+        sums = sums.withColumn("fits", (F.col("shard_bytes") <= limit) | (F.col("shard_docs") == 1) | (F.col("depth") == BITS))
+        # A bucket's at most two parts lie beside each other, so that they meet by their parent's number; the parents of the first level are known not to fit.
+        halves = sums.groupBy("depth", F.expr("_q div 2").alias("_parent")).agg(F.sum("shard_bytes").alias("_b"), F.sum("shard_docs").alias("_n"), F.collect_list(F.struct("_q", "shard_bytes", "shard_docs", "fits")).alias("_parts"))
+        split = (F.col("depth") == low) | ((F.col("_b") > limit) & (F.col("_n") > 1))
+        parts = work.table(halves.where(split).select("depth", F.inline("_parts")), f"parts_{step}")
+        covered = F.explode(F.expr(f"sequence(_q * cast(pow(2, {high} - depth) as bigint), (_q + 1) * cast(pow(2, {high} - depth) as bigint) - 1)"))
+        first = parts.where("fits").select("depth", "_q", "shard_bytes", "shard_docs", covered.alias("_p"))
+        # The directory grows with the corpus and its files are much smaller than its rows: it never goes to the driver.
+        placed = left.withColumn("_p", cut).join(first.hint("merge"), "_p").drop("_p")
         done = placed if done is None else done.unionByName(placed)
-        over = fine.join(first, "_p", "left_anti").select("_p")
+        over = parts.where((F.col("depth") == high) & ~F.col("fits")).select(F.col("_q").alias("_p"))
         if high == BITS or over.isEmpty():
             break
-        left = work.table(left.withColumn("_p", cut).join(over, "_p", "left_semi").drop("_p"), f"keys_{step}")
+        left = work.table(left.withColumn("_p", cut).join(over.hint("merge"), "_p", "left_semi").drop("_p"), f"keys_{step}")
         low, high, step = high + 1, min(BITS, high + 8), step + 1
     bits = F.when(F.col("depth") == 0, F.lit("")).otherwise(F.lpad(F.bin(F.col("_q")), F.col("depth"), F.lit("0")))
     return done.select("doc_id", "n_bytes", bits.alias("shard"), F.col("depth").cast("int").alias("depth"), "shard_bytes", "shard_docs", (F.col("shard_bytes") > limit).alias("overfull"))

@@ -152,3 +152,10 @@ def test_notices_inside_passages():
     assert {name for name, _, _ in held.scan(two)} == {"CC-BY-4.0", "CC-BY-NC-4.0"}
     exact = "we say: this work is licensed under the GNU General Public License, version 3. And so on, for as long as a line of some more words goes"
     assert {name: dice for name, dice, _ in held.scan(exact)} == {"GPL-3.0": 1.0}
+
+
+def test_directory_of_shards_stays_off_the_driver(spark, sf):
+    """Its files are far smaller than its rows, so Spark would broadcast it by their size."""
+    plan = sharding.shard(spark.read.parquet(f"{sf}/documents.parquet"), 3_000)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan
+    assert "Broadcast" not in plan
