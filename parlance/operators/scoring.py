@@ -2,47 +2,185 @@
 
 from __future__ import annotations
 
+import math
+import re
+from bisect import bisect_left, bisect_right
+from collections import Counter
+from collections.abc import Callable, Iterator, Sequence
+from itertools import accumulate
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-
-from parlance.functions.numerals import lenient
-from parlance.functions.text import col, let, symbols, words
-
-
-def _rate(distance: Column, n: Column) -> Column:
-    return F.when(n > 0, distance / n).otherwise(F.lit(float("nan")))
-
-
-def edits(a: Column, b: Column) -> Column:
-    """Levenshtein distance.  Long texts that differ little are compared in a band along the diagonal, which grows where it is too narrow."""
-
-    def within(most: int, wider: Column) -> Column:
-        return let(F.levenshtein(a, b, most), lambda d: F.when(d >= 0, d).otherwise(wider))
-
-    return within(64, within(1024, F.levenshtein(a, b)))
+from pyspark.sql.types import DoubleType, StructField, StructType
+
+from parlance.functions.text import col
+
+
+def common_start(a: Sequence, b: Sequence) -> int:
+    low, high = 0, min(len(a), len(b))
+    if a[:high] == b[:high]:
+        return high
+    while high - low > 1:
+        middle = (low + high) // 2
+        if a[low:middle] == b[low:middle]:
+            low = middle
+        else:
+            high = middle
+    return low
+
+
+def is_within(a: Sequence, b: Sequence) -> bool:
+    """Whether b is a with more put in."""
+    rest = iter(b)
+    return all(x in rest for x in a)
+
+
+def least_edits(a: Sequence, b: Sequence) -> int:
+    """A lower bound: what the longer has more than both have of each element."""
+    x, y = Counter(a), Counter(b)
+    return max(len(a), len(b)) - sum(min(n, y[w]) for w, n in x.items() if w in y)
+
+
+def some_edits(a: Sequence, b: Sequence, reach: int = 4) -> int:
+    """An upper bound: the edits of one alignment, which goes on at the nearest equal elements, of two in a row if there are."""
+    n, m, i, j, cost = len(a), len(b), 0, 0, 0
+    ways = [(p, q, max(p, q)) for k in range(1, reach + 1) for p, q in [(k, k), *[x for r in range(k) for x in ((r, k), (k, r))]]]
+    a, b = [*a, *[None] * (reach + 1)], [*b, *[""] * (reach + 1)]
+    while i < n and j < m:
+        if a[i] == b[j]:
+            i += 1
+            j += 1
+            continue
+        way = None
+        for p, q, k in ways:
+            if a[i + p] == b[j + q]:
+                if i + p + 1 >= n or a[i + p + 1] == b[j + q + 1]:
+                    way = p, q, k
+                    break
+                way = way or (p, q, k)
+        p, q, k = way or (1, 1, 1)
+        i += p
+        j += q
+        cost += k
+    return cost + max(n - i, m - j)
+
+
+def columns(pattern: Sequence, text: Sequence, up: int, down: int) -> tuple[int, int]:
+    """Differences down a column of Levenshtein's table, as bits of whole numbers (Myers, Hyyrö): from the column before ``text`` to the one after it, along its top one more a step."""
+    places: dict = {}
+    bit = 1
+    for x in pattern:
+        places[x] = places.get(x, 0) | bit
+        bit <<= 1
+    whole = bit - 1
+    for x in text:
+        eq = places.get(x, 0) | down
+        diagonal = ((((eq & up) + up) ^ up) | eq) & whole
+        right = (down | (whole ^ (up | diagonal))) << 1 | 1
+        left = (up & diagonal) << 1
+        up, down = (left | (whole ^ ((diagonal | right) & whole))) & whole, diagonal & right
+    return up, down
+
+
+def in_corridor(a: Sequence, b: Sequence, most: int) -> int:
+    """Levenshtein distance of a and b, b no shorter, where it is ``most`` at most.
+
+    Only elements that both have can be matched.  Of n of them in a's start and k in b's
+    start, a way that passes there leaves |n - k| without a match (less what one side has
+    more of them in all), so that only places where that fits into ``most`` are looked at.
+    """
+    in_a, in_b = set(a), set(b)
+    known, shared = [0, *accumulate(x in in_b for x in a)], [0, *accumulate(x in in_a for x in b)]
+    spare = known[-1] - shared[-1]
+    slack = most - len(b) + min(known[-1], shared[-1])
+    block = max(256, 2 * slack)
+    first, last, corner, up, down = 0, 0, 0, 0, 0
+    for i in range(0, len(a), block):
+        part = a[i : i + block]
+        start = bisect_left(shared, known[i] - max(0, spare) - slack)
+        end = bisect_right(shared, known[i + len(part)] + max(0, -spare) + slack) - 1
+        gone = (1 << (start - first)) - 1
+        corner += (up & gone).bit_count() - (down & gone).bit_count()
+        up, down = up >> (start - first) | ((1 << (end - last)) - 1) << (last - start), down >> (start - first)
+        first, last = start, end
+        up, down = columns(b[first:last], part, up, down)
+        corner += len(part)
+    return corner + up.bit_count() - down.bit_count()
+
+
+def distance(a: Sequence, b: Sequence) -> int:
+    """Levenshtein distance of two texts or token lists.
+
+    Exact: a bound from below that meets one from above is the distance; where they don't
+    meet, the table is filled as far as the one from above lets through.
+    """
+    if a == b:
+        return 0
+    start = common_start(a, b)
+    a, b = a[start:][::-1], b[start:][::-1]
+    end = common_start(a, b)
+    a, b = sorted((a[end:], b[end:]), key=len)
+    if not a or is_within(a, b):
+        return len(b) - len(a)
+    if len(a) <= 64:
+        return in_corridor(a, b, len(b))
+    least = least_edits(a, b)
+    if least == len(b):
+        return least
+    most = min(some_edits(a, b), len(b))
+    return least if least == most else in_corridor(a, b, most)
+
+
+def tokens(text: str) -> list[str]:
+    """White-space tokens, as ``words`` has them: U+001C to U+001F are no white space, other than for Python."""
+    if any(c in text for c in "\x1c\x1d\x1e\x1f"):
+        return re.findall(r"(?:[\x1c-\x1f]|\S)+", text)
+    return text.split()
+
+
+def characters(text: str) -> str:
+    """The text without white space."""
+    return "".join(tokens(text))
+
+
+def rate(reference: str | None, hypothesis: str | None, split: Callable[[str], Sequence]) -> float | None:
+    if reference is None or hypothesis is None:
+        return None
+    said = split(reference)
+    return distance(said, split(hypothesis)) / len(said) if said else math.nan
+
+
+def rates(df: DataFrame, *keep: str, **wanted: tuple[Callable[[str], Sequence], str, str]) -> DataFrame:
+    """df's columns ``keep`` and a rate for each of ``wanted``: name=(tokens or characters, column of references, column of hypotheses); NaN for an empty reference."""
+    texts = list(dict.fromkeys(c for _, *pair in wanted.values() for c in pair))
+    kept = df.select(*keep)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [pa.array([rate(r.as_py(), h.as_py(), split) for r, h in zip(batch.column(f"_{r}"), batch.column(f"_{h}"))], pa.float64()) for split, r, h in wanted.values()]
+            yield pa.RecordBatch.from_arrays([*map(batch.column, range(len(keep))), *made], [*keep, *wanted])
+
+    schema = StructType([*kept.schema.fields, *[StructField(name, DoubleType()) for name in wanted]])
+    return df.select(*keep, *[F.col(c).alias(f"_{c}") for c in texts]).mapInArrow(run, schema)
+
+
+def _column(split: Callable[[str], Sequence], reference: Column | str, hypothesis: Column | str) -> Column:
+    @F.arrow_udf("double")
+    def run(references: pa.Array, hypotheses: pa.Array) -> pa.Array:
+        return pa.array([rate(r.as_py(), h.as_py(), split) for r, h in zip(references, hypotheses)], pa.float64())
+
+    return run(col(reference), col(hypothesis))
 
 
 def wer(reference: Column | str, hypothesis: Column | str) -> Column:
-    """Word edits by reference words; NaN for an empty reference."""
-
-    def rate(p: Column) -> Column:
-        return symbols(p["r"], p["h"], lambda a, b: _rate(edits(a, b), F.size(p["r"])))
-
-    return let(F.struct(words(reference).alias("r"), words(hypothesis).alias("h")), rate)
+    """Word edits by reference words, of columns of a table; for what is computed with lambdas, which Spark does not always hand to an Arrow function, see ``rates``."""
+    return _column(tokens, reference, hypothesis)
 
 
 def cer(reference: Column | str, hypothesis: Column | str) -> Column:
-    """Character edits by reference characters, white space left out."""
-    bare = lambda x: F.regexp_replace(col(x), r"(?U)\s", "")
-    return let(F.struct(bare(reference).alias("r"), bare(hypothesis).alias("h")), lambda p: _rate(edits(p["r"], p["h"]), F.length(p["r"])))
-
-
-def wer_lenient(reference: Column | str, hypothesis: Column | str) -> Column:
-    return wer(lenient(reference), lenient(hypothesis))
-
-
-def cer_lenient(reference: Column | str, hypothesis: Column | str) -> Column:
-    return cer(lenient(reference), lenient(hypothesis))
+    """Character edits by reference characters, white space left out; see ``wer``."""
+    return _column(characters, reference, hypothesis)
 
 
 def mean_skipping(rate: Column | str) -> Column:

@@ -23,6 +23,13 @@ def pairs(spark, sf):
     return table(spark, sf, "documents").select("doc_id", "lang", plain().alias("reference"), noisy("en").alias("hypothesis"))
 
 
+PAIR = ("reference", "hypothesis")
+
+
+def rounded(df, rate, undefined=None):
+    return df.withColumn(rate, F.round(F.col(rate) if undefined is None else F.nanvl(rate, undefined), 6))
+
+
 # A hypothesis that only has words put in is as far from its reference as there are words more; the noise also
 # hangs marks on words, each one substitution.  So the distance is known without a second edit-distance routine.
 INSERTED = """(SELECT doc_id, len(string_split(p, ' ')) AS n, sum(CASE (i + doc_id) % 23 WHEN 0 THEN 1 WHEN 5 THEN 2 WHEN 9 THEN 1 WHEN 13 THEN 1 WHEN 17 THEN 2 WHEN 20 THEN 1 ELSE 0 END) AS d
@@ -33,18 +40,18 @@ INSERTED_CHARS = """(SELECT doc_id, length(replace(p, ' ', '')) AS n, sum(CASE (
 
 @query(f"SELECT doc_id, round(d / n, 6) AS wer FROM {INSERTED}")
 def wer_strict(spark, sf):
-    return pairs(spark, sf).select("doc_id", F.round(scoring.wer("reference", "hypothesis"), 6).alias("wer"))
+    return rounded(scoring.rates(pairs(spark, sf), "doc_id", wer=(scoring.tokens, *PAIR)), "wer")
 
 
 @query(f"SELECT doc_id, round(d / n, 6) AS cer FROM {INSERTED_CHARS}")
 def cer_strict(spark, sf):
-    return pairs(spark, sf).select("doc_id", F.round(scoring.cer("reference", "hypothesis"), 6).alias("cer"))
+    return rounded(scoring.rates(pairs(spark, sf), "doc_id", cer=(scoring.characters, *PAIR)), "cer")
 
 
 def recased(spark, sf):
-    """A hypothesis in capitals with other marks and two words more at its start: lenient rates count those alone."""
+    """A hypothesis in capitals with other marks and two words more at its start: normalised, as both are here, those alone are counted."""
     h = F.regexp_replace(F.translate(F.upper(F.replace(plain(), F.lit("ß"), F.lit("ss"))), ".", "!"), " (?=[^0-9])", ", ")
-    return table(spark, sf, "documents").select("doc_id", "lang", F.replace(plain(), F.lit("ß"), F.lit("ss")).alias("reference"), F.concat(F.lit("NEW - Words? "), h).alias("hypothesis"))
+    return table(spark, sf, "documents").select("doc_id", "lang", numerals.lenient(F.replace(plain(), F.lit("ß"), F.lit("ss"))).alias("reference"), numerals.lenient(F.concat(F.lit("NEW - Words? "), h)).alias("hypothesis"))
 
 
 RECASED = f"WITH src AS (SELECT doc_id, replace({PLAIN}, 'ß', 'ss') AS t FROM documents), {LENIENT_SQL} "
@@ -52,19 +59,18 @@ RECASED = f"WITH src AS (SELECT doc_id, replace({PLAIN}, 'ß', 'ss') AS t FROM d
 
 @query(RECASED + "SELECT doc_id, CASE WHEN text = '' THEN -1.0 ELSE round(2 / len(string_split(text, ' ')), 6) END AS wer FROM len")
 def wer_lenient(spark, sf):
-    df = recased(spark, sf)
-    return df.select("doc_id", F.round(F.nanvl(scoring.wer_lenient("reference", "hypothesis"), F.lit(-1.0)), 6).alias("wer"))
+    return rounded(scoring.rates(recased(spark, sf), "doc_id", wer=(scoring.tokens, *PAIR)), "wer", F.lit(-1.0))
 
 
 @query(RECASED + "SELECT doc_id, CASE WHEN text = '' THEN -1.0 ELSE round(8 / length(replace(text, ' ', '')), 6) END AS cer FROM len")
 def cer_lenient(spark, sf):
-    return recased(spark, sf).select("doc_id", F.round(F.nanvl(scoring.cer_lenient("reference", "hypothesis"), F.lit(-1.0)), 6).alias("cer"))
+    return rounded(scoring.rates(recased(spark, sf), "doc_id", cer=(scoring.characters, *PAIR)), "cer", F.lit(-1.0))
 
 
 def emptied(spark, sf):
     """Every seventh reference is empty, so its rate is undefined."""
     ref = F.when(F.col("doc_id") % 7 == 0, "").otherwise(F.col("reference"))
-    return pairs(spark, sf).select("lang", scoring.wer(ref, F.col("hypothesis")).alias("er"))
+    return scoring.rates(pairs(spark, sf).withColumn("reference", ref), "lang", er=(scoring.tokens, *PAIR))
 
 
 @query(f"SELECT lang, round(avg(CASE WHEN doc_id % 7 <> 0 THEN d / n END), 6) AS mean_er FROM {INSERTED} JOIN documents USING (doc_id) GROUP BY lang")
@@ -80,7 +86,7 @@ def mean_er_count_nan(spark, sf):
 def cleaned_wer(spark, sf):
     """WER of each text after the English filler filter against its own text after it: the flagship of the bench."""
     df = pairs(spark, sf).select("lang", "reference", fillers.english("hypothesis")["text"].alias("hypothesis"))
-    return df.select("lang", scoring.wer("reference", "hypothesis").alias("er")).groupBy("lang").agg(F.round(scoring.mean_skipping("er"), 6).alias("mean_wer"), F.count("*").alias("n"))
+    return scoring.rates(df, "lang", er=(scoring.tokens, *PAIR)).groupBy("lang").agg(F.round(scoring.mean_skipping("er"), 6).alias("mean_wer"), F.count("*").alias("n"))
 
 
 query()(cleaned_wer)
@@ -93,7 +99,7 @@ def ablation_matrix(spark, sf):
     filtered = df.withColumn("f", fillers.english("hypothesis")["text"])
     both = filtered.withColumn("fc", corrections.remove("f", F.lit("en"))["text"]).withColumn("c", corrections.remove("hypothesis", F.lit("en"))["text"])
     out = {"full": polish.punctuate("fc"), "without_filler": polish.punctuate("c"), "without_punctuation": F.col("fc"), "without_self_correction": polish.punctuate("f")}
-    rated = both.select("lang", *[scoring.wer(F.col("reference"), c).alias(k) for k, c in out.items()])
+    rated = scoring.rates(both.select("lang", "reference", *[c.alias(k) for k, c in out.items()]), "lang", **{k: (scoring.tokens, "reference", k) for k in out})
     return rated.groupBy("lang").agg(*[F.round(scoring.mean_skipping(k), 6).alias(k) for k in out])
 
 
