@@ -9,10 +9,11 @@ from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
 from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from parlance.functions.text import col
 
@@ -223,16 +224,66 @@ def strict_match(predicted: Column, gold: Column) -> Column:
     return counts(F.size(F.array_intersect(p, g)), F.size(p), F.size(g))
 
 
+def one_to_one(starts: np.ndarray, ends: np.ndarray, gold_starts: np.ndarray, gold_ends: np.ndarray, threshold: float) -> int:
+    """Matches of ``iou_match`` for a row.  A span that shares enough with another starts less than its own length by the threshold before the other's end, so only those are looked at."""
+    order = np.argsort(gold_starts, kind="stable")
+    places, firsts, lasts = order.tolist(), gold_starts[order].tolist(), gold_ends[order].tolist()
+    if threshold > 0:
+        low = np.searchsorted(firsts, ends - np.maximum(ends - starts, 1) / threshold, "left").tolist()
+        high = np.searchsorted(firsts, ends, "left").tolist()
+    else:
+        low, high = [0] * len(starts), [len(places)] * len(starts)
+    free, found = [True] * len(places), 0
+    for p, (a, b) in enumerate(zip(starts.tolist(), ends.tolist())):
+        best = None
+        for g in range(low[p], high[p]):
+            if free[g]:
+                inter = max(min(b, lasts[g]) - max(a, firsts[g]), 0)
+                union = (b - a) + (lasts[g] - firsts[g]) - inter
+                share = inter / union if union > 0 else 0.0
+                if share >= threshold and (best is None or (share, -places[g]) > best[0]):
+                    best = (share, -places[g]), g
+        if best:
+            free[best[1]] = False
+            found += 1
+    return found
+
+
+COUNTS = pa.struct([("tp", pa.int64()), ("fp", pa.int64()), ("fn", pa.int64())])
+
+
+def _matched(predicted: pa.Array, gold: pa.Array, threshold: float) -> pa.Array:
+    ends_of = lambda x: [np.asarray(x.field(f).cast(pa.int64())) for f in ("start", "end")]
+    out = []
+    for p, g in zip(predicted, gold):
+        if not p.is_valid or not g.is_valid:
+            out.append(None)
+            continue
+        tp = one_to_one(*ends_of(p.values), *ends_of(g.values), threshold)
+        out.append({"tp": tp, "fp": len(p) - tp, "fn": len(g) - tp})
+    return pa.array(out, COUNTS)
+
+
 def iou_match(predicted: Column, gold: Column, threshold: float = 0.5) -> Column:
-    """Greedy one to one in the order of predictions: the best gold span still free, the first of equals."""
+    """Greedy one to one in the order of predictions: the best gold span still free, the first of equals.  Of columns of a table, as with ``wer``; for others see ``iou_matches``."""
 
-    def step(used: Column, p: Column) -> Column:
-        scored = F.transform(gold, lambda g, i: F.struct(iou(p, g).alias("s"), (-i).alias("i")))
-        free = F.filter(scored, lambda x: (x["s"] >= threshold) & ~F.array_contains(used, -x["i"]))
-        return F.when(F.size(free) > 0, F.concat(used, F.array(-F.array_max(free)["i"]))).otherwise(used)
+    @F.arrow_udf("struct<tp:bigint,fp:bigint,fn:bigint>")
+    def run(p: pa.Array, g: pa.Array) -> pa.Array:
+        return _matched(p, g, threshold)
 
-    tp = F.size(F.aggregate(predicted, F.array().cast("array<int>"), step))
-    return counts(tp, F.size(predicted), F.size(gold))
+    return run(_places(predicted), _places(gold))
+
+
+def iou_matches(df: DataFrame, *keep: str, predicted: str, gold: str, threshold: float = 0.5) -> DataFrame:
+    """df's columns ``keep`` and, as m, the counts of ``iou_match``."""
+    kept = df.select(*keep)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*map(batch.column, range(len(keep))), _matched(batch.column("_p"), batch.column("_g"), threshold)], [*keep, "m"])
+
+    schema = StructType([*kept.schema.fields, StructField("m", StructType([StructField(c, LongType()) for c in ("tp", "fp", "fn")]))])
+    return df.select(*keep, _places(F.col(predicted)).alias("_p"), _places(F.col(gold)).alias("_g")).mapInArrow(run, schema)
 
 
 def pair_match(predicted: Column, gold: Column) -> Column:

@@ -126,13 +126,13 @@ def f1_strict(spark, sf):
 
 @query(SPAN_COUNTS + "SELECT doc_id, iou_tp AS tp, p - iou_tp AS fp, g - iou_tp AS fn FROM sco")
 def f1_iou(spark, sf):
-    return scored(spark, sf).select("doc_id", scoring.iou_match(F.col("predicted"), F.col("gold")).alias("m")).select("doc_id", "m.*")
+    return scoring.iou_matches(scored(spark, sf), "doc_id", predicted="predicted", gold="gold").select("doc_id", "m.*")
 
 
 @query(SPAN_COUNTS + """, tot AS (SELECT doc_id % 5 AS part, sum(iou_tp)::bigint AS tp, sum(p - iou_tp)::bigint AS fp, sum(g - iou_tp)::bigint AS fn FROM sco GROUP BY 1)
 SELECT part, tp, fp, fn, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall, round(2 * (tp / (tp + fp)) * (tp / (tp + fn)) / (tp / (tp + fp) + tp / (tp + fn)), 6) AS f1 FROM tot""")
 def f1_micro(spark, sf):
-    df = scored(spark, sf).select((F.col("doc_id") % 5).alias("part"), scoring.iou_match(F.col("predicted"), F.col("gold")).alias("m"))
+    df = scoring.iou_matches(scored(spark, sf).withColumn("part", F.col("doc_id") % 5), "part", predicted="predicted", gold="gold")
     out = scoring.micro(df, "m", "part")
     return out.select("part", "tp", "fp", "fn", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
 

@@ -62,3 +62,38 @@ def test_rates_of_what_lambdas_make(spark):
     df = spark.createDataFrame([("이천 십 일 년, Twenty-One", "2011 년 x")], "r string, h string")
     made = df.select(F.lit(1).alias("i"), numerals.lenient("r").alias("r"), numerals.lenient("h").alias("h"))
     assert scoring.rates(made, "i", w=(scoring.tokens, "r", "h")).first()["w"] == 0.5
+
+
+def greedy(predicted, gold, threshold):
+    """As the definition says: each prediction takes the best gold span still free, the first of equals."""
+    free, found = set(range(len(gold))), 0
+    for a, b in predicted:
+        best = None
+        for g in sorted(free):
+            inter = max(min(b, gold[g][1]) - max(a, gold[g][0]), 0)
+            union = (b - a) + (gold[g][1] - gold[g][0]) - inter
+            share = inter / union if union > 0 else 0.0
+            if share >= threshold and (best is None or share > best[0]):
+                best = share, g
+        if best:
+            free.remove(best[1])
+            found += 1
+    return found
+
+
+@pytest.mark.parametrize("threshold", [0.0, 0.3, 0.5, 1.0])
+def test_iou_matches_of_any_spans(spark, threshold):
+    """Crossing, equal, empty, in any order; and 30,000 of them in one row."""
+    rng = random.Random(3)
+    spans = lambda n: [(a, a + rng.randrange(9)) for a in (rng.randrange(30) for _ in range(n))]
+    rows = [(i, spans(rng.randrange(12)), spans(rng.randrange(12))) for i in range(60)]
+    if threshold:
+        rows.append((60, [(5 * i, 5 * i + 4) for i in range(30_000)], [(5 * i, 5 * i + 3) for i in range(30_000)]))
+    span = "array<struct<start:int,end:int>>"
+    df = spark.createDataFrame(rows, f"i int, p {span}, g {span}")
+    got = {r["i"]: tuple(r["m"]) for r in scoring.iou_matches(df, "i", predicted="p", gold="g", threshold=threshold).collect()}
+    for i, p, g in rows[:60]:
+        tp = greedy(p, g, threshold)
+        assert got[i] == (tp, len(p) - tp, len(g) - tp), (p, g)
+    if threshold:
+        assert got[60][0] == (30_000 if threshold < 0.76 else 0)
