@@ -94,7 +94,7 @@ def word_spans(text: Column | str, lexicon: FillerLexicon = ENGLISH) -> Column:
     """Spans that ``remove_words`` removes, by start."""
 
     def spans(parts: Column) -> Column:
-        return let(F.transform(parts, lambda p: F.regexp_replace(p, r"(?U)^\s+", "")), lambda tokens: let(offsets(parts), lambda sums: placed(parts, tokens, sums)))
+        return let(words(text), lambda tokens: let(offsets(parts), lambda sums: placed(parts, tokens, sums)))
 
     def placed(parts: Column, tokens: Column, sums: Column) -> Column:
         marked = _marked_tokens(tokens, _word_marks(tokens, lexicon))
@@ -233,7 +233,7 @@ def spanish_spans(text: Column | str, lexicon: FillerLexicon = SPANISH) -> Colum
     """Spans that ``spanish`` removes, with the category (rep2, rep, partial, or the filler) as label."""
 
     def spans(parts: Column) -> Column:
-        return let(F.transform(parts, lambda p: F.regexp_replace(p, r"(?U)^\s+", "")), lambda tokens: let(offsets(parts), lambda sums: placed(parts, tokens, sums)))
+        return let(words(text), lambda tokens: let(offsets(parts), lambda sums: placed(parts, tokens, sums)))
 
     def placed(parts: Column, tokens: Column, sums: Column) -> Column:
         gone = F.filter(_marked_tokens(tokens, _spanish_marks(tokens, lexicon)), lambda x: x["m"].isin("A", "D", "r", "a", "p"))

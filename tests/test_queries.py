@@ -64,3 +64,11 @@ def test_punctuation_capitals_are_single_letters(spark, tmp_path):
     con.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
     assert got == sorted(con.sql(f"select doc_id, text from ({SQL['punct_restore']})").fetchall())
     assert "ẞen" in got[0][1]
+
+
+@pytest.mark.parametrize("name", ["spans_en", "spans_ko", "spans_es", "filler_label_histogram"])
+def test_spans_are_computed_once(spark, sf, name):
+    """Once, where the table is dealt out: not in a filter of sizes before that as well."""
+    plan = QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Filter" not in plan.split("Repartition")[-1]
+    assert sum("regexp_extract_all" in line for line in plan.split("\n")) == 1
