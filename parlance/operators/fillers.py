@@ -26,15 +26,14 @@ def _word_marks(tokens: Column, lexicon: FillerLexicon) -> Column:
         starts = flags(c, lambda w, i: F.when(_pair_at(w, F.get(c, i + 1), lexicon), "1").otherwise("0")) if lexicon.pairs else flags(c, lambda w, i: F.lit("0"))
         pairs = F.regexp_replace(starts, "1[01]", "AB")
 
-        def symbol(x: Column) -> Column:
-            ends = x["t"].rlike(r"[.!?,]$")
-            free = F.when(x["c"].isin(*lexicon.pure), "p") if lexicon.pure else F.when(F.lit(False), "p")
+        def symbol(t: Column, w: Column, pair: Column) -> Column:
+            ends = t.endswith(".") | t.endswith("!") | t.endswith("?") | t.endswith(",")
+            free = F.when(w.isin(*lexicon.pure), "p") if lexicon.pure else F.when(F.lit(False), "p")
             if lexicon.contextual:
-                free = free.when(x["c"].isin(*lexicon.contextual), F.when(ends, "C").otherwise("c"))
-            return F.when(x["m"].isin("A", "B"), x["m"]).otherwise(free.otherwise(F.when(ends, "K").otherwise("k")))
+                free = free.when(w.isin(*lexicon.contextual), F.when(ends, "C").otherwise("c"))
+            return F.when(pair.isin("A", "B"), pair).otherwise(free.otherwise(F.when(ends, "K").otherwise("k")))
 
-        zipped = F.transform(F.arrays_zip(tokens.alias("t"), c.alias("c"), chars(pairs).alias("m")), lambda x: F.struct(x["t"].alias("t"), x["c"].alias("c"), x["m"].alias("m")))
-        return F.array_join(F.transform(zipped, symbol), "")
+        return let(chars(pairs), lambda m: flags(tokens, lambda t, i: symbol(t, F.get(c, i), F.get(m, i))))
 
     return let(cleaned, lambda c: _boundaries(marked(c)))
 
@@ -59,7 +58,7 @@ def _boundaries(marks: Column) -> Column:
 
 
 def _marked_tokens(tokens: Column, marks: Column) -> Column:
-    return F.transform(F.arrays_zip(tokens.alias("t"), chars(marks).alias("m")), lambda x, i: F.struct(x["t"].alias("t"), x["m"].alias("m"), i.alias("i")))
+    return let(chars(marks), lambda m: F.transform(tokens, lambda t, i: F.struct(t.alias("t"), F.get(m, i).alias("m"), i.alias("i"))))
 
 
 def remove_words(text: Column | str, lexicon: FillerLexicon = ENGLISH) -> Column:
